@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "line_dedup")
+MODULES = ("sharding", "line_dedup", "simhash", "merkle")
 
 
 def _merged(name: str) -> dict:
