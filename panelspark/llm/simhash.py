@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import ASCII_SPACE, Scratch, components, table
 
 BITS, SEED, BLOCK, FLUSH = 64, 42, 20_000, 2_000_000
 
@@ -180,6 +180,93 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     return rows.join(named, rows["fp"] == named["f"]).select(key, "fp", "component_id")
 
 
+def shingle_set(text: str, words: int) -> bytes:
+    """Sorted distinct 64-bit hashes of the text's word shingles."""
+    w = text.encode().lower().split()
+    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles))).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared)
+
+
+def _alike(a: bytes, others: list[bytes], least: float) -> bool:
+    """Whether a is as like as that to any of others; sizes settle most pairs."""
+    return any(min(len(a), len(b)) >= least * max(len(a), len(b)) and jaccard(a, b) >= least for b in others)
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, key: str = "doc_id", text: str = "text", leaders: int = 64, chunk: int = 500) -> DataFrame:
+    """docs without near-copies: each row that goes has a staying row of a lesser key, their word shingles' Jaccard at least ``similarity``.
+
+    Candidates are the components of fingerprints over the set of distinct words within ``radius`` bits: one changed word changes
+    one feature there but ``words`` shingles, so shingle sets that alike lie within it nearly always. Within a component, in rounds,
+    the ``leaders`` least rows settle among themselves, and all others are compared with those that stay, in chunks; what is left
+    goes into the next round. Exact copies go first. Rows of one key and text count as one row; a null key counts as after all
+    others; texts without words are never copies of each other. Rows that stay pass unchanged.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near")
+    last = F.lit((1 << 63) - 1)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.unhex(F.md5(body.cast("binary"))).alias("uid"), body.alias("text"))
+    rows = rows.where(F.length(F.btrim("text", F.lit(ASCII_SPACE))) > 0)
+    first = scratch.keep(rows.groupBy("uid").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "first")
+    near = near_duplicates(rows.select("uid", "text"), 1, radius, "uid", "text", distinct_shingles=True)
+    placed = scratch.keep(near.select("uid", F.col("component_id").alias("comp")).distinct(), "placed")
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("comp", "c")
+    members = placed.join(sizes, placed["comp"] == sizes["c"]).select("uid", "comp").join(first, "uid").select(F.col("uid").alias("u"), "comp", "first")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(sh=[shingle_set(t, words) for t in b["text"]]).drop(columns="text")
+
+    texts = rows.join(members, (rows["uid"] == members["u"]) & (rows["doc"] == members["first"])).select("comp", "uid", "first", "text")
+    schema = "comp binary, uid binary, first long, sh binary"
+    left = scratch.keep(texts.mapInPandas(shingled, schema).dropDuplicates(["uid"]), "open")
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        stay: list[bytes] = []
+        goes = []
+        for sh in g.sort_values("first")["sh"]:
+            goes.append(_alike(sh, stay, similarity))
+            if not goes[-1]:
+                stay.append(sh)
+        return g.sort_values("first").assign(goes=goes)
+
+    def compare(m: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
+        stay = list(lead["sh"])
+        return m.drop(columns="salt").assign(goes=[_alike(sh, stay, similarity) for sh in m["sh"]])
+
+    gone: list[DataFrame] = []
+    while left.limit(1).count():
+        salt = F.pmod(F.xxhash64("uid"), F.lit(64))
+        few = left.select("comp", "uid", "first", salt.alias("s")).withColumn("k", F.row_number().over(Window.partitionBy("comp", "s").orderBy("first"))).where(F.col("k") <= leaders)
+        lead = few.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy("first"))).where(F.col("k") <= leaders).select(F.col("uid").alias("lu"))
+        marked = scratch.keep(left.join(lead, left["uid"] == lead["lu"], "left").withColumn("lead", F.col("lu").isNotNull()).drop("lu"), "marked")
+        settled = marked.where("lead").drop("lead").groupBy("comp").applyInPandas(settle, f"{schema}, goes boolean")
+        settled = scratch.keep(settled, "settled")
+        gone.append(settled.where("goes").select("uid"))
+        parts = marked.where("not lead").groupBy("comp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).withColumnRenamed("comp", "c")
+        parts = scratch.keep(parts, "parts")
+        rest = marked.where("not lead").drop("lead").join(parts, F.col("comp") == F.col("c")).withColumn("salt", F.pmod(F.xxhash64("uid", F.lit("chunk")), F.col("parts")).cast("int")).drop("c", "parts")
+        sent = settled.where("not goes").drop("goes").join(parts, F.col("comp") == F.col("c")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("c", "parts")
+        judged = scratch.keep(rest.groupBy("comp", "salt").cogroup(sent.groupBy("comp", "salt")).applyInPandas(compare, f"{schema}, goes boolean"), "judged")
+        gone.append(judged.where("goes").select("uid"))
+        scratch.drop(left, marked)
+        left = judged.where("not goes").drop("goes")
+    out = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), last)).withColumn("_uid", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    drop = first.where("copies > 1").select(F.col("uid").alias("_u"), F.col("first").alias("_first"))
+    for g in gone:
+        drop = drop.unionByName(g.select(F.col("uid").alias("_u"), F.lit(None).cast("long").alias("_first")))
+    # null _first: every row of the text goes; else all but the first document's
+    drop = scratch.keep(drop.groupBy("_u").agg(F.max(F.col("_first").isNull()).alias("_all"), F.min("_first").alias("_first")), "drop")
+    out = out.join(drop, out["_uid"] == drop["_u"], "left")
+    return out.where(~F.coalesce(F.col("_all") | (F.col("_doc") != F.col("_first")), F.lit(False))).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, radius 4, all documents; see near_duplicates()."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
