@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import relational
+
 
 def queries() -> dict:
-    return {}
+    return dict(relational.Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(relational.SQL)
