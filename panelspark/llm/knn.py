@@ -114,6 +114,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, key
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = bounds.value
+        if not cells:
+            return
         at = np.array([s["cell"] for s in cells])
         r = np.array([s["r"] for s in cells])
         chunks = np.array([-(-s["n"] // size) for s in cells])

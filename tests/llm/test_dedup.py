@@ -167,7 +167,15 @@ def test_a_passage_in_many_documents(spark, pytestconfig):
     assert {k: spread(r["spans"]) for k, r in got.items()} == brute_passages(rows)
     cut = {r["doc_id"]: r["text"] for r in passages.cut_passages(df).collect()}
     assert sum(passage in t for t in cut.values()) == 1 and passage in cut[0]
-    assert all(t == (dict(rows)[k] if k == 0 else dict(rows)[k].replace(f"{passage} ", "")) for k, t in cut.items())
+    want = brute_passages(rows)  # the passage, and a word more where two documents happen to share it
+    for k, t in cut.items():
+        w, left = dict(rows)[k].split(), t.split()
+        if k:
+            gone = len(w) - len(left)
+            start = next(i for i in range(len(w)) if left[:i] + w[i : i + gone] + left[i:] == w and set(range(i, i + gone)) <= want[k])
+            assert 60 <= gone <= len(want[k]) and start <= 20 + k % 50
+        else:
+            assert left == w
 
 
 def test_cut_leaves_clean_documents(docs, rows, none):
