@@ -107,8 +107,8 @@ def _big(x: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), -1)
 
 
-#: key: 8 bytes shingle, REACH * 2 after, REACH * 2 before (backwards), 8 first document, 4 place.
-_KEY = 8 + 4 * REACH + 12
+#: key: 8 bytes shingle, 4 bytes a word for REACH words after, as many before (backwards), 8 first document, 4 place.
+_KEY = 8 + 8 * REACH + 12
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +120,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = np.zeros(len(at), np.uint64)
             for j in range(GRAM):
                 g += h[at + j] * _MULT[j]
-            short = np.concatenate([np.zeros(REACH, np.uint16), (h >> np.uint64(48)).astype(np.uint16), np.zeros(REACH + GRAM, np.uint16)])
+            short = np.concatenate([np.zeros(REACH, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(REACH + GRAM, np.uint32)])
             right = short[at[:, None] + REACH + GRAM + np.arange(REACH)[None]]
             left = short[at[:, None] + REACH - 1 - np.arange(REACH)[None]]
-            key = np.concatenate([_big(g, ">u8"), _big(right, ">u2"), _big(left, ">u2"), _big(np.full(len(at), first), ">i8"), _big(at, ">i4")], axis=1)
+            key = np.concatenate([_big(g, ">u8"), _big(right, ">u4"), _big(left, ">u4"), _big(np.full(len(at), first), ">i8"), _big(at, ">i4")], axis=1)
             yield pa.record_batch([
                 pa.array([k.tobytes() for k in key], pa.binary()), pa.array([b["uid"][i].as_py()] * len(at), pa.binary()),
                 pa.array(np.minimum(at, REACH), pa.int32()), pa.array(np.minimum(len(h) - at - GRAM, REACH), pa.int32()),
@@ -138,8 +138,8 @@ class Rows:
         raw = np.frombuffer(b"".join(key), np.uint8).reshape(len(key), _KEY)
         cut = lambda a, z, kind: np.ascontiguousarray(raw[:, a:z]).view(kind)
         self.gram = cut(0, 8, ">u8")[:, 0].astype(np.uint64)
-        self.right = cut(8, 8 + 2 * REACH, ">u2").astype(np.uint16)
-        self.left = cut(8 + 2 * REACH, 8 + 4 * REACH, ">u2").astype(np.uint16)
+        self.right = cut(8, 8 + 4 * REACH, ">u4").astype(np.uint32)
+        self.left = cut(8 + 4 * REACH, 8 + 8 * REACH, ">u4").astype(np.uint32)
         self.first = cut(_KEY - 12, _KEY - 4, ">i8")[:, 0].astype(np.int64)
         self.pos = cut(_KEY - 4, _KEY, ">i4")[:, 0].astype(np.int64)
         self.before, self.after = np.asarray(before), np.asarray(after)
