@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import models, relational
 
 
 def queries() -> dict:
-    return dict(relational.Q)
+    return relational.Q | models.Q
 
 
 def oracle_sql() -> dict:
