@@ -1,7 +1,8 @@
 """Cutting text where a byte-level BPE pattern always cuts, and encoding each distinct piece once a worker.
 
 The public pattern puts a single space before a word into that word's token and nothing else crosses it, so the place before a
-space that stands between two other characters is a token border. Encoding the pieces and joining the ids is encoding the text.
+space that stands between two other characters is a token border; so are both sides of a newline that stands alone, and the
+place between letters and the marks that end a piece. Encoding the pieces and joining the ids is encoding the text.
 """
 
 from __future__ import annotations
@@ -9,8 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
+_MARKS = ".,;:?!"
 
 
 def units(text: str) -> list[str]:
@@ -24,28 +28,67 @@ def units(text: str) -> list[str]:
 
 
 class Cache:
-    """bytes of ids by unit, at most ``most`` short units; it is emptied when full, which costs time and nothing else."""
+    """bytes of ids by piece, at most ``most`` short pieces; it is emptied when full, which costs time and nothing else.
+
+    A key is a word that has a space before it, a newline, or BARE and a piece as it stands.
+    """
+
+    BARE = "\x01"
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = 250_000, longest: int = 64):
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 900_000, longest: int = 64):
+        self.encode, self.encode_words, self.most, self.longest = encode, encode_words, most, longest
         self.known: dict[str, bytes] = {}
 
+    def _keys(self, t: str) -> list[str]:
+        if t[-1] != " " and t[0] != " " and _RUN.search(t) is None and self.BARE not in t:
+            keys = f"{self.BARE}{t}".replace("\n", f" \n {self.BARE}").split(" ")
+            if keys[-1] == self.BARE:
+                keys.pop()
+            return keys if keys[0] != self.BARE else keys[1:]
+        return [self.BARE + u for u in _BORDER.split(t)]
+
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, 4 little-endian bytes an id."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut = [units(t) if t else [] for t in texts]
-        missing = list({u for us in cut for u in us}.difference(self.known))
-        fresh = dict(zip(missing, self.encode(missing))) if missing else {}
         known = self.known
-        known.update(fresh)
+        if len(known) > self.most:
+            known.clear()
+        get, missing, found = known.get, set(), []
+        for t in texts:
+            keys = self._keys(t) if t else []
+            ids = list(map(get, keys))
+            if None in ids:
+                missing.update([k for k, v in zip(keys, ids) if v is None])
+                found.append((ids, keys))
+            else:
+                found.append((ids, None))
+        self._learn(missing)
         join = b"".join
-        out = [join([known[u] for u in us]) for us in cut]
-        for u in fresh:
-            if len(u) > self.longest:
-                del known[u]
+        out = [join(ids if keys is None else [known[k] if v is None else v for k, v in zip(keys, ids)]) for ids, keys in found]
+        for k in missing:
+            if len(k) > self.longest:
+                del known[k]
         return out
 
+    def _learn(self, missing: set[str]) -> None:
+        known, bare = self.known, self.BARE
+        plain, marked, odd, tails = [], [], [], set()
+        for w in missing:
+            if w.isalpha():
+                plain.append(w)
+                continue
+            body = w.rstrip(_MARKS)
+            if body != w and body.isalpha():
+                marked.append((w, body))
+                tails.add(bare + w[len(body) :])
+            else:
+                odd.append(w)
+        plain += {b for _, b in marked if b not in known}.difference(plain)
+        known.update(zip(plain, self.encode_words(plain)))
+        odd += tails.difference(known, odd)
+        known.update(zip(odd, self.encode([k[1:] if k[0] == bare else k if k == "\n" else " " + k for k in odd])))
+        for w, body in marked:
+            known[w] = known[body] + known[bare + w[len(body) :]]
+
 
 _CACHES: dict[int, Cache] = {}
 
@@ -54,10 +97,12 @@ def tokenizer_cache(json_text: str) -> Cache:
     """The worker's cache for a tokenizers JSON; workers live on between tasks."""
     key = hash(json_text)
     if key not in _CACHES:
+        import gc
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
+        gc.freeze()  # what stays: else the collector walks the cache again and again
+        gc.set_threshold(200_000, 50, 1000)
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(json_text)
@@ -68,7 +113,26 @@ def tokenizer_cache(json_text: str) -> Cache:
                 for e in tok.encode_batch_fast(us[at : at + 20_000], add_special_tokens=False):
                     yield np.array(e.ids, "<u4").tobytes()
 
-        _CACHES[key] = Cache(encode)
+        vocabulary = tok.get_vocab()
+        opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space: here, the first of each word
+        for token, i in vocabulary.items():
+            opens[i] = token.startswith("\u0120")
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            """Words of letters, each after a space, some dozens in one text; each word's ids begin with the one that holds the space."""
+            out: list[bytes] = []
+            batches = [words[at : at + 50] for at in range(0, len(words), 50)]
+            for some, e in zip(batches, tok.encode_batch_fast([" " + " ".join(b) for b in batches], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                starts = np.flatnonzero(opens[ids])
+                if len(starts) == len(some):
+                    raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                    out += [raw[a:z] for a, z in zip(at, at[1:])]
+                else:
+                    out += encode([" " + w for w in some])
+            return out
+
+        _CACHES[key] = Cache(encode, encode_words)
     return _CACHES[key]
 
 
