@@ -2,9 +2,9 @@
 
 1. A task cuts a block of documents into pre-tokens, numbers the block's distinct words, and writes the block's documents as a list
    of word numbers, one per position, to a file in the shared folder (entropy-coded, about two bytes a position). It emits one
-   row a distinct word and block: a word that stands everywhere is one row a block, however often it occurs.
-2. Rows are dealt by word and sorted, so each distinct word of the corpus is encoded once, and its ids go back to each block
-   that asked for them, gathered into one row a block and task.
+   entry a distinct word and block, packed into a row a block and word range: a word that stands everywhere is sent once a block.
+2. Rows are dealt by word range (a hash of the word), so each distinct word of the corpus is encoded once, and its ids go back to each
+   block that asked for them, packed into one row a block and task.
 3. Blocks are put together by position from their file and the returned ids. Decoding looks ids up in the table of token bytes,
    whose size is the vocabulary's.
 
@@ -22,14 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, shuffle_partitions, table
 from .units import slices, units
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,8 +66,32 @@ def _cut(texts: list[str], pattern) -> tuple[list[str], np.ndarray, list[int]]:
     return list(word_no), _ragged(flat, starts[every], sizes[every]), lengths
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("word", pa.binary())])
-_BACK = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_WORDS = pa.schema([("block", pa.int64()), ("deal", pa.int32()), ("words", pa.binary())])
+_BACK = pa.schema([("block", pa.int64()), ("found", pa.binary())])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four planes of bytes: high bytes, mostly alike, lie together."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
+def _pack(*parts: bytes) -> bytes:
+    """Parts with their lengths, compressed together."""
+    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+
+
+def _unpack(b: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    return [raw[e - s : e] for e, s in zip(ends, np.frombuffer(raw, "<u4", n, 4).astype(np.int64))]
+
+
 _OUT = "key {kind}, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -81,6 +106,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     model = spark.sparkContext.broadcast((pattern, ranks))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
+    deals = 2 * shuffle_partitions(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -94,7 +120,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
             for b in slices(batch, "text", block_bytes):
                 block, n = part << 32 | n, n + 1
                 words, codes, lengths = _cut(b["text"].fill_null("").to_pylist(), words_of)
-                body = zstandard.ZstdCompressor(level=3).compress(codes.astype("<u4").tobytes())
+                body = _pack(_planes(codes))
                 head = pa.table({"key": b["key"], "length": pa.array(lengths, pa.int64())})
                 temp = f"{root}/_{block}-{TaskContext.get().taskAttemptId()}"
                 with system.open_output_stream(temp) as f:
@@ -103,33 +129,45 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                     with pa.ipc.new_stream(f, head.schema) as w:
                         w.write_table(head)
                 system.move(temp, f"{root}/{block}")
+                spelled = [w.encode() for w in words]
                 if not words:  # a block of empty texts still has rows
-                    yield pa.record_batch([[block], [-1], [b""]], schema=_WORDS)
-                for at in range(0, len(words), 50_000):
-                    some = words[at : at + 50_000]
-                    yield pa.record_batch([[block] * len(some), list(range(at, at + len(some))), [w.encode() for w in some]], schema=_WORDS)
+                    yield pa.record_batch([[block], [0], [_pack(b"", b"", b"")]], schema=_WORDS)
+                    continue
+                deal = np.fromiter((xxhash.xxh32_intdigest(w) % deals for w in spelled), np.int64, len(spelled))
+                order = np.argsort(deal, kind="stable")
+                edges = np.flatnonzero(np.r_[True, np.diff(deal[order]) != 0, True])
+                rows = []
+                for a, z in zip(edges, edges[1:]):
+                    at = order[a:z]
+                    some = [spelled[i] for i in at]
+                    sizes = np.fromiter(map(len, some), np.int64, len(some))
+                    rows.append((int(deal[at[0]]), _pack(_planes(np.diff(at, prepend=0)), _planes(sizes), b"".join(some))))
+                yield pa.record_batch([[block] * len(rows), [r[0] for r in rows], [r[1] for r in rows]], schema=_WORDS)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encoder = tiktoken.Encoding("own", pat_str=model.value[0], mergeable_ranks=model.value[1], special_tokens={})
-        parts, last, got = [], None, []
+        known: dict[bytes, bytes] = {}
+        back: dict[int, list[tuple[np.ndarray, list[bytes]]]] = {}
         for b in batches:
-            sizes, ids = [], []
-            for word in b["word"].to_pylist():
-                if word != last:
-                    last, got = word, encoder.encode_ordinary(word.decode())
-                sizes.append(len(got))
-                ids.extend(got)
-            parts.append((b["block"].to_numpy(), b["code"].to_numpy().astype("<i4"), np.array(sizes, np.int64), np.array(ids, "<u4")))
-        if not parts:
-            return
-        block, code, size, flat = (np.concatenate(x) for x in zip(*parts))
-        starts, order = np.cumsum(size) - size, np.argsort(block, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
-        for a, z in zip(edges, edges[1:]):
-            at = order[a:z]
-            yield pa.record_batch([[int(block[at[0]])], [code[at].tobytes()], [size[at].astype("<u4").tobytes()], [_ragged(flat, starts[at], size[at]).tobytes()]], schema=_BACK)
+            for block, packed in zip(b["block"].to_pylist(), b["words"].to_pylist()):
+                steps, sizes, body = _unpack(packed)
+                at = np.cumsum(_unplanes(steps)) if steps else np.zeros(0, np.int64)
+                ends = np.cumsum(_unplanes(sizes)).tolist() if sizes else []
+                words = [body[a:z] for a, z in zip([0, *ends], ends)]
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encoder.encode_ordinary(w.decode()), "<u4").tobytes()
+                back.setdefault(block, []).append((at, [known[w] for w in words]))
+        for block, parts in back.items():
+            at = np.concatenate([p[0] for p in parts])
+            ids = [x for p in parts for x in p[1]]
+            order = np.argsort(at, kind="stable")
+            ids = [ids[i] for i in order]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            yield pa.record_batch([[block], [_pack(_planes(np.diff(at[order], prepend=0)), _planes(sizes), _planes(flat))]], schema=_BACK)
 
     def assemble(group: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
@@ -138,16 +176,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
         with system.open_input_stream(f"{root}/{group['block'].iloc[0]}") as f:
             body = pa.ipc.open_stream(f).read_all()["codes"][0].as_py()
             head = pa.ipc.open_stream(f).read_all()
-        seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), "<u4")
-        code = np.concatenate([np.frombuffer(x, "<i4") for x in group["codes"]])
-        size = np.concatenate([np.frombuffer(x, "<u4") for x in group["sizes"]]).astype(np.int64)
-        flat = np.concatenate([np.frombuffer(x, "<u4") for x in group["ids"]])
+        seq = _unplanes(_unpack(body)[0])
+        parts = [_unpack(x) for x in group["found"]]
+        code = np.concatenate([np.cumsum(_unplanes(p[0])) for p in parts]).astype(np.int64)
+        size = np.concatenate([_unplanes(p[1]) for p in parts]).astype(np.int64)
+        flat = np.concatenate([_unplanes(p[2]) for p in parts])
         starts = np.cumsum(size) - size
-        place = np.empty(int(code.max()) + 1 if len(code) else 0, np.int64)
-        real = code >= 0
-        place[code[real]] = np.flatnonzero(real)
-        if len(place) <= (int(seq.max()) if len(seq) else -1) or int(real.sum()) != len(place):
+        place = np.empty(len(code), np.int64)
+        if len(code) != len(np.unique(code)) or (len(code) and code.max() != len(code) - 1) or (len(seq) and seq.max() >= len(code)):
             raise ValueError("a block lacks words")
+        place[code] = np.arange(len(code))
         tokens = sorted(model.value[1].items(), key=lambda x: x[1])
         most = tokens[-1][1] + 1 if tokens else 0
         token_size = np.zeros(most, np.int64)
@@ -165,8 +203,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 out[c].append(v)
         return pd.DataFrame({"key": head["key"].to_pandas(integer_object_nulls=True), **out})
 
-    asked = rows.mapInArrow(cut, "block long, code int, word binary")
-    back = asked.repartition("word").sortWithinPartitions("word").mapInArrow(spell, "block long, codes binary, sizes binary, ids binary")
+    asked = rows.mapInArrow(cut, "block long, deal int, words binary")
+    back = asked.repartition("deal").mapInArrow(spell, "block long, found binary")
     return back.groupBy("block").applyInPandas(assemble, _OUT.format(kind=kind)).withColumnRenamed("key", key)
 
 
