@@ -14,7 +14,7 @@ from ..spec import Settings
 
 Q: dict = {}
 #: The tables have some hundred entities a month and seven years: grids and limits of the real settings, sized to them.
-S = Settings(rank_trees=60, rank_every=20, rank_leaf_weight=20.0, gru_epochs=3, gru_hidden=16, gru_decay=(0.0, 1e-3), per_side=120, v4_min_names=20, cfi_min_pairs=20, risk_min_months=24)
+S = Settings(rank_trees=60, rank_every=20, rank_leaf_weight=20.0, gru_epochs=3, gru_hidden=16, gru_decay=(0.0, 1e-3), per_side=40, v4_min_names=20, cfi_min_pairs=20, risk_min_months=24)
 FEATURES = ["revenue", "qty", "n_lines", "disc", "ret"]
 FACTORS = ["revenue", "qty", "disc"]
 
