@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from panelspark.plans import catalog, models
@@ -19,7 +20,7 @@ def duck(sf):
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10]
