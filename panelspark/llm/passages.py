@@ -287,13 +287,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: b
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc"), _digest(text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     copies = scratch.keep(rows.groupBy("uid").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "copies")
     found = scratch.keep(rows.select("uid", "text").mapInArrow(_find, "uid binary, pos int, gram long").distinct(), "anchors")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g"))
+    # a table, not a plan: with an exchange on either side the planner can split a shingle that a third of the anchors share
+    twice = scratch.keep(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g")), "twice")
     places = found.join(twice, found["gram"] == twice["g"]).groupBy("uid").agg(F.collect_list("pos").alias("places"))
     wanted = places.join(copies, "uid").select(F.col("uid").alias("u"), "first", "places")
     texts = rows.join(wanted, (rows["doc"] == wanted["first"]) & (rows["uid"] == wanted["u"])).select("uid", "text", "first", "places")
     context = scratch.keep(texts.mapInArrow(_contexts, "key binary, uid binary, before int, after int"), "suffixes")
     met = scratch.keep(context.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(lambda b: _neighbours(b, within), _MATCH_SQL), "matches")
-    scratch.drop(context, found)
+    scratch.drop(context, found, twice)
     more, moved = _stitch(met.where("kind = 1").collect(), within)  # 2 * NEAR rows a task at most
     match = met.where("kind = 0").drop("kind", "part", "key", "before", "after")
     match = match.unionByName(spark.createDataFrame(more, "uid binary, first long, pos long, l long, r long, cut_l long, cut_r long, root_first long, root_pos long, gram long"))
