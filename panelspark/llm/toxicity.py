@@ -274,8 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "x": [[at[c] for c in words.text(t) if c in at] for t in b["text"]]})
 
-    parts = [train_rows.where(F.col("y") == v).orderBy(F.xxhash64("k")).limit(SAMPLE) for v in (0, 1)]
-    got = parts[0].unionByName(parts[1]).select("y", "text").mapInPandas(vectors, "y int, x array<int>").collect()
+    # the sample is chosen among the narrow labels; then at most 2 * SAMPLE rows pick their texts out of the scan
+    parts = [y.where(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(SAMPLE) for v in (0, 1)]
+    picked = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "k").select("y", "text")
+    got = picked.mapInPandas(vectors, "y int, x array<int>").collect()
     x, target = np.zeros((len(got), len(cues)), np.float32), np.array([r["y"] for r in got], float)
     for i, r in enumerate(got):
         x[i, r["x"]] = 1
