@@ -51,6 +51,23 @@ class Scratch:
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_HELD: dict = {}
+
+
+def hold(kind: str, key, make):
+    """The worker's one cache: made when another kind or key held the place. Workers outlive stages; what an earlier stage kept must not
+    stand beside what the next one needs."""
+    if _HELD.get("key") != (kind, key):
+        _HELD.clear()
+        _HELD.update(key=(kind, key), value=make())
+    return _HELD["value"]
+
+
+def release() -> None:
+    """Drop the worker's cache: called by tasks that have no use for one."""
+    hold("", None, lambda: None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

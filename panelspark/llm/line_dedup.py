@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, ascii_lower, id_bucket, id_cuts, table
+from .common import ASCII_SPACE, Scratch, ascii_lower, id_bucket, id_cuts, release, table
 
 LEAST_CHARS, FANOUT, BATCHES = 10, 2, 4
 
@@ -64,6 +64,7 @@ class LineIndex:
 
 
 def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
     for b in batches:
         kept, n, dropped = [], [], []
         for text, gone in zip(b["text"], b["gone"]):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, release, table
 
 GRAM, WINDOW, NEAR = 10, 41, 4
 LEAST = GRAM + WINDOW - 1
@@ -88,6 +88,7 @@ def _digest(text: str):
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     hashed = WordHash()
     for b in batches:
         for from_ in range(0, b.num_rows, 500):
@@ -112,6 +113,7 @@ _KEY = 8 + 8 * REACH + 12
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     hashed = WordHash()
     for b in batches:
         for i, (t, first, at) in enumerate(zip(b["text"].to_pylist(), b["first"].to_pylist(), b["places"].to_pylist())):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, components, table
+from .common import ASCII_SPACE, Scratch, components, release, table
 
 BITS, SEED, BLOCK, FLUSH = 64, 42, 20_000, 2_000_000
 
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
     """(key, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             fp = np.array([fingerprint(t, words, distinct) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"key": b["key"], "fp": fp})
@@ -95,6 +96,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _solver(radius: int):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         parts = [(b["g"].to_numpy(), b["fp"].to_numpy()) for b in batches]
         if not parts:
             return

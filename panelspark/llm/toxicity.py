@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 
 CUES, CANDIDATES, SAMPLE, LEAST_DOCS, BROADCAST_ROWS = 800, 20_000, 3000, 3, 2_000_000
 #: Signs and the letters they are written for.
@@ -125,7 +125,7 @@ def disguised(word: str) -> bool:
 class Words:
     """Cues of words; a worker's cache, emptied when full."""
 
-    def __init__(self, model: np.ndarray, most: int = 400_000):
+    def __init__(self, model: np.ndarray, most: int = 150_000):
         self.model, self.most, self.known = model, most, {}
 
     @staticmethod
@@ -173,16 +173,9 @@ class Words:
         return out
 
 
-_WORDS: dict[int, Words] = {}
-
-
 def _words(shared) -> Words:
-    """One cache a worker and model."""
-    key = id(shared)
-    if key not in _WORDS:
-        _WORDS.clear()
-        _WORDS[key] = Words(shared)
-    return _WORDS[key]
+    """One cache a worker and model; it holds the model, so no other can take its id."""
+    return hold("words", id(shared), lambda: Words(shared))
 
 
 def held_out(key: Column) -> Column:

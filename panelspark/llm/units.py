@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from .common import hold
+
 _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = ".,;:?!"
@@ -35,7 +37,7 @@ class Cache:
 
     BARE = "\x01"
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 900_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 600_000, longest: int = 64):
         self.encode, self.encode_words, self.most, self.longest = encode, encode_words, most, longest
         self.known: dict[str, bytes] = {}
 
@@ -90,13 +92,10 @@ class Cache:
             known[w] = known[body] + known[bare + w[len(body) :]]
 
 
-_CACHES: dict[int, Cache] = {}
-
-
 def tokenizer_cache(json_text: str) -> Cache:
     """The worker's cache for a tokenizers JSON; workers live on between tasks."""
-    key = hash(json_text)
-    if key not in _CACHES:
+
+    def make() -> Cache:
         import gc
         import os
 
@@ -132,8 +131,9 @@ def tokenizer_cache(json_text: str) -> Cache:
                     out += encode([" " + w for w in some])
             return out
 
-        _CACHES[key] = Cache(encode, encode_words)
-    return _CACHES[key]
+        return Cache(encode, encode_words)
+
+    return hold("tokens", hash(json_text), make)
 
 
 def slices(batch, column: str, most_bytes: int = 4_000_000):
