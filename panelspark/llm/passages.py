@@ -5,8 +5,8 @@
 2. Suffixes that start at anchors whose shingle stands twice are sorted as one sequence: by shingle, the words after it, the words before
    it, then document and place. The sort is a range partitioning on the whole key, which is unique, so no shingle, however common,
    is one task's.
-3. Each suffix is compared with the next NEAR in the order, also over the borders of tasks (a few rows a task meet on the driver):
-   the match is extended right and left, up to REACH words; LEAST words in all make a link.
+3. Each suffix is compared with the next NEAR in the order, also over the borders of tasks (the first and last rows of FAN tasks in a row
+   meet in one, then those of FAN such groups, level by level): the match is extended right and left, up to REACH words; LEAST words in all make a link.
 4. Rows linked in a chain are one passage. Its first place, by (document, word), is kept; the others may go. Anchors lie at most WINDOW
    apart, so the spans of a long passage's anchors join up.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release, table
 
-GRAM, WINDOW, NEAR = 10, 41, 4
+GRAM, WINDOW, NEAR, FAN = 10, 41, 4, 16
 LEAST = GRAM + WINDOW - 1
 REACH = LEAST - GRAM  # words of context kept on either side of the shingle
 LAST_ID = (1 << 63) - 1
@@ -221,17 +221,22 @@ _MATCH = pa.schema([
 _MATCH_SQL = "kind int, part int, uid binary, first long, pos long, l long, r long, cut_l long, cut_r long, root_first long, root_pos long, gram long, key binary, before int, after int"
 
 
-def _emit(rows: Rows, uid: pa.Array, got: dict, at: np.ndarray, kind: int, part: int, key=None) -> pa.RecordBatch:
-    n, root = len(at), got["root"][at]
+def _emit(rows: Rows, uid: pa.Array, got: dict, root: tuple[np.ndarray, np.ndarray], at: np.ndarray, kind: int, part: int, key=None) -> pa.RecordBatch:
+    n = len(at)
     long = lambda x: pa.array(x[at], pa.int64())
     empty = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
     more = empty if key is None else [pa.array([key[i] for i in at], pa.binary()), pa.array(rows.before[at], pa.int32()), pa.array(rows.after[at], pa.int32())]
     return pa.record_batch([
         pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), uid.take(pa.array(at)), long(rows.first), long(rows.pos), long(got["l"]), long(got["r"]),
-        long(got["cut_l"]), long(got["cut_r"]), pa.array(rows.first[root]), pa.array(rows.pos[root]), pa.array(rows.gram.view(np.int64)[at]), *more,
+        long(got["cut_l"]), long(got["cut_r"]), long(root[0]), long(root[1]), long(rows.gram.view(np.int64)), *more,
     ], schema=_MATCH)
 
 
+def _ends(n: int) -> np.ndarray:
+    """The NEAR first and last of n rows."""
+    return np.unique(np.r_[: min(NEAR, n), max(0, n - NEAR) : n])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
     """Of a task's sorted suffixes: the matched ones (kind 0) and, whole, the NEAR first and last (kind 1)."""
     from pyspark import TaskContext
@@ -246,25 +251,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.
     rows = Rows(key, t["before"].to_numpy(), t["after"].to_numpy(), within)
     n = len(key)
     got = solve(rows, rows.pairs())
+    root = rows.first[got["root"]], rows.pos[got["root"]]
     at = np.flatnonzero(got["hit"])
     for from_ in range(0, len(at), 20_000):
-        yield _emit(rows, uid, got, at[from_ : from_ + 20_000], 0, part)
-    yield _emit(rows, uid, got, np.unique(np.r_[: min(NEAR, n), max(0, n - NEAR) : n]), 1, part, key)
+        yield _emit(rows, uid, got, root, at[from_ : from_ + 20_000], 0, part)
+    yield _emit(rows, uid, got, root, _ends(n), 1, part, key)
 
 
-def _stitch(edge: list, within: bool) -> tuple[list[tuple], list[tuple]]:
-    """Links over the borders of tasks, from their first and last rows: further matches, and roots that others replace."""
-    edge = sorted(edge, key=lambda e: (e["part"], bytes(e["key"])))
-    if len(edge) < 2:
-        return [], []
-    rows = Rows([bytes(e["key"]) for e in edge], [e["before"] for e in edge], [e["after"] for e in edge], within)
-    part, n = np.array([e["part"] for e in edge]), len(edge)
+def _stitch(edge: pa.Table, within: bool) -> pa.Table:
+    """Links over the borders of FAN parts in a row, from their first and last rows: further matches (kind 0), the first and last rows of the
+    whole (kind 1), and roots that others replace (kind 2: the new one is in first and pos)."""
+    edge = edge.sort_by([("part", "ascending"), ("key", "ascending")]).combine_chunks()
+    key, uid, part = edge["key"].to_pylist(), edge["uid"].combine_chunks(), edge["part"].to_numpy()
+    uid = uid if isinstance(uid, pa.Array) else uid.chunk(0)
+    rows, n = Rows(key, edge["before"].to_numpy(), edge["after"].to_numpy(), within), len(key)
     pairs = []
     for d in range(1, min(NEAR, n - 1) + 1):
         i, j = np.arange(n - d), np.arange(d, n)
         pairs.append((i[part[i] != part[j]], j[part[i] != part[j]]))
     got = solve(rows, pairs)
-    more = [(e["uid"], int(rows.first[i]), int(rows.pos[i]), int(got["l"][i]), int(got["r"][i]), int(got["cut_l"][i]), int(got["cut_r"][i]), e["root_first"], e["root_pos"], e["gram"]) for i, e in enumerate(edge) if got["hit"][i]]
+    roots = list(zip(edge["gram"].to_pylist(), edge["root_first"].to_pylist(), edge["root_pos"].to_pylist()))
     parent: dict[tuple, tuple] = {}
 
     def find(x):
@@ -275,10 +281,42 @@ def _stitch(edge: list, within: bool) -> tuple[list[tuple], list[tuple]]:
     for i, j in pairs:
         ok = rows.compare(i, j)[2]
         for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-            x, y = (find((edge[k]["gram"], edge[k]["root_first"], edge[k]["root_pos"])) for k in (a, b))
+            x, y = find(roots[a]), find(roots[b])
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    return more, [(*x, find(x)[1], find(x)[2]) for x in parent]
+    now = [find(x) for x in roots]
+    root, whole = (np.array([x[1] for x in now], np.int64), np.array([x[2] for x in now], np.int64)), int(part[0]) // FAN
+    moved = [dict(kind=2, part=whole, gram=x[0], root_first=x[1], root_pos=x[2], first=find(x)[1], pos=find(x)[2]) for x in parent]
+    return pa.Table.from_batches([
+        _emit(rows, uid, got, root, np.flatnonzero(got["hit"]), 0, whole), _emit(rows, uid, got, root, _ends(n), 1, whole, key),
+        pa.RecordBatch.from_pylist(moved, schema=_MATCH),
+    ])
+
+
+def _stitched(met: DataFrame, within: bool, scratch: Scratch) -> DataFrame:
+    """Matches of all tasks with the roots that hold over all borders. A level takes a sixteenth of the rows of the one before; the number of
+    levels is the logarithm of the number of tasks, and only that number reaches the driver."""
+    edges, levels, place = met.where("kind = 1"), [], ["gram", "root_first", "root_pos"]
+    top = edges.agg(F.max("part")).first()[0] or 0
+    while top > 0:
+        grouped = edges.groupBy(F.expr(f"part div {FAN}"))
+        levels.append(scratch.keep(grouped.applyInArrow(lambda t: _stitch(t, within), _MATCH_SQL), "borders"))
+        edges, top = levels[-1].where("kind = 1"), top // FAN
+    match, moved = met.where("kind = 0"), None
+    for level in levels:
+        match = match.unionByName(level.where("kind = 0"))
+        to = level.where("kind = 2").select(*place, F.col("first").alias("to_first"), F.col("pos").alias("to_pos"))
+        if moved is not None:  # where a later level moves on what an earlier one has moved
+            then = to.toDF("gram", "to_first", "to_pos", "then_first", "then_pos")
+            both = moved.join(then, ["gram", "to_first", "to_pos"], "left")
+            to = to.unionByName(both.select(*place, F.coalesce("then_first", "to_first").alias("to_first"), F.coalesce("then_pos", "to_pos").alias("to_pos")))
+        moved = to
+    match = match.drop("kind", "part", "key", "before", "after")
+    if moved is None:
+        return match
+    rest = [c for c in match.columns if c not in ("root_first", "root_pos")]
+    out = match.join(moved, place, "left")
+    return out.select(*rest, F.coalesce("to_first", "root_first").alias("root_first"), F.coalesce("to_pos", "root_pos").alias("root_pos"))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -297,12 +335,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: b
     context = scratch.keep(texts.mapInArrow(_contexts, "key binary, uid binary, before int, after int"), "suffixes")
     met = scratch.keep(context.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(lambda b: _neighbours(b, within), _MATCH_SQL), "matches")
     scratch.drop(context, found, twice)
-    more, moved = _stitch(met.where("kind = 1").collect(), within)  # 2 * NEAR rows a task at most
-    match = met.where("kind = 0").drop("kind", "part", "key", "before", "after")
-    match = match.unionByName(spark.createDataFrame(more, "uid binary, first long, pos long, l long, r long, cut_l long, cut_r long, root_first long, root_pos long, gram long"))
-    to = spark.createDataFrame(moved, "gram long, root_first long, root_pos long, to_first long, to_pos long")
-    match = match.join(F.broadcast(to), ["gram", "root_first", "root_pos"], "left")
-    root_first, root_pos = F.coalesce("to_first", "root_first"), F.coalesce("to_pos", "root_pos")
+    match = _stitched(met, within, scratch)
+    root_first, root_pos = F.col("root_first"), F.col("root_pos")
     goes = (root_first != F.col("first")) | (root_pos != F.col("pos"))
     mark = F.struct(
         (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"),

@@ -178,6 +178,27 @@ def test_a_passage_in_many_documents(spark, pytestconfig):
             assert left == w
 
 
+def test_a_passage_over_the_borders_of_many_tasks(spark, pytestconfig):
+    """Some 60 tasks hold a few rows each of one passage's chain, so borders are joined in two levels."""
+    p = pytestconfig.prose
+    passage = p(60, 99)
+    rows = [(i, f"{p(20 + i % 50, 2000 + i)} {passage} {p(30, 5000 + i)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r for r in passages.find_passages(df).collect()}
+        cut = {r["doc_id"]: r["text"] for r in passages.cut_passages(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {k: spread(r["spans"]) for k, r in got.items()} == brute_passages(rows)
+    assert not got[0]["cut_spans"] and all(0 in r["partners"] for k, r in got.items() if k)
+    assert [k for k, t in cut.items() if passage in t] == [0]
+
+
 def test_cut_leaves_clean_documents(docs, rows, none):
     cut = [(r["doc_id"], r["text"]) for r in passages.cut_passages(docs).collect()]
     left = [r for r in rows if r[0] not in (2, 3, 8)]
