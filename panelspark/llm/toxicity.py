@@ -288,8 +288,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words, (weights, constant) = _words(share.value), rest.value
+        counts = frozenset(weights)
         for b in batches:
-            total = [constant + sum(weights.get(c, 0.0) for c in sorted(words.text(t))) for t in b]
+            total = [constant + sum(weights[c] for c in sorted(words.text(t) & counts)) for t in b]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(total, float), -60, 60))))
 
     return docs.drop("score").withColumn("score", run(F.col(text)))
