@@ -200,11 +200,149 @@ def _alike(a: bytes, others: list[bytes], least: float) -> bool:
     return any(min(len(a), len(b)) >= least * max(len(a), len(b)) and jaccard(a, b) >= least for b in others)
 
 
+class Shingles:
+    """Sorted distinct hashes of a text's word shingles from hashes of its words: what shingle_set() tells apart, at a part of its cost."""
+
+    def __init__(self, words: int, most: int = 400_000):
+        self.words, self.most, self.known = words, most, {}
+        self.mult = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(words)], np.uint64)
+
+    def __call__(self, text: str) -> np.ndarray:
+        w, known = text.encode().lower().split(), self.known
+        if len(known) > self.most:
+            known.clear()
+        for x in set(w).difference(known):
+            known[x] = xxhash.xxh64_intdigest(x, SEED)
+        h = np.fromiter((known[x] for x in w), np.uint64, len(w))
+        n = max(1, len(h) - self.words + 1)
+        g = np.zeros(n, np.uint64)
+        for i in range(min(self.words, len(h))):
+            g += h[i : i + n] * self.mult[i]
+        g ^= g >> np.uint64(31)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        return np.unique(g ^ (g >> np.uint64(29)))
+
+
+def _meet(similarity: float):
+    """Pairs of one bucket (g) whose sizes and places (np: set's size << 32 | place of the shared shingle in the set's order) allow that Jaccard."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        parts = [[b[c].to_numpy() for c in ("g", "id", "comp", "np")] for b in batches]
+        if not parts:
+            return
+        g, doc, comp, both = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.lexsort((both, g))
+        g, doc, comp, both = g[order], doc[order], comp[order], both[order]
+        n, place = both >> 32, both & 0xFFFFFFFF
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        last = np.repeat(np.r_[starts[1:], len(g)], np.diff(np.r_[starts, len(g)]))
+        held, kept, d = 0, [], 1
+        at = np.arange(len(g))
+
+        def flush() -> pa.RecordBatch:
+            a, b = np.unique(np.concatenate(kept, 1), axis=1)
+            kept.clear()
+            return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+        while len(at):
+            at = at[at + d < last[at]]
+            at = at[n[at] >= similarity * n[at + d] - 1e-6]  # sizes ascend in a bucket: later ones are no nearer
+            j = at + d
+            most = np.minimum(n[at] - place[at], n[j] - place[j])  # shared ones, if this is the first
+            ok = (comp[at] != comp[j]) & (most * (1 + similarity) >= similarity * (n[at] + n[j]) - 1e-6)
+            a, b = doc[at[ok]], doc[j[ok]]
+            kept.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            held += len(a)
+            d += 1
+            if held > FLUSH:
+                yield flush()
+                held = 0
+        if held:
+            yield flush()
+
+    return solve
+
+
+def alike_links(texts: DataFrame, words: int, similarity: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(a, b): components that hold two texts whose shingles' Jaccard is at least ``similarity``. texts: uid, comp, text; a uid a text.
+
+    Exact, by prefixes: sets of m and n shingles that alike share one of the first n - ceil(similarity n) + 1 of each in any one order of
+    all shingles. The order is by hash, with those that are frequent in a sample of texts last, so that common ones seldom decide; the sample
+    drops nothing. A frequent shingle's bucket is cut into blocks and its pairs of blocks go to tasks of their own. Pairs that meet are
+    compared in whole.
+    """
+    share = max(32, texts.count() // 20_000)
+    name = F.xxhash64("uid")
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        sets = Shingles(words)
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"s": sets(t).view(np.int64)})
+
+    sample = texts.where(F.pmod(name, F.lit(share)) == 0).select("text").mapInPandas(seen, "s long")
+    counted = sample.groupBy("s").agg(F.count("*").alias("n")).where("n >= 8").toPandas()  # at most an eighth of 20,000 texts' shingles
+    often = counted["s"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(often)
+    shared = texts.sparkSession.sparkContext.broadcast((often[by], counted["n"].to_numpy(np.int64)[by] * share))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        sets, (often, counts) = Shingles(words), shared.value
+        for b in batches:
+            for from_ in range(0, b.num_rows, 200):
+                part = b.slice(from_, 200)
+                out = []
+                for doc, comp, t in zip(part["id"].to_pylist(), part["comp"].to_pylist(), part["text"].to_pylist()):
+                    s = sets(t)
+                    n = len(s)
+                    count = np.zeros(n, np.int64)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        count = np.where(often[at] == s, counts[at], 0)
+                    order = np.lexsort((s, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    g, place = s[order], np.arange(len(order))
+                    blocks = -(-count[order] // block)
+                    if (blocks > 1).any():
+                        pieces = [(g[blocks <= 1], place[blocks <= 1])]
+                        for x, i, k in zip(g[blocks > 1].tolist(), place[blocks > 1].tolist(), blocks[blocks > 1].tolist()):
+                            own = doc % k
+                            pairs = np.array([min(own, m) * k + max(own, m) + 1 for m in range(k)], np.uint64)
+                            pieces.append((np.uint64(x) ^ pairs * np.uint64(0x9E3779B97F4A7C15), np.full(k, i)))
+                        g, place = (np.concatenate(x) for x in zip(*pieces))
+                    out.append((g, np.full(len(g), doc), np.full(len(g), comp), (n << 32) + place))
+                g, doc, comp, both = (np.concatenate(x) for x in zip(*out))
+                yield pa.record_batch({"g": pa.array(g.view(np.int64)), "id": pa.array(doc), "comp": pa.array(comp), "np": pa.array(both)})
+
+    keyed = texts.select(name.alias("id"), F.xxhash64("comp").alias("comp"), "text").mapInArrow(prefixes, "g long, id long, comp long, np long")
+    pairs = scratch.keep(keyed.repartition("g").mapInArrow(_meet(similarity), "a long, b long").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(sh=[shingle_set(t, words) for t in b["text"]]).drop(columns="text")
+
+    met = texts.withColumn("id", name).join(wanted, "id").select("id", "comp", "text")
+    sets = scratch.keep(met.mapInPandas(shingled, "id long, comp binary, sh binary"), "sets")
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[_alike(x, [y], similarity) for x, y in zip(b["sa"], b["sb"])], ["a", "b"]]
+
+    left = sets.select(F.col("id").alias("i"), F.col("comp").alias("ca"), F.col("sh").alias("sa"))
+    right = sets.select(F.col("id").alias("j"), F.col("comp").alias("cb"), F.col("sh").alias("sb"))
+    both = pairs.join(left, F.col("a") == F.col("i")).join(right, F.col("b") == F.col("j"))
+    return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "sa", "sb").mapInPandas(verified, "a binary, b binary").distinct()
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, key: str = "doc_id", text: str = "text", leaders: int = 64, chunk: int = 500) -> DataFrame:
     """docs without near-copies: each row that goes has a staying row of a lesser key, their word shingles' Jaccard at least ``similarity``.
 
-    Candidates are the components of fingerprints over the set of distinct words within ``radius`` bits: one changed word changes
-    one feature there but ``words`` shingles, so shingle sets that alike lie within it nearly always. Within a component, in rounds,
+    Candidates are the components of fingerprints over the set of distinct words within ``radius`` bits, joined where alike_links() finds
+    texts of two components alike: no pair of that similarity lies in two. Within a component, in rounds,
     the ``leaders`` least rows settle among themselves, and all others are compared with those that stay, in chunks; what is left
     goes into the next round. Exact copies go first. Rows of one key and text count as one row; a null key counts as after all
     others; texts without words are never copies of each other. Rows that stay pass unchanged.
@@ -218,6 +356,13 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     first = scratch.keep(rows.groupBy("uid").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "first")
     near = near_duplicates(rows.select("uid", "text"), 1, radius, "uid", "text", distinct_shingles=True)
     placed = scratch.keep(near.select("uid", F.col("component_id").alias("comp")).distinct(), "placed")
+    one = first.select(F.col("uid").alias("u"), F.col("first").alias("d"))
+    texts = rows.join(one, (rows["uid"] == one["u"]) & (rows["doc"] == one["d"])).select("uid", "text").join(placed, "uid")
+    texts = scratch.keep(texts.dropDuplicates(["uid"]), "texts")
+    joined = components(alike_links(texts, words, similarity, scratch), scratch)
+    scratch.drop(texts)
+    moved = placed.join(joined, placed["comp"] == joined["node"], "left").select("uid", F.coalesce("root", "comp").alias("comp"))
+    placed = scratch.keep(moved, "placed")
     sizes = placed.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("comp", "c")
     members = placed.join(sizes, placed["comp"] == sizes["c"]).select("uid", "comp").join(first, "uid").select(F.col("uid").alias("u"), "comp", "first")
 

@@ -128,6 +128,37 @@ def test_near_dedup_in_rounds(spark, pytestconfig):
     assert not any(simhash.jaccard(sets[a], sets[b]) >= 0.8 for a, b in itertools.combinations(sorted(kept), 2))
 
 
+def test_near_dedup_finds_appended_cut_and_short_copies(spark, pytestconfig):
+    """Copies with a block appended, cut short, or of few words: their word fingerprints lie far apart, their shingles alike."""
+    p = pytestconfig.prose
+    texts = []
+    for i in range(40):
+        base = p(200, 700 + i)
+        texts += [(10 * i, base), (10 * i + 1, f"{base} {p(35, 900 + i)}"), (10 * i + 2, " ".join(base.split()[:170])), (10 * i + 3, p(20, 1100 + i))]
+        texts.append((10 * i + 4, " ".join(p(20, 1100 + i).split()[:-1] + ["other"])))
+    sets = {k: simhash.shingle_set(t, 5) for k, t in texts}
+    want = []
+    for k in sorted(sets):
+        if not any(simhash.jaccard(sets[k], sets[j]) >= 0.8 for j in want):
+            want.append(k)
+    far = [a for a, b in itertools.combinations(range(len(texts)), 2) if simhash.jaccard(sets[texts[a][0]], sets[texts[b][0]]) >= 0.8 and (simhash.fingerprint(texts[a][1], 1, True) ^ simhash.fingerprint(texts[b][1], 1, True)).bit_count() > 6]
+    assert len(far) > 20 and len(want) == 80
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(frame).collect()) == want
+
+
+def test_alike_links_in_blocks(spark, pytestconfig):
+    """Shingles that most texts hold, in buckets far above the block size; every pair that alike is linked."""
+    p = pytestconfig.prose
+    common = p(120, 5)
+    texts = [(i.to_bytes(16), i.to_bytes(16), f"{common} {p(20 + i % 7, 40 + i)}") for i in range(600)]
+    frame = spark.createDataFrame(texts, "uid binary, comp binary, text string")
+    got = {(bytes(min(r)), bytes(max(r))) for r in simhash.alike_links(frame, 5, 0.7, Scratch(spark, "t"), block=50).collect()}
+    sets = [simhash.shingle_set(t, 5) for _, _, t in texts]
+    want = {(a.to_bytes(16), b.to_bytes(16)) for a, b in itertools.combinations(range(600), 2) if simhash.jaccard(sets[a], sets[b]) >= 0.7}
+    assert got == want and len(want) > 1000
+
+
 # ---------------------------------------------------------------- passages
 def brute_passages(rows, n=passages.LEAST):
     where = {}
