@@ -1,14 +1,13 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by sampled shingles and the windows around them.
 
 1. Anchors: of every WINDOW consecutive GRAM-word shingles the one with the least hash is kept. What is kept depends on the words around it
    only, and every passage of LEAST = GRAM + WINDOW - 1 words or more holds an anchor, the same one wherever it stands.
-2. Suffixes that start at anchors whose shingle stands twice are sorted as one sequence: by shingle, the words after it, the words before
-   it, then document and place. The sort is a range partitioning on the whole key, which is unique, so no shingle, however common,
-   is one task's.
-3. Each suffix is compared with the next NEAR in the order, also over the borders of tasks (the first and last rows of FAN tasks in a row
-   meet in one, then those of FAN such groups, level by level): the match is extended right and left, up to REACH words; LEAST words in all make a link.
-4. Rows linked in a chain are one passage. Its first place, by (document, word), is kept; the others may go. Anchors lie at most WINDOW
-   apart, so the spans of a long passage's anchors join up.
+2. Windows: every LEAST words in a row whose anchor's shingle stands twice become a row: a 64-bit hash of the words, 32 bits of the shingle's hash, document
+   and place. Two places share LEAST words if and only if they share such a window, so no pair is missed, however many others share the shingle.
+3. Windows are sorted by range on window and place. The key is unique, so no window, however common, is one task's. A task tells of each window's
+   places which is first; windows that lie over a border of tasks are told by joining the first and last window of each task.
+4. A window of two documents is repeated. Its first place, by (document, word), is kept; the others may go: a word goes only if an earlier place
+   holds a window around it. A longer passage is the union of its windows.
 
 Equal texts are handled once, under their digest: of several, all but the first repeat in whole.
 """
@@ -27,11 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release, table
 
-GRAM, WINDOW, NEAR, FAN = 10, 41, 4, 16
+GRAM, WINDOW = 10, 41
 LEAST = GRAM + WINDOW - 1
-REACH = LEAST - GRAM  # words of context kept on either side of the shingle
 LAST_ID = (1 << 63) - 1
-_MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(GRAM)], np.uint64)
+_MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(LEAST)], np.uint64)
 _WORD = re.compile(r"\S+")
 
 
@@ -59,17 +57,24 @@ def _slide(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(out[: len(x) - n + 1], out[n - size : n - size + len(x) - n + 1])
 
 
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n consecutive words from their hashes h."""
+    m = len(h) - n + 1
+    g = np.zeros(m, np.uint64)
+    for i in range(n):
+        g += h[i : i + m] * _MULT[i]
+    g ^= g >> np.uint64(31)
+    g *= np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(29)
+    return g
+
+
 def anchors(h: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places and shingle hashes of the anchors in word hashes h. Texts under gram + window - 1 words have none."""
     n = len(h) - gram + 1
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = np.zeros(n, np.uint64)
-    for i in range(gram):
-        g += h[i : i + n] * _MULT[i]
-    g ^= g >> np.uint64(31)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(29)
+    g = _mixed(h, gram)
     least = _slide(g, window, np.minimum)
     # i is an anchor if the least of some window over it is its own: the greatest of those leasts equals g[i]
     padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
@@ -103,224 +108,85 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([part["uid"].take(pa.array(np.concatenate(of))), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(grams))], names=["uid", "pos", "gram"])
 
 
-def _big(x: np.ndarray, kind: str) -> np.ndarray:
-    """Big-endian bytes, a row an element."""
-    return np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), -1)
-
-
-#: key: 8 bytes shingle, 4 bytes a word for REACH words after, as many before (backwards), 8 first document, 4 place.
-_KEY = 8 + 8 * REACH + 12
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows whose anchor's shingle is one of grams. at: the shingle's upper 32 bits, then the place."""
     release()
     hashed = WordHash()
     for b in batches:
-        for i, (t, first, at) in enumerate(zip(b["text"].to_pylist(), b["first"].to_pylist(), b["places"].to_pylist())):
-            h = hashed(t.split())
-            at = np.array(sorted(at))
-            g = np.zeros(len(at), np.uint64)
-            for j in range(GRAM):
-                g += h[at + j] * _MULT[j]
-            short = np.concatenate([np.zeros(REACH, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(REACH + GRAM, np.uint32)])
-            right = short[at[:, None] + REACH + GRAM + np.arange(REACH)[None]]
-            left = short[at[:, None] + REACH - 1 - np.arange(REACH)[None]]
-            key = np.concatenate([_big(g, ">u8"), _big(right, ">u4"), _big(left, ">u4"), _big(np.full(len(at), first), ">i8"), _big(at, ">i4")], axis=1)
-            yield pa.record_batch([
-                pa.array([k.tobytes() for k in key], pa.binary()), pa.array([b["uid"][i].as_py()] * len(at), pa.binary()),
-                pa.array(np.minimum(at, REACH), pa.int32()), pa.array(np.minimum(len(h) - at - GRAM, REACH), pa.int32()),
-            ], names=["key", "uid", "before", "after"])
-
-
-class Rows:
-    """Sorted suffixes as arrays."""
-
-    def __init__(self, key: list[bytes], before, after, within: bool = False):
-        self.within = within
-        raw = np.frombuffer(b"".join(key), np.uint8).reshape(len(key), _KEY)
-        cut = lambda a, z, kind: np.ascontiguousarray(raw[:, a:z]).view(kind)
-        self.gram = cut(0, 8, ">u8")[:, 0].astype(np.uint64)
-        self.right = cut(8, 8 + 4 * REACH, ">u4").astype(np.uint32)
-        self.left = cut(8 + 4 * REACH, 8 + 8 * REACH, ">u4").astype(np.uint32)
-        self.first = cut(_KEY - 12, _KEY - 4, ">i8")[:, 0].astype(np.int64)
-        self.pos = cut(_KEY - 4, _KEY, ">i4")[:, 0].astype(np.int64)
-        self.before, self.after = np.asarray(before), np.asarray(after)
-
-    def compare(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words in common before, from the anchor on, and whether the pair is a link. Places of one text are none, or with ``within`` those that don't overlap."""
-
-        def run(m, a, most):
-            differ = m[a[0]] != m[a[1]]
-            n = np.where(differ.any(1), differ.argmax(1), m.shape[1])
-            return np.minimum(n, np.minimum(most[a[0]], most[a[1]]))
-
-        r = GRAM + run(self.right, (i, j), self.after)
-        l = run(self.left, (i, j), self.before)  # noqa: E741
-        apart = self.first[i] != self.first[j]
-        if self.within:
-            apart |= np.abs(self.pos[i] - self.pos[j]) >= LEAST
-        return l, r, (self.gram[i] == self.gram[j]) & (l + r >= LEAST) & apart
-
-    def pairs(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each row with the next NEAR, and with the nearest of another document on either side."""
-        n = len(self.gram)
-        out = [(np.arange(n - d), np.arange(d, n)) for d in range(1, min(NEAR, n - 1) + 1)]
-        starts = np.flatnonzero(np.r_[True, self.first[1:] != self.first[:-1]])
-        run = np.cumsum(np.r_[False, self.first[1:] != self.first[:-1]])
-        follows, leads = np.r_[starts[1:], n][run], (starts - 1)[run]
-        row = np.arange(n)
-        ahead, behind = (follows < n) & (follows - row > NEAR), (leads >= 0) & (row - leads > NEAR)
-        return [*out, (row[ahead], follows[ahead]), (leads[behind], row[behind])]
-
-    def earlier(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether i stands before j."""
-        return (self.first[i] < self.first[j]) | ((self.first[i] == self.first[j]) & (self.pos[i] < self.pos[j]))
-
-
-def solve(rows: Rows, pairs: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Spans and chains from compared pairs: l, r (farthest reach), cut_l, cut_r (what an earlier place has), root (row), hit."""
-    n = len(rows.gram)
-    out = {k: np.zeros(n, np.int64) for k in ("l", "r", "early_l", "early_r")} | {k: np.full(n, 1 << 30) for k in ("least_l", "least_r")}
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, j in pairs:
-        l, r, ok = rows.compare(i, j)  # noqa: E741
-        i, j, l, r = i[ok], j[ok], l[ok], r[ok]  # noqa: E741
-        links.append((i, j))
-        first = rows.earlier(i, j)
-        for a, late in ((i, ~first), (j, first)):
-            np.maximum.at(out["l"], a, l), np.maximum.at(out["r"], a, r)
-            np.minimum.at(out["least_l"], a, l), np.minimum.at(out["least_r"], a, r)
-            np.maximum.at(out["early_l"], a[late], l[late]), np.maximum.at(out["early_r"], a[late], r[late])
-    order = np.lexsort((rows.pos, rows.first))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    root = rank.copy()  # by rank in reading order, so the least is the first place
-    a = np.concatenate([x for x, _ in links]) if links else np.zeros(0, int)
-    b = np.concatenate([y for _, y in links]) if links else np.zeros(0, int)
-    while True:
-        fresh = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(fresh, a, low), np.minimum.at(fresh, b, low)
-        np.minimum.at(fresh, order[root[a]], low), np.minimum.at(fresh, order[root[b]], low)
-        fresh = fresh[order[fresh]]
-        if np.array_equal(fresh, root):
-            break
-        root = fresh
-    out["hit"] = out["r"] > 0
-    early = out["early_r"] > 0
-    out["cut_l"], out["cut_r"] = np.where(early, out["early_l"], out["least_l"]), np.where(early, out["early_r"], out["least_r"])
-    out["root"] = order[root]
-    return out
+        for from_ in range(0, b.num_rows, 100):
+            part = b.slice(from_, 100)
+            out = []
+            for t, first, text, grams in zip(part["text"].to_pylist(), part["first"].to_pylist(), part["id"].to_pylist(), part["grams"].to_pylist()):
+                h = hashed(t.split())
+                least = _slide(_mixed(h, GRAM), WINDOW, np.minimum)
+                pos = np.flatnonzero(np.isin(least, np.array(grams, np.int64).view(np.uint64)))
+                at = (least[pos] >> np.uint64(32) << np.uint64(32)) + pos.astype(np.uint64)
+                out.append((_mixed(h, LEAST)[pos].view(np.int64), at.view(np.int64), np.full(len(pos), first), np.full(len(pos), text)))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], names=["window", "at", "first", "id"])
 
 
 _MATCH = pa.schema([
-    ("kind", pa.int32()), ("part", pa.int32()), ("uid", pa.binary()), ("first", pa.int64()), ("pos", pa.int64()), ("l", pa.int64()), ("r", pa.int64()),
-    ("cut_l", pa.int64()), ("cut_r", pa.int64()), ("root_first", pa.int64()), ("root_pos", pa.int64()), ("gram", pa.int64()),
-    ("key", pa.binary()), ("before", pa.int32()), ("after", pa.int32()),
+    ("kind", pa.int32()), ("window", pa.int64()), ("gram", pa.int32()), ("first", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()),
+    ("low_first", pa.int64()), ("low_pos", pa.int32()), ("high_first", pa.int64()), ("high_pos", pa.int32()),
 ])
-_MATCH_SQL = "kind int, part int, uid binary, first long, pos long, l long, r long, cut_l long, cut_r long, root_first long, root_pos long, gram long, key binary, before int, after int"
-
-
-def _emit(rows: Rows, uid: pa.Array, got: dict, root: tuple[np.ndarray, np.ndarray], at: np.ndarray, kind: int, part: int, key=None) -> pa.RecordBatch:
-    n = len(at)
-    long = lambda x: pa.array(x[at], pa.int64())
-    empty = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
-    more = empty if key is None else [pa.array([key[i] for i in at], pa.binary()), pa.array(rows.before[at], pa.int32()), pa.array(rows.after[at], pa.int32())]
-    return pa.record_batch([
-        pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), uid.take(pa.array(at)), long(rows.first), long(rows.pos), long(got["l"]), long(got["r"]),
-        long(got["cut_l"]), long(got["cut_r"]), long(root[0]), long(root[1]), long(rows.gram.view(np.int64)), *more,
-    ], schema=_MATCH)
+_MATCH_SQL = "kind int, window long, gram int, first long, id long, pos int, low_first long, low_pos int, high_first long, high_pos int"
 
 
-def _ends(n: int) -> np.ndarray:
-    """The NEAR first and last of n rows."""
-    return np.unique(np.r_[: min(NEAR, n), max(0, n - NEAR) : n])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch], within: bool) -> Iterator[pa.RecordBatch]:
-    """Of a task's sorted suffixes: the matched ones (kind 0) and, whole, the NEAR first and last (kind 1)."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted windows: places of those that stand twice (kind 0), with the first and last place of each; the places of the task's first and
+    last window, which others may share (kind 1); and one row of each of these two with its first and last place (kind 2)."""
+    release()
     data = list(batches)
     if not sum(b.num_rows for b in data):
         return
-    t = pa.Table.from_batches(data).combine_chunks()
-    key, uid = t["key"].to_pylist(), t["uid"].combine_chunks()
-    uid = uid if isinstance(uid, pa.Array) else uid.chunk(0)
-    rows = Rows(key, t["before"].to_numpy(), t["after"].to_numpy(), within)
-    n = len(key)
-    got = solve(rows, rows.pairs())
-    root = rows.first[got["root"]], rows.pos[got["root"]]
-    at = np.flatnonzero(got["hit"])
-    for from_ in range(0, len(at), 20_000):
-        yield _emit(rows, uid, got, root, at[from_ : from_ + 20_000], 0, part)
-    yield _emit(rows, uid, got, root, _ends(n), 1, part, key)
-
-
-def _stitch(edge: pa.Table, within: bool) -> pa.Table:
-    """Links over the borders of FAN parts in a row, from their first and last rows: further matches (kind 0), the first and last rows of the
-    whole (kind 1), and roots that others replace (kind 2: the new one is in first and pos)."""
-    edge = edge.sort_by([("part", "ascending"), ("key", "ascending")]).combine_chunks()
-    key, uid, part = edge["key"].to_pylist(), edge["uid"].combine_chunks(), edge["part"].to_numpy()
-    uid = uid if isinstance(uid, pa.Array) else uid.chunk(0)
-    rows, n = Rows(key, edge["before"].to_numpy(), edge["after"].to_numpy(), within), len(key)
-    pairs = []
-    for d in range(1, min(NEAR, n - 1) + 1):
-        i, j = np.arange(n - d), np.arange(d, n)
-        pairs.append((i[part[i] != part[j]], j[part[i] != part[j]]))
-    got = solve(rows, pairs)
-    roots = list(zip(edge["gram"].to_pylist(), edge["root_first"].to_pylist(), edge["root_pos"].to_pylist()))
-    parent: dict[tuple, tuple] = {}
-
-    def find(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    for i, j in pairs:
-        ok = rows.compare(i, j)[2]
-        for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-            x, y = find(roots[a]), find(roots[b])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    now = [find(x) for x in roots]
-    root, whole = (np.array([x[1] for x in now], np.int64), np.array([x[2] for x in now], np.int64)), int(part[0]) // FAN
-    moved = [dict(kind=2, part=whole, gram=x[0], root_first=x[1], root_pos=x[2], first=find(x)[1], pos=find(x)[2]) for x in parent]
-    return pa.Table.from_batches([
-        _emit(rows, uid, got, root, np.flatnonzero(got["hit"]), 0, whole), _emit(rows, uid, got, root, _ends(n), 1, whole, key),
-        pa.RecordBatch.from_pylist(moved, schema=_MATCH),
-    ])
-
-
-def _stitched(met: DataFrame, within: bool, scratch: Scratch) -> DataFrame:
-    """Matches of all tasks with the roots that hold over all borders. A level takes a sixteenth of the rows of the one before; the number of
-    levels is the logarithm of the number of tasks, and only that number reaches the driver."""
-    edges, levels, place = met.where("kind = 1"), [], ["gram", "root_first", "root_pos"]
-    top = edges.agg(F.max("part")).first()[0] or 0
-    while top > 0:
-        grouped = edges.groupBy(F.expr(f"part div {FAN}"))
-        levels.append(scratch.keep(grouped.applyInArrow(lambda t: _stitch(t, within), _MATCH_SQL), "borders"))
-        edges, top = levels[-1].where("kind = 1"), top // FAN
-    match, moved = met.where("kind = 0"), None
-    for level in levels:
-        match = match.unionByName(level.where("kind = 0"))
-        to = level.where("kind = 2").select(*place, F.col("first").alias("to_first"), F.col("pos").alias("to_pos"))
-        if moved is not None:  # where a later level moves on what an earlier one has moved
-            then = to.toDF("gram", "to_first", "to_pos", "then_first", "then_pos")
-            both = moved.join(then, ["gram", "to_first", "to_pos"], "left")
-            to = to.unionByName(both.select(*place, F.coalesce("then_first", "to_first").alias("to_first"), F.coalesce("then_pos", "to_pos").alias("to_pos")))
-        moved = to
-    match = match.drop("kind", "part", "key", "before", "after")
-    if moved is None:
-        return match
-    rest = [c for c in match.columns if c not in ("root_first", "root_pos")]
-    out = match.join(moved, place, "left")
-    return out.select(*rest, F.coalesce("to_first", "root_first").alias("root_first"), F.coalesce("to_pos", "root_pos").alias("root_pos"))
+    window, at, first, text = (np.concatenate([b[c].to_numpy() for b in data]) for c in ("window", "at", "first", "id"))
+    data.clear()
+    gram, pos = (at >> 32).astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32)
+    order = np.lexsort((pos, first, gram, window))
+    window, gram, first, text, pos = window[order], gram[order], first[order], text[order], pos[order]
+    starts = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (gram[1:] != gram[:-1])])
+    ends = np.r_[starts[1:], len(window)]
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    # the range sort is by (window, at, ...): all of a window's places with one shingle stand together, so borders are a task's first and last
+    edge = np.zeros(len(starts), bool)
+    edge[window[starts] == window[0]] = edge[window[starts] == window[-1]] = True
+    low, high = starts, ends - 1
+
+    def rows(kind: int, i: np.ndarray) -> pa.RecordBatch:
+        k = of[i]
+        columns = [window[i], gram[i], first[i], text[i], pos[i], first[low[k]], pos[low[k]], first[high[k]], pos[high[k]]]
+        return pa.record_batch([pa.array(np.full(len(i), kind, np.int32)), *map(pa.array, columns)], schema=_MATCH)
+
+    inner = np.flatnonzero(~edge[of] & (ends - starts > 1)[of])
+    for i in range(0, len(inner), 100_000):
+        yield rows(0, inner[i : i + 100_000])
+    outer = np.flatnonzero(edge[of])
+    for i in range(0, len(outer), 100_000):
+        yield rows(1, outer[i : i + 100_000])
+    yield rows(2, starts[edge])
+
+
+def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
+    """(first, id, pos, goes, root): repeated windows by place; goes: an earlier place has it; root: the document of its first place."""
+    sorted_ = windows.repartitionByRange("window", "at", "first", "id").mapInArrow(_grouped, _MATCH_SQL)
+    met = scratch.keep(sorted_, "matches")
+    low, high = F.struct("low_first", "low_pos"), F.struct("high_first", "high_pos")
+    # at most the windows of equal hash at a task's two borders: a few rows a task
+    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    names = ["first", "id", "pos", "low_first", "low_pos", "high_first", "high_pos"]
+    outer = met.where("kind = 1").drop("low_first", "low_pos", "high_first", "high_pos").join(F.broadcast(over), ["window", "gram"]).select("first", "id", "pos", "low.*", "high.*")
+    places = met.where("kind = 0").select(*names).unionByName(outer.select(*names))
+    many = F.col("low_first") != F.col("high_first")
+    apart = lambda a, b: (b - a) >= LEAST
+    if within:
+        many |= apart(F.col("low_pos"), F.col("pos")) | apart(F.col("pos"), F.col("high_pos"))
+    goes = (F.col("first") != F.col("low_first")) | (F.col("pos") != F.col("low_pos"))
+    return places.where(many).select("first", "id", "pos", goes.alias("goes"), F.col("low_first").alias("root"))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(spans, copies) by text digest: spans(uid, marks), marks an array of (start, end, cut_start, cut_end, goes, first) in words;
+    """(spans, copies) by text digest: spans(uid, pos, goes, root), arrays with an element a repeated window, places ascending, see _met();
     copies(uid, first, copies) of every text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
@@ -329,32 +195,25 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: b
     found = scratch.keep(rows.select("uid", "text").mapInArrow(_find, "uid binary, pos int, gram long").distinct(), "anchors")
     # a table, not a plan: with an exchange on either side the planner can split a shingle that a third of the anchors share
     twice = scratch.keep(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g")), "twice")
-    places = found.join(twice, found["gram"] == twice["g"]).groupBy("uid").agg(F.collect_list("pos").alias("places"))
-    wanted = places.join(copies, "uid").select(F.col("uid").alias("u"), "first", "places")
-    texts = rows.join(wanted, (rows["doc"] == wanted["first"]) & (rows["uid"] == wanted["u"])).select("uid", "text", "first", "places")
-    context = scratch.keep(texts.mapInArrow(_contexts, "key binary, uid binary, before int, after int"), "suffixes")
-    met = scratch.keep(context.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(lambda b: _neighbours(b, within), _MATCH_SQL), "matches")
-    scratch.drop(context, found, twice)
-    match = _stitched(met, within, scratch)
-    root_first, root_pos = F.col("root_first"), F.col("root_pos")
-    goes = (root_first != F.col("first")) | (root_pos != F.col("pos"))
-    mark = F.struct(
-        (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"),
-        (F.col("pos") - F.col("cut_l")).alias("cut_start"), (F.col("pos") + F.col("cut_r")).alias("cut_end"), goes.alias("goes"), root_first.alias("first"),
-    )
-    spans = match.groupBy("uid").agg(F.sort_array(F.collect_list(mark)).alias("marks"))
+    places = found.join(twice, found["gram"] == twice["g"]).groupBy("uid").agg(F.collect_set("gram").alias("grams"))
+    named = copies.select("uid", "first", F.xxhash64("uid").alias("id"))
+    wanted = places.join(named, "uid").select(F.col("uid").alias("u"), "first", "id", "grams")
+    texts = rows.join(wanted, (rows["doc"] == wanted["first"]) & (rows["uid"] == wanted["u"])).dropDuplicates(["uid"]).select("text", "first", "id", "grams")
+    windows = scratch.keep(texts.mapInArrow(_windows, "window long, at long, first long, id long"), "windows")
+    scratch.drop(found, twice)
+    mark = F.struct("pos", "goes", "root")
+    marks = _met(windows, scratch, within).groupBy("first", "id").agg(F.sort_array(F.collect_list(mark)).alias("m"))
+    spans = marks.select(F.col("first").alias("f"), "id", F.col("m.pos").alias("pos"), F.col("m.goes").alias("goes"), F.col("m.root").alias("root"))
+    spans = spans.join(named, (spans["f"] == named["first"]) & (spans["id"] == named["id"])).select("uid", "pos", "goes", "root")
     return scratch.keep(spans, "spans"), copies
 
 
-def merge(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Union of word spans, ascending; ends are exclusive."""
-    out: list[list[int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return out
+def _joined(pos: np.ndarray) -> list[list[int]]:
+    """Union of the windows at ascending places."""
+    if not len(pos):
+        return []
+    new = np.flatnonzero(np.diff(pos) > LEAST) + 1
+    return np.stack([pos[np.r_[0, new]], pos[np.r_[new - 1, len(pos) - 1]] + LEAST], 1).tolist()
 
 
 def find_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
@@ -369,10 +228,9 @@ def find_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", with
 
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            whole = [[[int(x["start"]), int(x["end"])] for x in m] for m in b["marks"]]
-            cut = [[[int(x["cut_start"]), int(x["cut_end"])] for x in m if x["goes"]] for m in b["marks"]]
-            first = [sorted({int(x["first"]) for x in m if x["goes"]}) for m in b["marks"]]
-            yield pd.DataFrame({"uid": b["uid"], "spans": [merge(x) for x in whole], "cut_spans": [merge(x) for x in cut], "partners": first})
+            cut = [p[g.astype(bool)] for p, g in zip(b["pos"], b["goes"])]
+            first = [np.unique(r[g.astype(bool)]).tolist() for r, g in zip(b["root"], b["goes"])]
+            yield pd.DataFrame({"uid": b["uid"], "spans": [_joined(x) for x in b["pos"]], "cut_spans": [_joined(x) for x in cut], "partners": first})
 
     tidied = spans.mapInPandas(tidy, "uid binary, spans array<array<int>>, cut_spans array<array<int>>, partners array<long>")
     by_text = copies.join(tidied, "uid", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull())
@@ -394,8 +252,8 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", withi
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
-            for t, marks in zip(b["_text"], b["_marks"]):
-                gone = [] if marks is None else merge([(int(m["cut_start"]), int(m["cut_end"])) for m in marks if m["goes"]])
+            for t, pos in zip(b["_text"], b["_cut"]):
+                gone = [] if pos is None else _joined(pos)
                 if gone:
                     at = [w.span() for w in _WORD.finditer(t)]
                     parts, here = [], 0
@@ -405,16 +263,17 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", withi
                     t = "".join(parts) + t[here:]
                     t = t if t.strip() else ""
                 texts.append(t)
-            yield b.drop(columns=["_marks", "_text"]).assign(**{"_new": texts, "_had": [m is not None for m in b["_marks"]]})
+            yield b.drop(columns=["_cut", "_text"]).assign(**{"_new": texts, "_had": [x is not None for x in b["_cut"]]})
 
     rows = docs.withColumn("_uid", _digest(text))
-    by_text = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("marks").isNotNull())
-    by_text = by_text.select(F.col("uid").alias("_u"), F.col("first").alias("_first"), F.col("copies").alias("_copies"), F.col("marks").alias("_marks"))
+    by_text = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("pos").isNotNull())
+    gone = F.transform(F.filter(F.arrays_zip("pos", "goes"), lambda x: x["goes"]), lambda x: x["pos"])
+    by_text = by_text.select(F.col("uid").alias("_u"), F.col("first").alias("_first"), F.col("copies").alias("_copies"), gone.alias("_cut"))
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
     enough = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+")) >= LEAST
     joined = rows.join(by_text, rows["_uid"] == by_text["_u"], "left")
     kept = joined.where(~F.coalesce((F.col("_copies") > 1) & (doc != F.col("_first")) & enough, F.lit(False)))
-    kept = kept.select(*[c for c in names if c != text], F.col(text).alias("_text"), "_marks")
+    kept = kept.select(*[c for c in names if c != text], F.col(text).alias("_text"), "_cut")
     others = [c for c in names if c != text]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "_new string, _had boolean"])
     out = kept.mapInPandas(cut, schema).where(~F.col("_had") | (F.col("_new") != ""))

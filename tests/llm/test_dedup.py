@@ -230,6 +230,23 @@ def test_a_passage_over_the_borders_of_many_tasks(spark, pytestconfig):
     assert [k for k, t in cut.items() if passage in t] == [0]
 
 
+def test_passages_around_a_frequent_sentence(spark, pytestconfig):
+    """Two documents share words before a sentence that many hold, each followed by other text: all sort between the two."""
+    p = pytestconfig.prose
+    rows, n = [], 0
+    for c in range(2):
+        sentence = p(35, 10 + c)
+        rows += [(i, f"{p(60, 100 * c + 20_000 + i)} {sentence} {p(60, 100 * c + 30_000 + i)}") for i in range(n, n + 80)]
+        n += 80
+        for k in range(15):
+            own = p(20 + k % 10, 40_000 + 100 * c + k)
+            rows += [(n + i, f"{p(40, 50_000 + n + i)} {own} {sentence} {p(40, 60_000 + n + i)}") for i in range(2)]
+            n += 2
+    got = {r["doc_id"]: r for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    want = brute_passages(rows)
+    assert len(want) >= 60 and {k: spread(r["spans"]) for k, r in got.items()} == want
+
+
 def test_cut_leaves_clean_documents(docs, rows, none):
     cut = [(r["doc_id"], r["text"]) for r in passages.cut_passages(docs).collect()]
     left = [r for r in rows if r[0] not in (2, 3, 8)]
