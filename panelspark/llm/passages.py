@@ -181,7 +181,8 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
     apart = lambda a, b: (b - a) >= LEAST
     if within:
         many |= apart(F.col("low_pos"), F.col("pos")) | apart(F.col("pos"), F.col("high_pos"))
-    goes = (F.col("first") != F.col("low_first")) | (F.col("pos") != F.col("low_pos"))
+    # a place that overlaps the first one stays: what it would lose is the first place's own
+    goes = (F.col("first") != F.col("low_first")) | apart(F.col("low_pos"), F.col("pos"))
     return places.where(many).select("first", "id", "pos", goes.alias("goes"), F.col("low_first").alias("root"))
 
 

@@ -247,6 +247,18 @@ def test_passages_around_a_frequent_sentence(spark, pytestconfig):
     assert len(want) >= 60 and {k: spread(r["spans"]) for k, r in got.items()} == want
 
 
+def test_cut_loses_no_words(spark, pytestconfig):
+    """Overlapping excerpts of one source go only where an earlier document holds 50 words of them; of a text that repeats itself its first place stays."""
+    source, period = pytestconfig.prose(150, 77).split(), pytestconfig.prose(10, 78)
+    join = " ".join
+    rows = [(1, join(source[69:])), (3, join(source[:100])), (7, join(source)), (20, join([period] * 12)), (21, join(["start", *[period] * 12]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"].strip() for r in passages.cut_passages(df).collect()}
+    assert cut == {1: rows[0][1], 3: rows[1][1], 20: join([period] * 5), 21: "start"}
+    got = {r["doc_id"]: r for r in passages.find_passages(df).collect()}
+    assert not got[1]["cut_spans"] and not got[3]["cut_spans"] and got[7]["cut_spans"] == [[0, 150]] and got[7]["partners"] == [1, 3]
+
+
 def test_cut_leaves_clean_documents(docs, rows, none):
     cut = [(r["doc_id"], r["text"]) for r in passages.cut_passages(docs).collect()]
     left = [r for r in rows if r[0] not in (2, 3, 8)]
