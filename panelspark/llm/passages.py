@@ -5,7 +5,7 @@
 2. Windows: every LEAST words in a row whose anchor's shingle stands twice become a row: a 64-bit hash of the words, 32 bits of the shingle's hash, document
    and place. Two places share LEAST words if and only if they share such a window, so no pair is missed, however many others share the shingle.
 3. Windows are sorted by range on window and place. The key is unique, so no window, however common, is one task's. A task tells of each window's
-   places which is first; windows that lie over a border of tasks are told by joining the first and last window of each task.
+   places which is first; windows that lie over a border of tasks are told from the first and last window of each task.
 4. A window of two documents is repeated. Its first place, by (document, word), is kept; the others may go: a word goes only if an earlier place
    holds a window around it. A longer passage is the union of its windows.
 
@@ -172,11 +172,19 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
     sorted_ = windows.repartitionByRange("window", "at", "first", "id").mapInArrow(_grouped, _MATCH_SQL)
     met = scratch.keep(sorted_, "matches")
     low, high = F.struct("low_first", "low_pos"), F.struct("high_first", "high_pos")
-    # at most the windows of equal hash at a task's two borders: a few rows a task
-    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    # one row each of the windows at the tasks' borders, mostly two a task: a table each row of kind 1 looks up its one entry in
+    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("low"), F.max(high).alias("high")).select("window", "gram", "low.*", "high.*")
+    told = windows.sparkSession.sparkContext.broadcast({(r[0], r[1]): tuple(r[2:]) for r in over.collect()})
     names = ["first", "id", "pos", "low_first", "low_pos", "high_first", "high_pos"]
-    outer = met.where("kind = 1").drop("low_first", "low_pos", "high_first", "high_pos").join(F.broadcast(over), ["window", "gram"]).select("first", "id", "pos", "low.*", "high.*")
-    places = met.where("kind = 0").select(*names).unionByName(outer.select(*names))
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [told.value[k] for k in zip(b["window"].to_pylist(), b["gram"].to_pylist())]
+            ends = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int32()) * 2)] if found else [b[c] for c in names[3:]]
+            yield pa.record_batch([*(b[c] for c in names[:3]), *ends], names=names)
+
+    kinds = "first long, id long, pos int, low_first long, low_pos int, high_first long, high_pos int"
+    places = met.where("kind = 0").select(*names).unionByName(met.where("kind = 1").mapInArrow(outer, kinds))
     many = F.col("low_first") != F.col("high_first")
     apart = lambda a, b: (b - a) >= LEAST
     if within:
