@@ -1,14 +1,15 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A key descends region, rack and shard. At each node every child draws -ln(u) / weight, where u in (0, 1) is a hash of
-the key and the child's label alone, and the least draw wins. A child's draw depends on nothing but itself, so:
+A key descends region, rack and shard, entering at each node the child with the least draw. A shard draws -ln(u) / weight, where u in
+(0, 1) is a hash of the key and the shard's path; a rack draws the least of its shards' draws, a region the least of its racks'. The least of
+exponential draws is an exponential draw whose rate is the sum of theirs, so each node is entered in proportion to the weight below it,
+and its draw depends on nothing else. Hence:
 
-* a child whose weight grows can only win more keys, and one that shrinks only lose some: keys move into or out of
-  the changed child, never between its unchanged siblings;
-* a changed weight changes the draws on its own path only, so movement stays in the subtrees whose weights change.
+* a shard whose weight grows can only win keys, and one that shrinks only lose some: keys move into or out of the changed shard, and
+  between subtrees only where one's weight changes;
+* one more shard, wherever it stands in the tree, takes rows only into itself, at any count.
 
-``layout`` puts shards beyond the last full region each into a region of their own: there, the one new draw stands at
-the root, and a larger shard count takes rows only into the new shard. All of it is JVM expressions; no row moves.
+All of it is JVM expressions; no row moves.
 """
 
 from __future__ import annotations
@@ -31,12 +32,8 @@ class Leaf(NamedTuple):
 
 
 def layout(shards: int, racks: int = RACKS, per_rack: int = SHARDS) -> list[Leaf]:
-    """Full regions of racks * per_rack shards; what is left over gets a region a shard."""
-    full = shards // (racks * per_rack) * racks * per_rack
-    return [
-        Leaf(f"r{i // (racks * per_rack)}", f"k{i // per_rack % racks}", i) if i < full else Leaf(f"s{i}", "k0", i)
-        for i in range(shards)
-    ]
+    """Racks of per_rack shards, regions of racks racks, filled in order: a larger count only adds leaves."""
+    return [Leaf(f"r{i // (racks * per_rack)}", f"k{i // per_rack % racks}", i) for i in range(shards)]
 
 
 def _draw(key: Column, label: str, weight: float) -> Column:
@@ -45,38 +42,23 @@ def _draw(key: Column, label: str, weight: float) -> Column:
     return -F.ln((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
 
 
-def _least(key: Column, children: dict[str, tuple[float, Column]]) -> Column:
-    """Of {label: (weight, below)}, what lies below the child with the least draw; ties go to the lesser label."""
-    if len(children) == 1:
-        return next(iter(children.values()))[1]
-    ranked = [(_draw(key, label, w), below) for label, (w, below) in sorted(children.items())]
-    best = F.least(*[d for d, _ in ranked])
-    out = ranked[-1][1]
-    for draw, below in reversed(ranked[:-1]):
-        out = F.when(draw == best, below).otherwise(out)
-    return out
+def _least(children: list[Column]) -> Column:
+    """The child with the least draw; each is a struct (draw, shard), ties go to the lesser shard."""
+    return children[0] if len(children) == 1 else F.least(*children)
 
 
 def place(key: Column, leaves: list[Leaf]) -> Column:
-    """The shard of a key in the tree that the leaves make; leaves of no weight take nothing."""
-    tree: dict[str, dict[str, dict[int, float]]] = {}
-    for leaf in leaves:
-        if leaf.weight > 0:
-            tree.setdefault(leaf.region, {}).setdefault(leaf.rack, {})[leaf.shard] = leaf.weight
+    """The shard of a key in the tree that the leaves make; leaves of no weight take nothing. Draws are made once each and their minima
+    carried up with the shard below them, which is where the descent ends."""
+    tree: dict[str, dict[str, list[Column]]] = {}
+    for x in leaves:
+        if x.weight > 0:
+            drawn = F.struct(_draw(key, f"{x.region}/{x.rack}/{x.shard}", x.weight).alias("draw"), F.lit(x.shard).alias("shard"))
+            tree.setdefault(x.region, {}).setdefault(x.rack, []).append(drawn)
     if not tree:
         raise ValueError("no shard has any weight")
-
-    def weight(node) -> float:
-        return sum(map(weight, node.values())) if isinstance(node, dict) else node
-
-    regions = {}
-    for region, racks in tree.items():
-        below = {}
-        for rack, shards in racks.items():
-            leaf = {f"{region}/{rack}/{s}": (w, F.lit(s)) for s, w in shards.items()}
-            below[f"{region}/{rack}"] = (weight(shards), _least(key, leaf))
-        regions[region] = (weight(racks), _least(key, below))
-    return _least(key, regions).cast("int")
+    regions = [_least([_least(shards) for shards in racks.values()]) for racks in tree.values()]
+    return _least(regions)["shard"].cast("int")
 
 
 def with_slots(df: DataFrame, group: str, order: list[str], column: str = "slot", rows_per_bucket: int = 50_000) -> DataFrame:
@@ -100,8 +82,8 @@ def shard(df: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None, ke
     """(key, size, text_crc32, shard, slot, grown_shard); other columns of df are dropped.
 
     A null key is a key like any other; a null text has size 8 and crc 0. Rows with equal keys share a shard and get
-    slots of their own. An empty table gives no rows. Sizes and checksums are taken where the text is read; only the
-    narrow columns are dealt out for the slots.
+    slots of their own; very long texts are only measured. An empty table gives no rows. Sizes and checksums are taken where the text is
+    read; only the narrow columns are dealt out for the slots.
     """
     k = F.col(key)
     body = F.coalesce(F.col(text), F.lit(""))

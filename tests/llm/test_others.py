@@ -1,4 +1,3 @@
-import hashlib
 import math
 
 import numpy as np
@@ -37,9 +36,33 @@ def test_movement_stays_in_the_changed_subtree(spark):
     ids = spark.range(20_000).select(F.col("id").alias("k"))
     got = ids.select(sharding.place(F.col("k"), old).alias("a"), sharding.place(F.col("k"), new).alias("b")).where("a <> b").collect()
     region, rack = {x.shard: x.region for x in old}, {x.shard: (x.region, x.rack) for x in old}
-    assert got and all(region[r["b"]] == region[5] for r in got)
-    assert all(rack[r["b"]] == rack[5] for r in got if region[r["a"]] == region[5])
-    assert all(r["b"] == 5 for r in got if rack[r["a"]] == rack[5])
+    assert got and all(r["b"] == 5 for r in got)
+    assert {region[r["a"]] for r in got} == {"r0", "r1", "r2"} and len({rack[r["a"]] for r in got}) == 6
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    """At every count from 1 to 64, and into even shares."""
+    shards = [sharding.place(F.col("k"), sharding.layout(n)).alias(f"n{n}") for n in range(1, 66)]
+    ids = spark.range(3000).select(F.col("id").alias("k")).repartition(4)
+    for at in range(0, 64, 8):
+        got = ids.select(*shards[at : at + 9]).collect()
+        for n in range(at + 1, at + 9):
+            assert all(r[f"n{n + 1}"] in (r[f"n{n}"], n) for r in got)
+            assert sum(r[f"n{n + 1}"] == n for r in got) > 3000 / (n + 1) / 3
+
+
+def test_shards_against_a_plain_descent(spark):
+    """The drawn shard, by the same 64-bit hashes and plain arithmetic from the root down."""
+    leaves = [x._replace(weight=1.0 + x.shard % 3) for x in sharding.layout(13)]
+    labels = {x.shard: f"{x.region}/{x.rack}/{x.shard}" for x in leaves}
+    ids = spark.range(500).select(F.col("id").alias("k"), sharding.place(F.col("id"), leaves).alias("s"), *[F.xxhash64("id", F.lit(t)).alias(f"h{i}") for i, t in labels.items()])
+    for r in ids.collect():
+        draw = {x.shard: -math.log((((r[f"h{x.shard}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) / x.weight for x in leaves}
+        least = lambda name, part: min(draw[x.shard] for x in leaves if getattr(x, name) == part)
+        region = min({x.region for x in leaves}, key=lambda n: least("region", n))
+        inside = [x for x in leaves if x.region == region]
+        rack = min({x.rack for x in inside}, key=lambda n: min(draw[x.shard] for x in inside if x.rack == n))
+        assert r["s"] == min((x.shard for x in inside if x.rack == rack), key=draw.get)
 
 
 def test_shards_empty(none):
@@ -155,4 +178,3 @@ def test_held_out_fifth(spark):
 
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
-    assert hashlib
