@@ -6,15 +6,17 @@ boundary but those next to it. The root hashes the sections. Equal texts have eq
 sections, paragraphs and leaves whose hashes differ need a look, and those are where the edit is.
 
 As text: ``root|sections|paragraphs|leaves``: md5 of the section hashes, then 16 hex digits a section and a paragraph (with
-the number of its children after a dot) and 8 a leaf, comma-separated.
+the number of its children after a dot) and a leaf, comma-separated. All hashes below the root have 64 bits.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, id_cuts, shuffle_partitions, table
+from .common import shuffle_partitions, table
 
 LEAF, SECTION = 200, 4
 #: A sentence with its end marks and following spaces, or LEAF characters of one without an end.
@@ -22,10 +24,9 @@ _SENTENCE = r"[\s\S]{1,%d}?(?:[.!?]+\s*|$)|[\s\S]{%d}" % (LEAF, LEAF)
 
 
 def leaf_hashes(text: Column) -> Column:
-    """A paragraph an element: its leaves' hashes, each an unsigned 32-bit number in a long."""
+    """A paragraph an element: its leaves' 64-bit hashes."""
     paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    leaf = lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << 32) - 1))
-    return F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(_SENTENCE), F.lit(0)), leaf))
+    return F.transform(paragraphs, lambda p: F.transform(F.regexp_extract_all(p, F.lit(_SENTENCE), F.lit(0)), lambda s: F.xxhash64(s)))
 
 
 def paragraph_hashes(leaves: Column) -> Column:
@@ -64,7 +65,7 @@ def as_text(prefix: str = "") -> Column:
     sections = F.transform(f"{p}sections", lambda x, k: F.concat(wide(x), F.lit("."), (F.get(ends, k) - F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))).cast("string")))
     leaves = F.col(f"{p}leaves")
     paragraphs = F.transform(f"{p}paragraphs", lambda x, k: F.concat(wide(x), F.lit("."), F.size(F.get(leaves, k)).cast("string")))
-    flat = F.transform(F.flatten(leaves), lambda x: F.lpad(F.hex(x), 8, "0"))
+    flat = F.transform(F.flatten(leaves), wide)
     return F.lower(F.concat_ws("|", F.col(f"{p}root"), F.array_join(sections, ","), F.array_join(paragraphs, ","), F.array_join(flat, ",")))
 
 
@@ -98,23 +99,57 @@ def edited_paragraphs(a: Column, b: Column) -> Column:
     return F.when(a == b, F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: i >= 0))
 
 
-def beside_next(df: DataFrame, columns: list[str], key: str = "doc_id", most_buckets: int = 1024) -> DataFrame:
+def _squared(values: list[int | None]) -> Column:
+    """A constant array of arrays of about equal size; one text in the plan, however many values."""
+    side = max(1, int(len(values) ** 0.5))
+    rows = [values[i : i + side] for i in range(0, len(values), side)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>")
+
+
+def _at(values: list[int | None], i: Column) -> Column:
+    """values[i]."""
+    side = max(1, int(len(values) ** 0.5))
+    return F.get(F.get(_squared(values), F.floor(i / side).cast("int")), (i % side).cast("int"))
+
+
+def _bucket(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at or below the key; 0 for null. Two steps of the root of their number each."""
+    if not cuts:
+        return F.lit(0)
+    side = max(1, int(len(cuts) ** 0.5))
+    heads = F.transform(_squared(cuts), lambda row: F.get(row, F.lit(0)))
+    below = F.size(F.filter(heads, lambda c: c <= key)) - 1
+    inside = F.size(F.filter(F.get(_squared(cuts), below), lambda c: c <= key))
+    return F.when(key.isNull() | (below < 0), F.lit(0)).otherwise(below * side + inside).cast("int")
+
+
+def range_cuts(df: DataFrame, parts: int, key: str) -> list[int]:
+    """Ascending first keys of all but the least of about ``parts`` even ranges. Only keys move, and a number a range reaches the driver."""
+    if parts <= 1:
+        return []
+    ranged = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k")).repartitionByRange(parts, "k")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k")).collect()
+    return sorted({r["k"] for r in firsts})[1:]
+
+
+def beside_next(df: DataFrame, columns: list[str], key: str = "doc_id", rows_per_range: int = 50_000) -> DataFrame:
     """Each row with ``next``: the given columns of the row next below it by the key; after the least, the greatest.
 
     The order is descending key (nulls last), then text hash. A window over one order for all rows would be one task, so keys are
-    dealt into ranges and each range borrows the greatest row of the range below it. Cut points and greatest keys, at most
-    ``most_buckets`` numbers, are all that reaches the driver.
+    dealt into ranges of about ``rows_per_range`` rows, and each range borrows the greatest row of the range below it. Two numbers a
+    range are all that reaches the driver. Rows of one key, and those without one, are in one range; document ids are meant to be unique.
     """
-    spark = df.sparkSession
-    cuts = id_cuts(df, min(most_buckets, 4 * shuffle_partitions(spark)), key)
-    bucket = id_bucket(F.col(key), cuts)
-    tops = sorted((r["b"], r["m"]) for r in df.groupBy(bucket.alias("b")).agg(F.max(key).alias("m")).collect() if r["m"] is not None)
+    parts = max(4 * shuffle_partitions(df.sparkSession), df.count() // rows_per_range)
+    cuts = range_cuts(df, parts, key)
+    bucket = _bucket(F.col(key).cast("long"), cuts)
+    tops = {r["b"]: r["m"] for r in df.groupBy(bucket.alias("b")).agg(F.max(F.col(key).cast("long")).alias("m")).collect() if r["m"] is not None}
     if tops:
-        goes = {m: tops[(i + 1) % len(tops)][0] for i, (_, m) in enumerate(tops)}
-        maxes = F.array(*[F.lit(int(m)).cast("long") for m in goes])
-        targets = F.array(*[F.lit(int(b)) for b in goes.values()])
-        place = F.coalesce(F.array_position(maxes, F.col(key).cast("long")), F.lit(0)).cast("int")
-        lent = F.when(place > 0, F.array(F.struct(F.element_at(targets, F.greatest(place, F.lit(1))).alias("b"), F.lit(1).alias("lent"))))
+        held = sorted(tops)
+        after = dict(zip(held, held[1:] + held[:1]))
+        n = held[-1] + 1
+        goes = _at([after.get(b) for b in range(n)], bucket)
+        greatest = F.col(key).cast("long") == _at([tops.get(b) for b in range(n)], bucket)
+        lent = F.when(greatest, F.array(F.struct(goes.cast("int").alias("b"), F.lit(1).alias("lent"))))
     else:
         lent = F.array(F.struct(F.lit(0).alias("b"), F.lit(1).alias("lent")))  # null keys only: one range
     own = F.array(F.struct(bucket.cast("int").alias("b"), F.lit(0).alias("lent")))
@@ -128,7 +163,8 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """(key, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     edited: the text with its last floor(n / 3) code points replaced by the first as many of the next document's text. A null text is
-    empty: its tree has one paragraph without leaves. Rows with equal keys are ordered by a hash of their text. Other columns are dropped.
+    empty: its tree has one paragraph without leaves. A very long text is a long list of leaves. Rows with equal keys are ordered by a hash
+    of their text. An empty table gives no rows. Other columns are dropped.
     """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_leaves", leaf_hashes(F.col("_t")))
     rows = beside_next(rows, ["_t", "_leaves"], key)

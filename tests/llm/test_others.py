@@ -72,6 +72,38 @@ def test_shards_empty(none):
 
 
 # ---------------------------------------------------------------- fingerprints
+def plain_tree(text):
+    """(fingerprint, distinct leaves) by plain code: XXH64 chains of sentences, paragraphs and sections, md5 at the root."""
+    import hashlib
+    import re
+    import struct
+
+    import xxhash
+
+    string = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed)
+
+    def chain(numbers, label):
+        h = 42
+        for n in numbers:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", n), h)
+        return string(label, h)
+
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    sentence = re.compile(r"[\s\S]{1,200}?(?:[.!?]+[ \t\n\x0b\f\r]*|\Z)|[\s\S]{200}")
+    leaves = [[string(m) for m in sentence.findall(p)] for p in (text or "").split("\n")]
+    paragraphs = [chain(x, "paragraph") for x in leaves]
+    ends = [i for i, p in enumerate(paragraphs, 1) if i == len(paragraphs) or signed(p) % 4 == 0]
+    sections = [chain(paragraphs[a:z], "section") for a, z in zip([0, *ends], ends)]
+    root = hashlib.md5(",".join(str(signed(x)) for x in sections).encode()).hexdigest()
+    parts = [f"{x:016x}.{z - a}" for x, a, z in zip(sections, [0, *ends], ends)], [f"{p:016x}.{len(x)}" for p, x in zip(paragraphs, leaves)], [f"{h:016x}" for x in leaves for h in x]
+    return "|".join([root, *map(",".join, parts)]), {h for x in leaves for h in x}
+
+
+def plain_likeness(a, b):
+    (f, x), (g, y) = plain_tree(a), plain_tree(b)
+    return 1.0 if f.split("|")[0] == g.split("|")[0] else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
 def test_merkle_against_plain_code(docs, rows):
     kept = docs.where("doc_id IS NOT NULL AND doc_id <> 13")
     texts = {k: t or "" for k, t in rows if k is not None and k != 13}
@@ -83,8 +115,8 @@ def test_merkle_against_plain_code(docs, rows):
         n = len(t) // 3
         r = got[k]
         assert r["n_chars"] == len(t) and r["edited"] == t[: len(t) - n] + after[:n]
-        assert (r["fingerprint"] == r["edited_fingerprint"]) == (r["edited"] == t)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_tree(t)[0], plain_tree(r["edited"])[0])
+        assert r["near_edited"] == pytest.approx(plain_likeness(t, r["edited"])) and r["near_next"] == pytest.approx(plain_likeness(t, after))
     assert got[1]["fingerprint"] == got[2]["fingerprint"] != got[3]["fingerprint"]
     assert got[2]["near_next"] == 1.0 and got[3]["near_edited"] > 0.4 and got[8]["near_next"] < 0.5
 
@@ -106,6 +138,18 @@ def test_merkle_ties_nulls_and_empty(docs, none, rows):
     assert merkle.fingerprint_pairs(docs.where("doc_id IS NULL")).count() == 2
 
 
+def test_merkle_over_many_ranges(spark):
+    """Every row beside the next below it, however the keys are dealt out, with gaps and a crowd at one end."""
+    keys = [i * i for i in range(300)] + [-5 - i for i in range(200)]
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id long, t string").repartition(6)
+    order = sorted(keys, reverse=True)
+    want = {k: f"t{order[(i + 1) % len(order)]}" for i, k in enumerate(order)}
+    for size in (7, 1000):
+        out = merkle.beside_next(df, ["t"], rows_per_range=size)
+        assert {r["doc_id"]: r["n"] for r in out.select("doc_id", F.col("next.t").alias("n")).collect()} == want | {order[-1]: f"t{order[0]}"}
+        assert "from_json" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merkle_runs_no_python(docs):
     plan = merkle.fingerprint_pairs(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEvalPython", "Python")
