@@ -14,10 +14,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir of the session, or (tests only) one made here."""
+    """The folder all machines share: spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder of its own."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='scratch-')}")
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -68,6 +70,18 @@ def release() -> None:
     hold("", None, lambda: None)
 
 
+def sealed(docs: DataFrame, **parts: Column) -> DataFrame:
+    """All columns of docs in one struct ``row``, beside columns of our own: no name of theirs can meet one of ours."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("row"), *[c.alias(name) for name, c in parts.items()])
+
+
+def unsealed(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns of docs again, in order, those in ``new`` replaced, further ones of ``new`` after them."""
+    own = [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names]
+    return df.select(*own, *[c.alias(n) for n, c in new.items() if n not in names])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,14 +102,6 @@ def id_cuts(df: DataFrame, parts: int, column: str = "doc_id") -> list[int]:
     return sorted(set(got["q"] or []))
 
 
-def id_bucket(c: Column, cuts: list[int]) -> Column:
-    """How many cuts are at or below the id; 0 for null."""
-    if not cuts:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in cuts])
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= c)), F.lit(0))
-
-
 def components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that an edge names; root is the component's smallest node.
 

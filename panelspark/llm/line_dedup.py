@@ -1,131 +1,181 @@
 """Line dedup against levelled sorted runs of line hashes.
 
-The index keeps runs of (h1, h2): 128-bit hashes of the line keys seen so far, sorted, in levels. A batch of documents
-merge-joins its own distinct hashes with the runs, loses the lines found there or in an earlier document of the batch, and
-adds its new hashes as a run of level 0. When a level holds ``fanout`` runs they are merged into one of the next level, so
-n batches leave O(fanout * log n) runs and each hash is rewritten O(log n) times.
+The index keeps runs of (h1, h2): 128-bit hashes of the line keys seen so far, as tables bucketed and sorted by them, in levels. A batch
+of documents brings its distinct hashes, dealt once into the same buckets, and merge-joins every run: a run is read in its order,
+neither shuffled nor sorted again. Lines that a run or an earlier document of the batch holds go; the batch's new hashes become a run of level 0.
+When a level holds ``fanout`` runs they are merged, bucket by bucket, into one of the next level, so n batches leave O(fanout * log n)
+runs and each hash is rewritten O(log n) times.
 
 Skew: the distinct hashes of a batch come from a partially aggregated group-by, so a line that a third of all
-documents hold is one row a task before the shuffle; marking goes through an equi-join whose hot side Spark splits.
+documents hold is one row a task before the shuffle; marking goes through an equi-join of tables whose hot side Spark splits.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import ASCII_SPACE, Scratch, ascii_lower, id_bucket, id_cuts, release, table
+from .common import ASCII_SPACE, Scratch, ascii_lower, id_cuts, release, sealed, shuffle_partitions, table, unsealed
 
 LEAST_CHARS, FANOUT, BATCHES = 10, 2, 4
+NO_ID = (1 << 63) - 1
+_ON = ["h1", "h2"]
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
 
 
+@contextmanager
+def _bucket_order(spark: SparkSession):
+    """Scans of bucketed tables with a file a bucket tell that they are sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineIndex:
-    """Runs in the shared folder; runs[level] lists them, oldest first."""
+    """Runs in the shared folder; runs[level] lists them, oldest first. buckets: how many tasks a join has, fixed for the index's life."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch | None = None, fanout: int = FANOUT):
-        self.scratch, self.fanout = scratch or Scratch(spark, "lines"), fanout
+    def __init__(self, spark: SparkSession, scratch: Scratch | None = None, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.scratch, self.fanout = spark, scratch or Scratch(spark, "lines"), fanout
+        self.buckets = buckets or shuffle_partitions(spark)
         self.runs: list[list[DataFrame]] = []
 
-    def seen(self) -> DataFrame | None:
-        flat = [run for level in self.runs for run in level]
-        if not flat:
-            return None
-        out = flat[0]
-        for run in flat[1:]:
-            out = out.unionByName(run)
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        """df, dealt by (h1, h2) or not, as a table of ``buckets`` sorted files."""
+        name, path = f"run_{uuid.uuid4().hex}", self.scratch.path("run")
+        with _bucket_order(self.spark):
+            df.write.bucketBy(self.buckets, *_ON).sortBy(*_ON).option("path", path).saveAsTable(name, format="parquet")
+        out = self.spark.table(name)
+        out._scratch_path, out._table = path, name
         return out
 
-    def add(self, fresh: DataFrame) -> None:
-        """fresh: hashes that no run holds."""
-        self._put(0, self._write(fresh))
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t._table}")
+            self.scratch.drop(t)
 
-    def _write(self, hashes: DataFrame) -> DataFrame:
-        return self.scratch.keep(hashes.repartition("h1").sortWithinPartitions("h1", "h2"), "run")
+    def all_runs(self) -> list[DataFrame]:
+        return [run for level in self.runs for run in level]
+
+    def marked(self, hashes: DataFrame) -> DataFrame:
+        """hashes (one row each) with ``old``: whether a run holds it. One merge join a run; the runs share no hash."""
+        hashes = hashes.withColumn("old", F.lit(False))
+        for run in self.all_runs():
+            hit = run.select(*_ON, F.lit(True).alias("hit")).hint("merge")
+            hashes = hashes.join(hit, _ON, "left").withColumn("old", F.col("old") | F.coalesce("hit", F.lit(False))).drop("hit")
+        return hashes
+
+    def add(self, fresh: DataFrame) -> None:
+        """fresh: distinct hashes that no run holds, dealt in any way."""
+        self.put(0, self.bucketed(fresh.repartition(self.buckets, *_ON)))
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def put(self, level: int, run: DataFrame) -> None:
         while len(self.runs) <= level:
             self.runs.append([])
         self.runs[level].append(run)
         if len(self.runs[level]) >= self.fanout:
-            old, merged = self.runs[level], self.runs[level][0]
+            old, self.runs[level] = self.runs[level], []
+            merged = old[0]
             for other in old[1:]:
-                merged = merged.unionByName(other)
-            self.runs[level] = []
-            self._put(level + 1, self._write(merged))
-            self.scratch.drop(*old)
+                merged = merged.hint("merge").join(other, _ON, "full_outer")  # a merge of two sorted files a bucket
+            self.put(level + 1, self.bucketed(merged))
+            self.drop(*old)
+
+
+def hashed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, row, pos, h1, h2) of every line whose key is long enough to count; row tells rows of one key apart."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("row"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
+    keyed = rows.withColumn("k", line_key(F.col("line"))).where(F.char_length("k") >= least_chars)
+    return keyed.select("doc", "row", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
+
+
+def lost_lines(hashed: DataFrame, index: LineIndex) -> DataFrame:
+    """(doc, row, gone): places of the lines that a run of the index or an earlier document of the batch holds; the index gains the batch."""
+    first = hashed.groupBy(*_ON).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    known = index.bucketed(index.marked(first))
+    # read as plain files, not as buckets: with an exchange on both sides the planner can split a line that a third of all rows hold
+    plain = index.spark.read.schema(known.schema).parquet(known._scratch_path)
+    repeated = plain.where(F.col("old") | (F.col("first") < F.col("last"))).select(*_ON, "first", "old")  # only these cost somebody a line
+    gone = hashed.join(repeated, _ON).where(F.col("old") | (F.col("doc") > F.col("first")))
+    out = index.scratch.keep(gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
+    index.put(0, index.bucketed(known.where(~F.col("old")).select(*_ON)))
+    index.drop(known)
+    return out
 
 
-def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    release()
-    for b in batches:
-        kept, n, dropped = [], [], []
-        for text, gone in zip(b["text"], b["gone"]):
-            lines = (text or "").split("\n")
-            out = set() if gone is None else set(gone)
-            n.append(len(lines))
-            dropped.append(len(out))
-            kept.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else (text or ""))
-        yield b.drop(columns=["gone", "text"]).assign(text=kept, n_lines=n, n_dropped=dropped)
+def rebuilt(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the lines in gone, plus n_lines and n_dropped (int)."""
+    docs = docs.drop("n_lines", "n_dropped")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rest = docs.drop(text)
+    rows = sealed(docs, doc=F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), hash=F.xxhash64(body), text=body)
+    rows = rows.withColumn("row", F.struct(*[F.col("row").getField(c).alias(c) for c in rest.columns]))
+    marked = rows.join(gone.select(F.col("doc").alias("d"), F.col("row").alias("r"), "gone"), (F.col("doc") == F.col("d")) & (F.col("hash") == F.col("r")), "left")
+    marked = marked.select("row", "text", "gone")
+    kind = StructType([StructField("row", marked.schema["row"].dataType), StructField("text", StringType()), StructField("n_lines", IntegerType()), StructField("n_dropped", IntegerType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            kept, n, dropped = [], [], []
+            for t, out in zip(b["text"].to_pylist(), b["gone"].to_pylist()):
+                lines = t.split("\n")
+                n.append(len(lines))
+                dropped.append(len(out or ()))
+                if out:
+                    lost = set(out)
+                    t = "\n".join([x for i, x in enumerate(lines) if i not in lost])
+                kept.append(t)
+            yield pa.record_batch([b["row"], pa.array(kept, pa.string()), pa.array(n, pa.int32()), pa.array(dropped, pa.int32())], names=["row", "text", "n_lines", "n_dropped"])
+
+    return unsealed(marked.mapInArrow(cut, kind), docs.columns, **{text: F.col("text"), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")})
 
 
 def dedup_batch(docs: DataFrame, index: LineIndex, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ``text`` cut to its kept lines, plus n_lines and n_dropped (int); the index gains the batch's lines.
 
     Documents of a batch go in ascending key order, rows with a null key after all others as one document. Rows of one
-    key are one document: none takes lines from another. A null text is an empty one and has one empty line. Columns
-    of any name pass through, except the two that are added.
+    key are one document: none takes lines from another. A null text is an empty one and has one empty line. Very long texts are cut in one
+    piece by the task that holds them. Columns of any name and type pass through, except the two that are added.
     """
-    scratch = index.scratch
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)))
-    rows = rows.withColumn("_row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    lines = rows.select("_doc", "_row", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
-    keyed = lines.withColumn("k", line_key(F.col("line"))).where(F.char_length("k") >= least_chars)
-    hashed = scratch.keep(keyed.select("_doc", "_row", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2")), "hashed")
-    first = hashed.groupBy("h1", "h2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
-    seen = index.seen()
-    if seen is None:
-        known = first.withColumn("old", F.lit(False))
-    else:
-        known = first.join(seen.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-    known = scratch.keep(known, "known")
-    # only hashes that cost somebody a line are joined back
-    repeated = known.where(F.col("old") | (F.col("first") < F.col("last"))).select("h1", "h2", "first", "old")
-    gone = hashed.join(repeated, ["h1", "h2"]).where(F.col("old") | (F.col("_doc") > F.col("first")))
-    per_row = gone.groupBy("_doc", "_row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    per_row = per_row.withColumnsRenamed({"_doc": "_d", "_row": "_r"})
-    marked = rows.join(per_row, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left").drop("_d", "_r", "_doc", "_row")
-    names = [c for c in marked.columns if c not in ("gone", text)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "text string, n_lines int, n_dropped int"])
-    marked = marked.select(*names, F.col(text).alias("text"), "gone")
-    out = scratch.keep(marked.mapInPandas(_rebuild, schema).withColumnRenamed("text", text), "kept")
-    index.add(known.where(~F.col("old")).select("h1", "h2"))
-    scratch.drop(hashed, known)
-    return out
+    hashed = index.scratch.keep(hashed_lines(docs, least_chars, key, text), "hashed")
+    gone = lost_lines(hashed, index)
+    index.scratch.drop(hashed)
+    return rebuilt(docs, gone, key, text)
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """All documents in ``batches`` ascending ranges of the key through one index: each line that at least two hold stays in the first."""
-    spark = docs.sparkSession
-    index = LineIndex(spark)
+    """All documents in ``batches`` ascending ranges of the key through one index: each line that at least two hold stays in the first.
+
+    The texts are read twice, to hash their lines and to cut them; batches run over the hashes. See dedup_batch() for nulls, ties and names.
+    """
+    index = LineIndex(docs.sparkSession)
+    scratch = index.scratch
     cuts = id_cuts(docs, batches, key)
-    edges = [None, *cuts, None]
-    done = None
-    for low, high in zip(edges, edges[1:]):
-        part = docs if low is None else docs.where(F.col(key) >= low)
-        part = part if high is None else part.where(F.col(key) < high)
-        if low is not None and high is None:
-            part = docs.where((F.col(key) >= low) | F.col(key).isNull())
-        kept = dedup_batch(part, index, least_chars, key, text)
-        done = kept if done is None else done.unionByName(kept)
-    return done
+    hashed = scratch.keep(hashed_lines(docs, least_chars, key, text), "hashed")
+    parts: list[DataFrame] = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = hashed if low is None else hashed.where(F.col("doc") >= low)
+        parts.append(lost_lines(part if high is None else part.where(F.col("doc") < high), index))
+    scratch.drop(hashed)
+    index.drop(*index.all_runs())
+    gone = parts[0]
+    for p in parts[1:]:
+        gone = gone.unionByName(p)
+    return rebuilt(docs, gone, key, text)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
