@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, components, release, table
+from .common import ASCII_SPACE, Scratch, components, release, sealed, table, unsealed
 
 BITS, SEED, BLOCK, FLUSH = 64, 42, 20_000, 2_000_000
 
@@ -404,14 +404,14 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
         gone.append(judged.where("goes").select("uid"))
         scratch.drop(left, marked)
         left = judged.where("not goes").drop("goes")
-    out = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), last)).withColumn("_uid", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    drop = first.where("copies > 1").select(F.col("uid").alias("_u"), F.col("first").alias("_first"))
+    drop = first.where("copies > 1").select(F.col("uid").alias("u"), "first")
     for g in gone:
-        drop = drop.unionByName(g.select(F.col("uid").alias("_u"), F.lit(None).cast("long").alias("_first")))
-    # null _first: every row of the text goes; else all but the first document's
-    drop = scratch.keep(drop.groupBy("_u").agg(F.max(F.col("_first").isNull()).alias("_all"), F.min("_first").alias("_first")), "drop")
-    out = out.join(drop, out["_uid"] == drop["_u"], "left")
-    return out.where(~F.coalesce(F.col("_all") | (F.col("_doc") != F.col("_first")), F.lit(False))).select(*docs.columns)
+        drop = drop.unionByName(g.select(F.col("uid").alias("u"), F.lit(None).cast("long").alias("first")))
+    # null first: every row of the text goes; else all but the first document's
+    drop = scratch.keep(drop.groupBy("u").agg(F.max(F.col("first").isNull()).alias("every"), F.min("first").alias("first")), "drop")
+    out = sealed(docs, doc=F.coalesce(F.col(key).cast("long"), last), uid=F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    out = out.join(drop, out["uid"] == drop["u"], "left")
+    return unsealed(out.where(~F.coalesce(F.col("every") | (F.col("doc") != F.col("first")), F.lit(False))), docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
