@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import Scratch, release, table
+from .common import Scratch, release, sealed, table, unsealed
 
 GRAM, WINDOW = 10, 41
 LEAST = GRAM + WINDOW - 1
@@ -256,37 +257,33 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", withi
     Documents without repeated passages pass unchanged, nulls and empty texts too. Rows of one key and text count as one: all stay or go.
     """
     spans, copies = repeated(docs, key, text, within)
-    names = docs.columns
+    body, doc = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
+    enough = F.size(F.split(F.trim(body), r"\s+")) >= LEAST
+    rows = sealed(docs, doc=doc, uid=_digest(text), text=F.col(text), enough=enough)
+    rows = rows.withColumn("row", F.struct(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != text]))
+    gone = F.transform(F.filter(F.arrays_zip("pos", "goes"), lambda x: x["goes"]), lambda x: x["pos"])
+    by_text = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("pos").isNotNull())
+    by_text = by_text.select(F.col("uid").alias("u"), "first", "copies", gone.alias("cut"))
+    joined = rows.join(by_text, rows["uid"] == by_text["u"], "left")
+    kept = joined.where(~F.coalesce((F.col("copies") > 1) & (F.col("doc") != F.col("first")) & F.col("enough"), F.lit(False))).select("row", "text", "cut")
+    kind = StructType([StructField("row", kept.schema["row"].dataType), StructField("text", StringType()), StructField("empty", BooleanType())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for t, pos in zip(b["_text"], b["_cut"]):
-                gone = [] if pos is None else _joined(pos)
-                if gone:
+            texts, empty = b["text"].to_pylist(), []
+            for i, pos in enumerate(b["cut"].to_pylist()):
+                spans = _joined(np.array(pos)) if pos else []
+                if spans:
+                    t, parts, here = texts[i], [], 0
                     at = [w.span() for w in _WORD.finditer(t)]
-                    parts, here = [], 0
-                    for a, z in gone:
+                    for a, z in spans:
                         parts.append(t[here : at[a][0]])
                         here = at[z][0] if z < len(at) else len(t)
-                    t = "".join(parts) + t[here:]
-                    t = t if t.strip() else ""
-                texts.append(t)
-            yield b.drop(columns=["_cut", "_text"]).assign(**{"_new": texts, "_had": [x is not None for x in b["_cut"]]})
+                    texts[i] = "".join(parts) + t[here:]
+                empty.append(bool(spans) and not texts[i].strip())
+            yield pa.record_batch([b["row"], pa.array(texts, pa.string()), pa.array(empty)], names=["row", "text", "empty"])
 
-    rows = docs.withColumn("_uid", _digest(text))
-    by_text = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("pos").isNotNull())
-    gone = F.transform(F.filter(F.arrays_zip("pos", "goes"), lambda x: x["goes"]), lambda x: x["pos"])
-    by_text = by_text.select(F.col("uid").alias("_u"), F.col("first").alias("_first"), F.col("copies").alias("_copies"), gone.alias("_cut"))
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
-    enough = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+")) >= LEAST
-    joined = rows.join(by_text, rows["_uid"] == by_text["_u"], "left")
-    kept = joined.where(~F.coalesce((F.col("_copies") > 1) & (doc != F.col("_first")) & enough, F.lit(False)))
-    kept = kept.select(*[c for c in names if c != text], F.col(text).alias("_text"), "_cut")
-    others = [c for c in names if c != text]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "_new string, _had boolean"])
-    out = kept.mapInPandas(cut, schema).where(~F.col("_had") | (F.col("_new") != ""))
-    return out.select(*[F.col("_new").alias(text) if c == text else F.col(c) for c in names])
+    return unsealed(kept.mapInArrow(cut, kind).where("NOT empty"), docs.columns, **{text: F.col("text")})
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
-import hashlib
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from panelspark.llm import line_dedup, passages, simhash
@@ -46,8 +47,34 @@ def test_lines_empty(none):
 def test_line_index_merges_runs(spark):
     index = line_dedup.LineIndex(spark)
     for i in range(5):
-        index.add(spark.createDataFrame([(i, i)], "h1 long, h2 long"))
-    assert [len(x) for x in index.runs] == [1, 0, 1] and index.seen().count() == 5
+        index.add(spark.createDataFrame([(i, i), (i + 100, -i)], "h1 long, h2 long"))
+    assert [len(x) for x in index.runs] == [1, 0, 1]
+    got = index.marked(spark.createDataFrame([(3, 3), (4, 4), (3, 4), (104, -4)], "h1 long, h2 long"))
+    assert {(r["h1"], r["h2"]): r["old"] for r in got.collect()} == {(3, 3): True, (4, 4): True, (3, 4): False, (104, -4): True}
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark):
+    index = line_dedup.LineIndex(spark)
+    for i in range(3):
+        index.add(spark.range(1000 * i, 1000 * i + 1000).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2")))
+    batch = spark.range(5000).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2")).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    with line_dedup._bucket_order(spark):
+        marked = index.marked(batch)
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert marked.where("old").count() == 3000
+    assert len(index.all_runs()) == 2 and plan.count("SortMergeJoin") == 2
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_columns_of_any_name(spark):
+    """Names that the row-keeping operators use themselves pass through all of them, values and types too."""
+    names = ["row", "text_", "doc", "hash", "gone", "pos", "h1", "d", "r", "uid", "first", "copies", "cut", "new", "had", "_doc", "_row", "_uid", "_first", "_all", "_marks", "_text", "_cut", "_u", "a.b", "score", "comp", "node"]
+    rows = [(i, f"a line of some length {i % 2}\nown line number {i}", *[f"{c}{i}" for c in names]) for i in range(6)] + [(6, None, *names)]
+    df = spark.createDataFrame(rows, StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *[StructField(c, StringType()) for c in names]]))
+    for made in (line_dedup.dedup(df).drop("n_lines", "n_dropped"), simhash.near_dedup(df), passages.cut_passages(df)):
+        assert made.columns == df.columns
+        got = {r[0]: tuple(r)[2:] for r in made.collect()}
+        assert got == {r[0]: r[2:] for r in rows}
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -299,4 +326,4 @@ def test_pipeline_handles_hard_rows(spark, docs, sf):
     hard = docs.select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         hard = Scratch(spark, "t").keep(stage(spark, hard, sf))
-    assert hashlib and hard.count() > 0
+    assert hard.count() > 0
