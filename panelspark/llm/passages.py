@@ -173,19 +173,12 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
     sorted_ = windows.repartitionByRange("window", "at", "first", "id").mapInArrow(_grouped, _MATCH_SQL)
     met = scratch.keep(sorted_, "matches")
     low, high = F.struct("low_first", "low_pos"), F.struct("high_first", "high_pos")
-    # one row each of the windows at the tasks' borders, mostly two a task: a table each row of kind 1 looks up its one entry in
-    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("low"), F.max(high).alias("high")).select("window", "gram", "low.*", "high.*")
-    told = windows.sparkSession.sparkContext.broadcast({(r[0], r[1]): tuple(r[2:]) for r in over.collect()})
-    names = ["first", "id", "pos", "low_first", "low_pos", "high_first", "high_pos"]
-
-    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [told.value[k] for k in zip(b["window"].to_pylist(), b["gram"].to_pylist())]
-            ends = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int32()) * 2)] if found else [b[c] for c in names[3:]]
-            yield pa.record_batch([*(b[c] for c in names[:3]), *ends], names=names)
-
-    kinds = "first long, id long, pos int, low_first long, low_pos int, high_first long, high_pos int"
-    places = met.where("kind = 0").select(*names).unionByName(met.where("kind = 1").mapInArrow(outer, kinds))
+    # a row each of the windows at the tasks' borders, mostly two a task; no other task holds a window that is not in it
+    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("l"), F.max(high).alias("h"))
+    over = scratch.keep(over.select(F.col("window").alias("w"), F.col("gram").alias("g"), "l", "h"), "over")
+    places = met.where("kind < 2").join(over, (F.col("window") == F.col("w")) & (F.col("gram") == F.col("g")), "left")
+    ends = [F.coalesce(F.col(side)[f"{name}_{c}"], f"{name}_{c}").alias(f"{name}_{c}") for side, name in (("l", "low"), ("h", "high")) for c in ("first", "pos")]
+    places = places.select("first", "id", "pos", *ends)
     many = F.col("low_first") != F.col("high_first")
     apart = lambda a, b: (b - a) >= LEAST
     if within:
