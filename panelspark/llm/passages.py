@@ -188,9 +188,9 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
     return places.where(many).select("first", "id", "pos", goes.alias("goes"), F.col("low_first").alias("root"))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(spans, copies) by text digest: spans(uid, pos, goes, root), arrays with an element a repeated window, places ascending, see _met();
-    copies(uid, first, copies) of every text."""
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
+    """A table by text digest, of texts that stand twice or hold repeated windows: (uid, first, copies, pos, goes, root), the last three arrays with
+    an element a repeated window, places ascending, see _met()."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc"), _digest(text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -208,7 +208,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: b
     marks = _met(windows, scratch, within).groupBy("first", "id").agg(F.sort_array(F.collect_list(mark)).alias("m"))
     spans = marks.select(F.col("first").alias("f"), "id", F.col("m.pos").alias("pos"), F.col("m.goes").alias("goes"), F.col("m.root").alias("root"))
     spans = spans.join(named, (spans["f"] == named["first"]) & (spans["id"] == named["id"])).select("uid", "pos", "goes", "root")
-    return scratch.keep(spans, "spans"), copies
+    both = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("pos").isNotNull())
+    return scratch.keep(both, "spans")  # a table: joins with it have an exchange on either side, so that many copies of a text can be split
 
 
 def _joined(pos: np.ndarray) -> list[list[int]]:
@@ -227,16 +228,14 @@ def find_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", with
     spans are those of its text. Texts under LEAST words, null and empty ones never appear. A null key counts as after all others.
     Repeats of a text within itself count only with ``within``, if they don't overlap. Other columns are dropped.
     """
-    spans, copies = repeated(docs, key, text, within)
-
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cut = [p[g.astype(bool)] for p, g in zip(b["pos"], b["goes"])]
-            first = [np.unique(r[g.astype(bool)]).tolist() for r, g in zip(b["root"], b["goes"])]
-            yield pd.DataFrame({"uid": b["uid"], "spans": [_joined(x) for x in b["pos"]], "cut_spans": [_joined(x) for x in cut], "partners": first})
+            cut = [None if p is None else _joined(p[g.astype(bool)]) for p, g in zip(b["pos"], b["goes"])]
+            first = [None if r is None else np.unique(r[g.astype(bool)]).tolist() for r, g in zip(b["root"], b["goes"])]
+            yield b[["uid", "first", "copies"]].assign(spans=[None if p is None else _joined(p) for p in b["pos"]], cut_spans=cut, partners=first)
 
-    tidied = spans.mapInPandas(tidy, "uid binary, spans array<array<int>>, cut_spans array<array<int>>, partners array<long>")
-    by_text = copies.join(tidied, "uid", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull())
+    kinds = "uid binary, first long, copies long, spans array<array<int>>, cut_spans array<array<int>>, partners array<long>"
+    by_text = repeated(docs, key, text, within).mapInPandas(tidy, kinds)
     long_enough = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+")) >= LEAST
     rows = docs.select(F.col(key), _digest(text).alias("u"), long_enough.alias("long_enough"))
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
@@ -249,14 +248,12 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", withi
 
     Documents without repeated passages pass unchanged, nulls and empty texts too. Rows of one key and text count as one: all stay or go.
     """
-    spans, copies = repeated(docs, key, text, within)
     body, doc = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
     enough = F.size(F.split(F.trim(body), r"\s+")) >= LEAST
     rows = sealed(docs, doc=doc, uid=_digest(text), text=F.col(text), enough=enough)
     rows = rows.withColumn("row", F.struct(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != text]))
     gone = F.transform(F.filter(F.arrays_zip("pos", "goes"), lambda x: x["goes"]), lambda x: x["pos"])
-    by_text = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("pos").isNotNull())
-    by_text = by_text.select(F.col("uid").alias("u"), "first", "copies", gone.alias("cut"))
+    by_text = repeated(docs, key, text, within).select(F.col("uid").alias("u"), "first", "copies", gone.alias("cut"))
     joined = rows.join(by_text, rows["uid"] == by_text["u"], "left")
     kept = joined.where(~F.coalesce((F.col("copies") > 1) & (F.col("doc") != F.col("first")) & F.col("enough"), F.lit(False))).select("row", "text", "cut")
     kind = StructType([StructField("row", kept.schema["row"].dataType), StructField("text", StringType()), StructField("empty", BooleanType())])
