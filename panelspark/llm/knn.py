@@ -2,9 +2,9 @@
 
 Vectors belong to the cell of their nearest pivot. With d = |x - p| the score obeys q.p - |q| d <= q.x <= q.p + |q| d, so a cell's summary (its size,
 largest and few smallest d) bounds every score in it. A query's k-th best lower bound over all cells is a score it is sure to reach;
-it is sent to the cells whose upper bound is not below that, and to no other. Cells are cut into chunks and queries into blocks of bounded
-size, each (chunk, block) is solved as one matrix product, and the local winners are merged. Pruning depends on the data;
-the result does not.
+it is sent to the cells whose upper bound is not below that, and to no other. Cells are cut into chunks of bounded size. Each vector is sent
+once, to its chunk; a task holds one chunk at a time and the queries sent there stream by, a matrix product a batch. The local winners
+are merged. Pruning depends on the data; the result does not.
 
 Pivots come from a sample of at most SAMPLE vectors (the smallest id hashes); all vectors are assigned, summarised and searched.
 """
@@ -14,15 +14,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_partitions, table
 
-PIVOTS, SAMPLE, ROUNDS, CHUNK, QUERY_BLOCK = 64, 4096, 5, 20_000, 4_000
+PIVOTS, SAMPLE, ROUNDS, CHUNK, QUERY_BLOCK = 64, 4096, 5, 20_000, 1_000_000
 EXACT = float(1 << 53)
+OWN = 64
 
 
 def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -78,11 +78,56 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(big(q) @ big(x).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def _best(own: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best of one chunk, ids ascending; ties go to the smaller id; rows of the query's own id don't count."""
+    out = []
+    for i, q in enumerate(own):
+        rest = np.flatnonzero(ids != q)
+        s = score[i, rest]
+        n = min(k, len(rest))
+        if n:
+            floor = np.partition(s, len(s) - n)[len(s) - n]
+            above, level = np.flatnonzero(s > floor), np.flatnonzero(s == floor)
+            near = rest[np.concatenate([above, level[: n - len(above)]])]
+            out.append((np.repeat(q, n), ids[near], score[i, near]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+
+
+def _solver(width: int, k: int):
+    """Of a task's rows, sorted by (block, cell, chunk, asks): the vectors of a chunk, then the queries sent to it, a batch at a time."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held_ids, held, xs, ids = None, [], [], None, None
+        for b in batches:
+            place = np.stack([b[c].to_numpy() for c in ("block", "cell", "chunk", "asks")], 1)
+            edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1), True])
+            for i, z in zip(edges, edges[1:]):
+                here, asks, part = tuple(place[i, :3].tolist()), place[i, 3], b.slice(i, z - i)
+                if here != at:
+                    at, held_ids, held, xs = here, [], [], None
+                if not asks:
+                    held_ids.append(part["id"].to_numpy()), held.append(_matrix(part["v"], width))
+                    continue
+                if xs is None:
+                    ids = np.concatenate(held_ids) if held_ids else np.zeros(0, np.int64)
+                    order = np.argsort(ids, kind="stable")
+                    xs, ids = (np.concatenate(held) if held else np.zeros((0, width)))[order], ids[order]
+                    held_ids, held = [], []
+                own, q = part["id"].to_numpy(), _matrix(part["v"], width)
+                for s in range(0, len(own), 256):
+                    found = _best(own[s : s + 256], _scores(q[s : s + 256], xs), ids, k)
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+
+    return solve
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, chunk: int = CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id ``every`` divides, the k best of the other rows.
 
-    Ties go to the smaller id. Rows that share the query's id are not its candidates; rows without an id take no part; a missing component counts as
-    zero. Fewer rows than k give all. An empty table gives no rows; other columns are ignored.
+    Ties go to the smaller id. Rows that share the query's id are not its candidates and ask together: of their scores the k best; rows without an id take no part; a missing component counts as
+    zero. Fewer rows than k give all. An empty table gives no rows; other columns are ignored. Vectors are sent once for every ``query_block``
+    queries, so that no chunk's task has more than these to answer.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "knn")
@@ -100,17 +145,20 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, key
                 yield pa.record_batch([part["id"], part["v"], pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell])], names=["id", "v", "cell", "d"])
 
     placed = scratch.keep(rows.mapInArrow(assign, "id long, v array<double>, cell int, d double"), "placed")
-    # summaries: k + 1 least distances a cell (one may be the query's own) by a two-step top-k that keeps no cell in one task
+    queries = placed.where(F.col("id") % every == 0)
+    asked = queries.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("ids"), F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    # of the best bounds as many may be of the query's own rows as rows share an id; beyond OWN of them nothing is pruned
+    own = min(asked["most"] or 1, OWN + 1)
+    # summaries: the least distances of a cell by a two-step top-k that keeps no cell in one task
     salted = placed.select("cell", "d", F.pmod(F.xxhash64("id"), F.lit(max(8, shuffle_partitions(spark)))).alias("s"))
-    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("cell", "s").orderBy("d"))).where(F.col("n") <= k + 1)
-    least = few.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k + 1).alias("least"))
+    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("cell", "s").orderBy("d"))).where(F.col("n") <= k + own)
+    least = few.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k + own).alias("least"))
     wide = placed.groupBy("cell").agg(F.max("d").alias("r"), F.count("*").alias("n"))
     summary = [r.asDict() for r in wide.join(least, "cell").collect()]  # a row a pivot
     total = sum(s["n"] for s in summary)
-    size = min(CHUNK, max(128, total // (2 * shuffle_partitions(spark))))
-    queries = placed.where(F.col("id") % every == 0)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    bounds = spark.sparkContext.broadcast((summary, k))
+    size = min(chunk, max(128, total // (2 * shuffle_partitions(spark))))
+    blocks = max(1, -(-(asked["rows"] or 0) // query_block))
+    bounds = spark.sparkContext.broadcast((summary, k + own - 1))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = bounds.value
@@ -127,48 +175,24 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, key
                 norm = np.sqrt((q * q).sum(1))
                 mid = q @ model.value[at].T
                 low = mid[:, of] - norm[:, None] * ds
-                # the (k + 1)-th best bound: one of the best may be the query itself
-                sure = -np.partition(-low, n, axis=1)[:, n] if low.shape[1] > n else np.full(len(q), -np.inf)
+                # with one row an id, the (k + 1)-th best bound: one of the best may be the query itself
+                sure = -np.partition(-low, n, axis=1)[:, n] if low.shape[1] > n and own <= OWN else np.full(len(q), -np.inf)
                 slack = 1e-9 * (np.abs(mid).max(1, initial=1) + norm * (r.max(initial=0) + 1))
                 i, c = np.nonzero(mid + norm[:, None] * r >= (sure - slack)[:, None])
                 rep = chunks[c]
                 rows_at, cell = np.repeat(i, rep), np.repeat(at[c], rep)
-                chunk = np.concatenate([np.arange(x) for x in rep]) if len(rep) else np.zeros(0, int)
+                numbers = np.concatenate([np.arange(x) for x in rep]) if len(rep) else np.zeros(0, int)
                 for s in range(0, len(rows_at), 10_000):
                     z = slice(s, s + 10_000)
                     picked = part.take(pa.array(rows_at[z]))
-                    yield pa.record_batch([picked["id"], picked["v"], pa.array(cell[z], pa.int32()), pa.array(chunk[z], pa.int32())], names=["id", "v", "cell", "chunk"])
+                    yield pa.record_batch([picked["id"], picked["v"], pa.array(cell[z], pa.int32()), pa.array(numbers[z], pa.int32())], names=["id", "v", "cell", "chunk"])
 
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
-    sent = queries.select("id", "v").mapInArrow(send, "id long, v array<double>, cell int, chunk int").withColumn("block", block)
+    sent = queries.select("id", "v").mapInArrow(send, "id long, v array<double>, cell int, chunk int").select("id", "v", block.alias("block"), "cell", "chunk", F.lit(1).alias("asks"))
     chunk_count = F.element_at(F.array(*[F.lit(-(-n // size)) for n in _dense(summary, len(p))]), F.col("cell") + 1)
-    held = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id", F.lit("chunk")), chunk_count).cast("int").alias("chunk"))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x = x.sort_values("id", kind="stable")
-        xs, ids = _matrix(pa.array(x["v"]), width), x["id"].to_numpy()
-        out = []
-        for at in range(0, len(q), 256):
-            part = q.iloc[at : at + 256]
-            own = part["id"].to_numpy()
-            score = _scores(_matrix(pa.array(part["v"]), width), xs)
-            for i in range(len(part)):
-                s = np.where(ids == own[i], np.iinfo(np.int64).min, score[i])
-                n = min(k, int((ids != own[i]).sum()))
-                if n:
-                    floor = np.partition(s, len(s) - n)[len(s) - n]
-                    near = np.flatnonzero((s >= floor) & (ids != own[i]))
-                    near = near[np.lexsort((ids[near], -s[near].astype(float), -s[near]))][:n] if abs(int(floor)) < 1 << 62 else near[sorted(range(len(near)), key=lambda j: (-int(s[near[j]]), ids[near[j]]))][:n]
-                    out.append((np.repeat(own[i], len(near)), ids[near], s[near]))
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), zip(*out))})
-
-    on = ["cell", "chunk", "block"]
-    local = sent.groupBy(*on).cogroup(held.groupBy(*on)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    held = placed.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "cell", F.pmod(F.xxhash64("id", F.lit("chunk")), chunk_count).cast("int").alias("chunk"), F.lit(0).alias("asks"))
+    met = held.unionByName(sent).repartition("block", "cell", "chunk").sortWithinPartitions("block", "cell", "chunk", "asks")
+    local = met.mapInArrow(_solver(width, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -176,6 +176,25 @@ def test_top_k_against_brute_force(spark):
     assert got == brute_top(vectors, 5, 10)
 
 
+def test_top_k_in_many_chunks_and_blocks(spark):
+    """Small chunks and query blocks, names like the operator's own, integers of which many tie."""
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(900)]
+    df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, cell string, asks int, chunk int").repartition(6)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(df, every=10, pivots=7, chunk=150, query_block=20).collect())
+    assert got == brute_top(vectors, 5, 10)
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Several rows of one id ask together, as in SQL; none is its own candidate, whatever their number."""
+    rng = np.random.default_rng(4)
+    for copies in (3, 100):
+        rows = [(0, [9.0, 9.0])] * copies + [(i, [float(x) for x in rng.normal(size=2)]) for i in range(1, 200)]
+        got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=1000, pivots=9).collect()
+        one = [(x, v) for _, _, x, v in brute_top([rows[0], *rows[copies:]], 5, 1000)]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [x for x in one for _ in range(copies)][:5]
+
+
 def test_top_k_few_rows_and_huge_numbers(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<float>")
     got = knn.top_k(df, every=2).collect()
