@@ -3,13 +3,13 @@
 1. A task cuts a block of documents into pre-tokens, numbers the block's distinct words, and writes the block's documents as a list
    of word numbers, one per position, to a file in the shared folder (entropy-coded, about two bytes a position). It emits one
    entry a distinct word and block, packed into a row a block and word range: a word that stands everywhere is sent once a block.
-2. Rows are dealt by word range (a hash of the word), so each distinct word of the corpus is encoded once, and its ids go back to each
-   block that asked for them, packed into one row a block and task.
+2. Rows are dealt by word range (a hash of the word) and sorted by it, so each distinct word of the corpus is encoded once, and its ids go back to
+   each block that asked for them, a row a block and range. A task holds the words of one range, no more.
 3. Blocks are put together by position from their file and the returned ids. Decoding looks ids up in the table of token bytes,
    whose size is the vocabulary's.
 
-Block names follow from the scan's partition and order, and scans deal rows alike each time, so a task that is run again writes
-the same file under the same name.
+Rows are put in order within each task before blocks are cut, and blocks are named by task and number: a task that is run again cuts the same
+blocks, whatever order a shuffle before it hands out the same rows in, and writes the same files under the same names.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/bpe-{uuid.uuid4().hex}"
     model = spark.sparkContext.broadcast((pattern, ranks))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).sortWithinPartitions("key", F.xxhash64("text"))
     kind = docs.schema[key].dataType.simpleString()
     deals = 2 * shuffle_partitions(spark)
 
@@ -149,25 +149,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
 
         encoder = tiktoken.Encoding("own", pat_str=model.value[0], mergeable_ranks=model.value[1], special_tokens={})
         known: dict[bytes, bytes] = {}
-        back: dict[int, list[tuple[np.ndarray, list[bytes]]]] = {}
+        here = None
         for b in batches:
-            for block, packed in zip(b["block"].to_pylist(), b["words"].to_pylist()):
+            for block, deal, packed in zip(b["block"].to_pylist(), b["deal"].to_pylist(), b["words"].to_pylist()):
+                if deal != here:
+                    known, here = {}, deal
                 steps, sizes, body = _unpack(packed)
-                at = np.cumsum(_unplanes(steps)) if steps else np.zeros(0, np.int64)
                 ends = np.cumsum(_unplanes(sizes)).tolist() if sizes else []
                 words = [body[a:z] for a, z in zip([0, *ends], ends)]
                 for w in words:
                     if w not in known:
                         known[w] = np.array(encoder.encode_ordinary(w.decode()), "<u4").tobytes()
-                back.setdefault(block, []).append((at, [known[w] for w in words]))
-        for block, parts in back.items():
-            at = np.concatenate([p[0] for p in parts])
-            ids = [x for p in parts for x in p[1]]
-            order = np.argsort(at, kind="stable")
-            ids = [ids[i] for i in order]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            yield pa.record_batch([[block], [_pack(_planes(np.diff(at[order], prepend=0)), _planes(sizes), _planes(flat))]], schema=_BACK)
+                ids = [known[w] for w in words]
+                found = _pack(steps, _planes(np.fromiter(map(len, ids), np.int64, len(ids)) // 4), _planes(np.frombuffer(b"".join(ids), "<u4")))
+                yield pa.record_batch([[block], [found]], schema=_BACK)
 
     def assemble(group: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
@@ -204,7 +199,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
         return pd.DataFrame({"key": head["key"].to_pandas(integer_object_nulls=True), **out})
 
     asked = rows.mapInArrow(cut, "block long, deal int, words binary")
-    back = asked.repartition("deal").mapInArrow(spell, "block long, found binary")
+    back = asked.repartition("deal").sortWithinPartitions("deal", "block").mapInArrow(spell, "block long, found binary")
     return back.groupBy("block").applyInPandas(assemble, _OUT.format(kind=kind)).withColumnRenamed("key", key)
 
 
