@@ -145,17 +145,14 @@ def links(distinct: DataFrame, radius: int, scratch: Scratch, block: int = BLOCK
     kept = masks(radius)
     # 31 or 127 arguments of one hash a table: the table's number and the kept bits
     keyed = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(m))) for v, m in enumerate(kept)])).alias("g"))
-    # Which buckets may be large: counted over one fingerprint in 16, chosen by hash; this plans the work and drops nothing.
-    # At least block / 32 of a counted bucket's rows, or a thousandth of all: at most 1000 buckets a table, so the list is bounded.
+    # Which buckets may be large: counted over one fingerprint in 16, chosen by hash; this plans the work and drops nothing
     probe = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0)
-    n = max(1, probe.count())
-    least = max(block // 32, n // 1000, 1)
     counted = probe.select(F.explode(F.array(*[F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(m))) for v, m in enumerate(kept)])).alias("g"))
-    large = counted.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    large = counted.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= max(block // 32, 1))
     large = scratch.keep(large.select("g", F.ceil(F.col("n") * 16 / F.lit(block)).cast("int").alias("blocks")), "large")
     if large.limit(1).count():
         own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
-        joined = keyed.join(F.broadcast(large), "g", "left")
+        joined = keyed.join(large, "g", "left")  # the planner broadcasts the list if it is small, and can split a hot bucket if not
         mates = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))
         paired = joined.withColumn("own", own).withColumn("mate", F.explode(mates))
         low, high = F.least("own", "mate"), F.greatest("own", "mate")
@@ -167,8 +164,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     """(key, fp, component_id) for every row of docs.
 
     component_id: the least key reachable by links of at most ``radius`` bits, the row's own included. Null and empty texts have
-    fingerprint 0 and are linked like any other; null keys are never the least unless a component has no other. An empty table
-    gives no rows; other columns are dropped.
+    fingerprint 0 and are linked like any other; null keys are never the least unless a component has no other. Very long texts are hashed
+    whole. An empty table gives no rows; other columns are dropped.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, words, key, text, distinct_shingles), "fp")
@@ -363,7 +360,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     scratch.drop(texts)
     moved = placed.join(joined, placed["comp"] == joined["node"], "left").select("uid", F.coalesce("root", "comp").alias("comp"))
     placed = scratch.keep(moved, "placed")
-    sizes = placed.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("comp", "c")
+    # a table: the join with it can then be split where a component is large
+    sizes = scratch.keep(placed.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("comp", "c"), "sizes")
     members = placed.join(sizes, placed["comp"] == sizes["c"]).select("uid", "comp").join(first, "uid").select(F.col("uid").alias("u"), "comp", "first")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
