@@ -44,9 +44,22 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, buckets: int, *columns: str, name: str = "b") -> DataFrame:
+        """Write df as a table of ``buckets`` sorted files and return it: joins on the columns read it in place, without an exchange.
+
+        df is dealt by the columns already, as after a group-by of them; else a bucket has several files.
+        """
+        table_name, path = f"{name}_{uuid.uuid4().hex}", self.path(name)
+        df.write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(table_name, format="parquet")
+        out = self.spark.table(table_name)
+        out._scratch_path, out._table = path, table_name
+        return out
+
     def drop(self, *frames: DataFrame | str) -> None:
         """Remove tables that nothing reads any more."""
         for frame in frames:
+            if getattr(frame, "_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {frame._table}")
             path = frame if isinstance(frame, str) else getattr(frame, "_scratch_path", None)
             if path:
                 target = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,7 +12,6 @@ documents hold is one row a task before the shuffle; marking goes through an equ
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -54,17 +53,8 @@ class LineIndex:
 
     def bucketed(self, df: DataFrame) -> DataFrame:
         """df, dealt by (h1, h2) or not, as a table of ``buckets`` sorted files."""
-        name, path = f"run_{uuid.uuid4().hex}", self.scratch.path("run")
         with _bucket_order(self.spark):
-            df.write.bucketBy(self.buckets, *_ON).sortBy(*_ON).option("path", path).saveAsTable(name, format="parquet")
-        out = self.spark.table(name)
-        out._scratch_path, out._table = path, name
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t._table}")
-            self.scratch.drop(t)
+            return self.scratch.bucketed(df, self.buckets, *_ON, name="run")
 
     def all_runs(self) -> list[DataFrame]:
         return [run for level in self.runs for run in level]
@@ -91,7 +81,7 @@ class LineIndex:
             for other in old[1:]:
                 merged = merged.hint("merge").join(other, _ON, "full_outer")  # a merge of two sorted files a bucket
             self.put(level + 1, self.bucketed(merged))
-            self.drop(*old)
+            self.scratch.drop(*old)
 
 
 def hashed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,7 +102,7 @@ def lost_lines(hashed: DataFrame, index: LineIndex) -> DataFrame:
     gone = hashed.join(repeated, _ON).where(F.col("old") | (F.col("doc") > F.col("first")))
     out = index.scratch.keep(gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
     index.put(0, index.bucketed(known.where(~F.col("old")).select(*_ON)))
-    index.drop(known)
+    index.scratch.drop(known)
     return out
 
 
@@ -171,7 +161,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: st
         part = hashed if low is None else hashed.where(F.col("doc") >= low)
         parts.append(lost_lines(part if high is None else part.where(F.col("doc") < high), index))
     scratch.drop(hashed)
-    index.drop(*index.all_runs())
+    scratch.drop(*index.all_runs())
     gone = parts[0]
     for p in parts[1:]:
         gone = gone.unionByName(p)
