@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, components, release, sealed, table, unsealed
+from .common import ASCII_SPACE, Scratch, components, release, sealed, shuffle_partitions, table, unsealed
 
 BITS, SEED, BLOCK, FLUSH = 64, 42, 20_000, 2_000_000
 
@@ -186,6 +186,16 @@ def shingle_set(text: str, words: int) -> bytes:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles))).tobytes()
 
 
+def shingler(words: int):
+    """For mapInPandas: ``text`` gives way to ``sh``, its shingle set."""
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(sh=[shingle_set(t, words) for t in b["text"]]).drop(columns="text")
+
+    return shingled
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -316,14 +326,11 @@ def alike_links(texts: DataFrame, words: int, similarity: float, scratch: Scratc
 
     keyed = texts.select(name.alias("id"), F.xxhash64("comp").alias("comp"), "text").mapInArrow(prefixes, "g long, id long, comp long, np long")
     pairs = scratch.keep(keyed.repartition("g").mapInArrow(_meet(similarity), "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(sh=[shingle_set(t, words) for t in b["text"]]).drop(columns="text")
-
-    met = texts.withColumn("id", name).join(wanted, "id").select("id", "comp", "text")
-    sets = scratch.keep(met.mapInPandas(shingled, "id long, comp binary, sh binary"), "sets")
+    wanted = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
+    # the narrow list of names meets the texts by uid, so that texts dealt by it stay where they are
+    known = scratch.keep(texts.select(F.col("uid").alias("u"), name.alias("id")).join(wanted, F.col("id") == F.col("i"), "left_semi"), "known")
+    met = texts.join(known, texts["uid"] == known["u"]).select("id", "comp", "text")
+    sets = scratch.keep(met.mapInPandas(shingler(words), "id long, comp binary, sh binary"), "sets")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -335,42 +342,38 @@ def alike_links(texts: DataFrame, words: int, similarity: float, scratch: Scratc
     return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "sa", "sb").mapInPandas(verified, "a binary, b binary").distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, key: str = "doc_id", text: str = "text", leaders: int = 64, chunk: int = 500) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, key: str = "doc_id", text: str = "text", leaders: int = 64, chunk: int = 500) -> DataFrame:
     """docs without near-copies: each row that goes has a staying row of a lesser key, their word shingles' Jaccard at least ``similarity``.
 
     Candidates are the components of fingerprints over the set of distinct words within ``radius`` bits, joined where alike_links() finds
     texts of two components alike: no pair of that similarity lies in two. Within a component, in rounds,
     the ``leaders`` least rows settle among themselves, and all others are compared with those that stay, in chunks; what is left
-    goes into the next round. Exact copies go first. Rows of one key and text count as one row; a null key counts as after all
-    others; texts without words are never copies of each other. Rows that stay pass unchanged.
+    goes into the next round, with twice as many leaders up to 1,024. Exact copies go first, of rows of one key and text one stays; a null key
+    counts as after all others; texts without words are never copies of each other, nulls among them. Very long texts are compared whole.
+    Rows that stay pass unchanged, in columns of any name.
+
+    Texts are shuffled once, one row a text and task, into a table bucketed by their digest, which all later joins read in place.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    last = F.lit((1 << 63) - 1)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.unhex(F.md5(body.cast("binary"))).alias("uid"), body.alias("text"))
-    rows = rows.where(F.length(F.btrim("text", F.lit(ASCII_SPACE))) > 0)
-    first = scratch.keep(rows.groupBy("uid").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "first")
-    near = near_duplicates(rows.select("uid", "text"), 1, radius, "uid", "text", distinct_shingles=True)
-    placed = scratch.keep(near.select("uid", F.col("component_id").alias("comp")).distinct(), "placed")
-    one = first.select(F.col("uid").alias("u"), F.col("first").alias("d"))
-    texts = rows.join(one, (rows["uid"] == one["u"]) & (rows["doc"] == one["d"])).select("uid", "text").join(placed, "uid")
-    texts = scratch.keep(texts.dropDuplicates(["uid"]), "texts")
-    joined = components(alike_links(texts, words, similarity, scratch), scratch)
-    scratch.drop(texts)
+    wordless = F.length(F.btrim(body, F.lit(ASCII_SPACE))) == 0
+    plain = [F.col(f"`{c.name}`") for c in docs.schema if c.dataType.typeName() != "map"]
+    rows = sealed(docs.where(~wordless), uid=F.unhex(F.md5(body.cast("binary"))), doc=F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), tie=F.xxhash64(*plain))
+    one = rows.groupBy("uid").agg(F.min_by("row", F.struct("doc", "tie")).alias("row"), F.min("doc").alias("first"))
+    kept = scratch.bucketed(one, shuffle_partitions(spark), "uid", name="texts")
+    texts = kept.select("uid", F.col("row").getField(text).alias("text"))
+    near = near_duplicates(texts, 1, radius, "uid", "text", distinct_shingles=True)
+    placed = scratch.keep(near.select("uid", F.col("component_id").alias("comp")), "placed")
+    joined = components(alike_links(texts.join(placed, "uid"), words, similarity, scratch), scratch)
     moved = placed.join(joined, placed["comp"] == joined["node"], "left").select("uid", F.coalesce("root", "comp").alias("comp"))
     placed = scratch.keep(moved, "placed")
     # a table: the join with it can then be split where a component is large
     sizes = scratch.keep(placed.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("comp", "c"), "sizes")
-    members = placed.join(sizes, placed["comp"] == sizes["c"]).select("uid", "comp").join(first, "uid").select(F.col("uid").alias("u"), "comp", "first")
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(sh=[shingle_set(t, words) for t in b["text"]]).drop(columns="text")
-
-    texts = rows.join(members, (rows["uid"] == members["u"]) & (rows["doc"] == members["first"])).select("comp", "uid", "first", "text")
+    members = scratch.keep(placed.join(sizes, placed["comp"] == sizes["c"]).select(F.col("uid").alias("u"), "comp"), "members")
     schema = "comp binary, uid binary, first long, sh binary"
-    left = scratch.keep(texts.mapInPandas(shingled, schema).dropDuplicates(["uid"]), "open")
+    mates = kept.join(members, kept["uid"] == members["u"]).select("comp", "uid", "first", F.col("row").getField(text).alias("text"))
+    left = scratch.keep(mates.mapInPandas(shingler(words), schema), "open")
 
     def settle(g: pd.DataFrame) -> pd.DataFrame:
         stay: list[bytes] = []
@@ -401,15 +404,12 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
         judged = scratch.keep(rest.groupBy("comp", "salt").cogroup(sent.groupBy("comp", "salt")).applyInPandas(compare, f"{schema}, goes boolean"), "judged")
         gone.append(judged.where("goes").select("uid"))
         scratch.drop(left, marked)
-        left = judged.where("not goes").drop("goes")
-    drop = first.where("copies > 1").select(F.col("uid").alias("u"), "first")
-    for g in gone:
-        drop = drop.unionByName(g.select(F.col("uid").alias("u"), F.lit(None).cast("long").alias("first")))
-    # null first: every row of the text goes; else all but the first document's
-    drop = scratch.keep(drop.groupBy("u").agg(F.max(F.col("first").isNull()).alias("every"), F.min("first").alias("first")), "drop")
-    out = sealed(docs, doc=F.coalesce(F.col(key).cast("long"), last), uid=F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    out = out.join(drop, out["uid"] == drop["u"], "left")
-    return unsealed(out.where(~F.coalesce(F.col("every") | (F.col("doc") != F.col("first")), F.lit(False))), docs.columns)
+        left, leaders = judged.where("not goes").drop("goes"), min(2 * leaders, max(leaders, 1024))
+    lost = gone[0] if gone else left.select("uid").limit(0)
+    for g in gone[1:]:
+        lost = lost.unionByName(g)
+    out = kept.join(scratch.keep(lost, "lost"), "uid", "left_anti").select("row")
+    return unsealed(out.unionByName(sealed(docs.where(wordless))), docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
