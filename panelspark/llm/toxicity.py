@@ -5,16 +5,16 @@ letters drawn out ("stuuuupid"). A disguised span becomes a lattice, one column
 finds the likeliest path under a character trigram model. The model's counts come from every document; its table has 64 cubed
 entries at any input size.
 
-Score: a logistic model over cues, the first 3 to 5 letters of a restored word (with an end mark). Cues are counted over all
-training documents; the weights are fitted on at most SAMPLE labelled rows of each class (smallest hash of the id) and the constant is set
-back to the share of toxic rows in all training rows. Inputs of a score are the text's words and nothing else.
+Score: a logistic model over cues, a restored word and its first 3 to 8 letters. The classifier is fitted on a bounded sample of labelled rows, at most
+SAMPLE of each class (smallest hash of the id): its cues are the CUES of most gain in that sample, and its constant is set back to the share
+of toxic rows among all training labels. Inputs of a score are the text's words and nothing else; every text is decoded and scored whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import Scratch, hold, table
 
-CUES, CANDIDATES, SAMPLE, LEAST_DOCS, BROADCAST_ROWS = 800, 20_000, 3000, 3, 2_000_000
+CUES, SAMPLE, LEAST_DOCS, LEAST_GAIN, RIDGE = 2000, 5000, 3, 8.0, 0.1
 #: Signs and the letters they are written for.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -32,6 +32,7 @@ LOOKS = {
 }
 SWAP, STRETCH, GAP = -1.0, -0.5, -3.0  # log costs: a look-alike, a run cut short, a word border between letters set apart
 _LONG, _ENDS = re.compile(r"(.)\1\1"), "\"'`.,;:?!()[]{}<>«»¡¿-_…"
+_CORE = re.compile(r"[^\W\d_](?:.*[^\W\d_])?")
 _APART = re.compile(r"(?:[^\W\d_][.\-_*·]){2,}[^\W\d_]")
 
 #: Character classes of the model: 0 border, 1-26 a-z, 27-59 the letters U+00DF to U+00FF, 60 digits, 61 other letters.
@@ -123,41 +124,49 @@ def disguised(word: str) -> bool:
 
 
 class Words:
-    """Cues of words; a worker's cache, emptied when full."""
+    """What cues of words stand for; a worker's cache, emptied when full. ``meaning`` maps a cue to what a caller counts; None: to itself."""
 
-    def __init__(self, model: np.ndarray, most: int = 150_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: np.ndarray, meaning: dict[str, int] | None = None, most: int = 300_000):
+        self.model, self.meaning, self.most, self.known = model, meaning, most, {}
 
     @staticmethod
     def cues(word: str) -> list[str]:
-        w = word + "$"
-        return [w[:n] for n in (3, 4, 5) if len(w) >= n]
+        return [word[:n] for n in range(3, min(8, len(word)) + 1)] + [word + "$"]
 
-    def of(self, token: str) -> list[str]:
-        """Cues of a white-space token as it stands and as it is restored."""
+    def _told(self, cues: Iterable[str]) -> tuple:
+        return tuple(set(cues)) if self.meaning is None else tuple({self.meaning[c] for c in cues if c in self.meaning})
+
+    def of(self, token: str) -> tuple:
+        """Of a white-space token as it stands, without signs at its ends, and as it is restored."""
         got = self.known.get(token)
         if got is None:
             w = token.strip(_ENDS)
-            got = self.cues(w)
+            found = self.cues(w)
+            core = _CORE.search(w)
+            if core and core[0] != w:
+                found += self.cues(core[0])
             left = token.lstrip("\"'`.,;:?()[]{}<>«»¡¿-_…").rstrip(_ENDS)  # a leading ! or | may be a letter
             if disguised(left):
                 for part in viterbi(lattice(left), self.model).split():
-                    got = got + self.cues(part)
+                    found += self.cues(part)
+            got = self._told(found)
             if len(token) <= 64:
                 if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[token] = got
         return got
 
-    def text(self, text: str | None) -> set[str]:
-        """All cues of a text."""
+    def text(self, text: str | None) -> set:
+        """Of a whole text."""
         words = (text or "").lower().split()
-        out: set[str] = set()
+        out: set = set()
         for w in set(words):
-            out.update(self.of(w))
+            got = self.of(w)
+            if got:
+                out.update(got)
         for run in self.runs(words):
             for part in viterbi(lattice(run), self.model).split():
-                out.update(self.cues(part))
+                out.update(self._told(self.cues(part)))
         return out
 
     @staticmethod
@@ -173,9 +182,9 @@ class Words:
         return out
 
 
-def _words(shared) -> Words:
-    """One cache a worker and model; it holds the model, so no other can take its id."""
-    return hold("words", id(shared), lambda: Words(shared))
+def _words(shared, meaning=None) -> Words:
+    """One cache a worker, model and use; it holds both, so no others can take their ids."""
+    return hold("words", (id(shared), id(meaning)), lambda: Words(shared, meaning))
 
 
 def held_out(key: Column) -> Column:
@@ -189,108 +198,109 @@ class Model:
         self.lm, self.weights, self.constant = lm, weights, constant
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge, by accelerated gradient steps."""
-    n, k = x.shape
-    w, v, c, cv = np.zeros(k), np.zeros(k), 0.0, 0.0
-    step = 4.0 / (max(1.0, float((x.sum(1) + 1).max())) + 4 * ridge / n)
-    for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + cv, -30, 30)))
-        g, gc = x.T @ (p - y) / n + ridge / n * v, float((p - y).mean())
-        fresh, fc = v - step * g, cv - step * gc
-        m = t / (t + 3)
-        w, v, c, cv = fresh, fresh + m * (fresh - w), fc, fc + m * (fc - c)
-    return w, c
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on the labelled rows outside the held-out fifth. Null labels or keys don't count; without toxic rows every score is the constant's."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge on all but the constant, by Newton steps, halved where the loss would rise."""
+    z = np.concatenate([x, np.ones((len(x), 1))], 1).astype(float)
+    pull = np.r_[np.full(x.shape[1], ridge), 1e-6]
+    loss = lambda w: float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + (pull * w * w).sum() / 2)
+    w = np.zeros(z.shape[1])
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
+        size = 1.0
+        while loss(w - size * step) > now and size > 1e-4:
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-7 * max(1.0, before):
+            break
+    return w[:-1], float(w[-1])
+
+
+def gain(a, b, n_pos: int, n_neg: int):
+    """Log-likelihood ratio of a cue's table (a of n_pos toxic, b of n_neg other texts hold it), as Columns; 0 where it speaks against the label."""
+    hit, total = a + b, n_pos + n_neg
+
+    def term(o, rows, with_cue):
+        expected = F.lit(float(rows)) * with_cue / F.lit(float(total))
+        return F.when(o > 0, o * F.ln(o / expected)).otherwise(F.lit(0.0))
+
+    terms = term(a, n_pos, hit) + term(b, n_neg, hit) + term(n_pos - a, n_pos, total - hit) + term(n_neg - b, n_neg, total - hit)
+    return F.when(a * n_neg > b * n_pos, terms).otherwise(F.lit(0.0))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most_cues: int = CUES) -> Model:
+    """Fit on the labelled rows outside the held-out fifth. Null labels or keys don't count, of several labels of one key the greatest does; without toxic
+    rows every score is the constant's. ``sample`` bounds the rows of a class that the classifier is fitted on; the language model reads all texts."""
     spark = docs.sparkSession
     lm = language_model(trigram_counts(docs, text))
     share = spark.sparkContext.broadcast(lm)
     y = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    y = y.groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    y = y.groupBy(F.col(key).alias("k")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y"))
+    total = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not total.get(1) or not total.get(0):
+        return Model(lm, {}, 30.0 if total.get(1) else -30.0)
+    # chosen among the narrow labels; then at most 2 * sample rows pick their texts out of the scan
+    parts = [y.where(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(sample) for v in (0, 1)]
     rows = docs.where(~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(text).alias("text"))
-    if y.count() <= BROADCAST_ROWS:  # 16 bytes a row; more labels than that meet their documents by a shuffle
-        y = F.broadcast(y)
-    train_rows = rows.join(y, "k")
-
-    def count(keep):
-        chosen = None if keep is None else spark.sparkContext.broadcast(keep)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, counts = _words(share.value), Counter()
-            wanted = None if chosen is None else chosen.value
-            for b in batches:
-                for t in b["text"].to_pylist():
-                    found = words.text(t)
-                    counts.update(found if wanted is None else found & wanted)
-                    counts[""] += 1
-                    if len(counts) > 500_000:
-                        yield pa.record_batch([list(counts), list(counts.values())], names=["cue", "n"])
-                        counts = Counter()
-            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["cue", "n"])
-
-        return run
-
-    def counted(toxic: int, keep=None) -> DataFrame:
-        part = train_rows.where(F.col("y") == toxic).select("text")
-        return part.mapInArrow(count(keep), "cue string, n long").groupBy("cue").agg(F.sum("n").alias("n"))
-
-    # the CANDIDATES commonest cues of toxic rows, then their counts in the others
-    common = counted(1).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "cue").limit(CANDIDATES + 1)
-    pos = {r["cue"]: r["n"] for r in common.collect()}
-    n_pos = pos.pop("", 0)
-    neg = {r["cue"]: r["n"] for r in counted(0, frozenset(pos)).collect()}
-    n_neg = neg.pop("", 0)
+    scratch = Scratch(spark, "toxic")
+    picked = scratch.keep(rows.join(F.broadcast(parts[0].unionByName(parts[1])), "k").select("y", "text"), "sample")
+    sizes = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    prior = float(np.log(total[1] / total[0]))
     if not n_pos or not n_neg:
-        return Model(lm, {}, 30.0 if n_pos else -30.0)
-
-    def gain(cue: str) -> float:
-        """Log-likelihood ratio of the cue's table, for cues that speak for the label."""
-        a, b = pos[cue], neg.get(cue, 0)
-        if a / n_pos <= b / n_neg:
-            return 0.0
-        rest = [(n_pos - a), (n_neg - b)]
-        total, hit = n_pos + n_neg, a + b
-        terms = [(a, n_pos * hit), (b, n_neg * hit), (rest[0], n_pos * (total - hit)), (rest[1], n_neg * (total - hit))]
-        return sum(o * np.log(o * total / e) for o, e in terms if o)
-
-    ranked = sorted(((gain(c), c) for c in pos), reverse=True)[:CUES]
-    cues = {c: i for i, (g, c) in enumerate(ranked) if g > 8}
+        return Model(lm, {}, prior)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = _words(share.value), Counter()
+        for b in batches:
+            for label_, t in zip(b["y"].to_pylist(), b["text"].to_pylist()):
+                counts.update((c, label_) for c in words.text(t))
+                if len(counts) > 500_000:
+                    yield pa.record_batch([[c for c, _ in counts], pa.array([v for _, v in counts], pa.int32()), list(counts.values())], names=["cue", "y", "n"])
+                    counts = Counter()
+        yield pa.record_batch([pa.array([c for c, _ in counts], pa.string()), pa.array([v for _, v in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["cue", "y", "n"])
+
+    of = lambda v: F.sum(F.when(F.col("y") == v, F.col("n")).otherwise(0))
+    counted = picked.mapInArrow(count, "cue string, y int, n long").groupBy("cue").agg(of(1).alias("a"), of(0).alias("b")).where(F.col("a") >= LEAST_DOCS)
+    ranked = counted.select("cue", gain(F.col("a"), F.col("b"), n_pos, n_neg).alias("g")).where(F.col("g") > LEAST_GAIN)
+    cues = {r["cue"]: i for i, r in enumerate(ranked.orderBy(F.desc("g"), "cue").limit(most_cues).collect())}
     if not cues:
-        return Model(lm, {}, float(np.log(n_pos / n_neg)))
+        return Model(lm, {}, prior)
     index = spark.sparkContext.broadcast(cues)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, at = _words(share.value), index.value
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(share.value, index.value)
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "x": [[at[c] for c in words.text(t) if c in at] for t in b["text"]]})
+            yield pa.record_batch([b["y"], pa.array([sorted(words.text(t)) for t in b["text"].to_pylist()], pa.list_(pa.int32()))], names=["y", "x"])
 
-    # the sample is chosen among the narrow labels; then at most 2 * SAMPLE rows pick their texts out of the scan
-    parts = [y.where(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(SAMPLE) for v in (0, 1)]
-    picked = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "k").select("y", "text")
-    got = picked.mapInPandas(vectors, "y int, x array<int>").collect()
+    got = picked.mapInArrow(vectors, "y int, x array<int>").collect()  # at most 2 * sample short lists
     x, target = np.zeros((len(got), len(cues)), np.float32), np.array([r["y"] for r in got], float)
     for i, r in enumerate(got):
         x[i, r["x"]] = 1
-    w, c = _fit(x, target)
-    seen = (target.sum() + 0.5) / (len(target) - target.sum() + 0.5)
-    return Model(lm, {cue: float(w[i]) for cue, i in cues.items()}, float(c + np.log(n_pos / n_neg) - np.log(seen)))
+    scratch.drop(picked)
+    # equal columns share a weight; one each keeps the Newton steps small
+    kinds, back, shares = np.unique(x, axis=1, return_inverse=True, return_counts=True)
+    w, c = _fit(kinds * np.sqrt(shares), target)
+    w = (w / np.sqrt(shares))[back.ravel()]
+    return Model(lm, {cue: float(w[i]) for cue, i in cues.items()}, float(c + prior - np.log(n_pos / n_neg)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``score`` (0 to 1). A null or empty text scores as one without cues; rows and other columns pass through."""
+    """docs with ``score`` (0 to 1), in place of a column of that name if there is one. A null or empty text scores as one without cues; a very long text
+    is read whole; repeated rows score alike. Rows and other columns pass through."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast(model.lm)
-    rest = spark.sparkContext.broadcast((model.weights, model.constant))
+    names = sorted(model.weights)
+    rest = spark.sparkContext.broadcast(({c: i for i, c in enumerate(names)}, np.array([model.weights[c] for c in names]), model.constant))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, (weights, constant) = _words(share.value), rest.value
-        counts = frozenset(weights)
+        index, weights, constant = rest.value
+        words = _words(share.value, index)
         for b in batches:
-            total = [constant + sum(weights[c] for c in sorted(words.text(t) & counts)) for t in b]
+            total = [constant + float(weights[sorted(words.text(t))].sum()) for t in b]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(total, float), -60, 60))))
 
     return docs.drop("score").withColumn("score", run(F.col(text)))

@@ -236,6 +236,56 @@ def test_viterbi_and_lattice():
     assert toxicity.Words.runs("a b c d hello x y".split()) == ["a b c d"]
 
 
+def test_viterbi_against_all_paths():
+    """The likeliest of every path through short lattices, and no other score."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    lm = toxicity.language_model(rng.integers(0, 50, 1 << 18))
+    one = lambda ch: int(toxicity._CLASS[ord(ch)])
+
+    def worth(path):
+        a, b, total = 0, 0, 0.0
+        for s, cost in [*path, (" ", 0.0)]:
+            total += cost
+            for ch in s:
+                total += float(lm[a, b, one(ch)])
+                a, b = b, one(ch)
+        return total
+
+    for span in ("b4d", "1d10t", "s-o-o", "stuuu", "f.4.$", "*h1t", "w000w", "a||"):
+        columns = toxicity.lattice(span)
+        paths = list(itertools.product(*columns))
+        best = max(map(worth, paths))
+        got = toxicity.viterbi(columns, lm)
+        assert got in {"".join(s for s, _ in p).strip() for p in paths if worth(p) > best - 1e-4}, span
+
+
+def test_scores_by_plain_code(spark, model, pytestconfig):
+    """A score is the constant and the weights of the cues in the text, whatever the row's length, number or neighbours."""
+    p = pytestconfig.prose
+    texts = [p(30, 1), f"{p(9, 2)} WRETCH, vermin$$$ {p(9, 3)}", "vermin " * 3, f"{p(60_000, 4)} wretch", "wretch", "wretch", None]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, held_out int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        words = {w.strip(".,;:?!$").lower() for w in (t or "").split()}
+        cues = {c for w in words for c in [*(w[:n] for n in range(3, min(8, len(w)) + 1)), w + "$"]}
+        total = model.constant + sum(v for c, v in model.weights.items() if c in cues)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+    assert got[4] == got[5] and got[1] > 0.9 > 0.1 > got[0] and got[3] > 0.5
+
+
+def test_held_out_quality(spark):
+    """On the rows that training never sees: ranks, recall and false alarms at one half."""
+    d = "/root/testdata/sf0.1"
+    out = toxicity.op7_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    rows = [(r["score"], r["toxic"]) for r in out.select("score", "toxic").collect()]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert len(pos) > 80 and auc > 0.95
+    assert sum(s >= 0.5 for s in pos) / len(pos) > 0.85 and sum(s >= 0.5 for s in neg) / len(neg) < 0.02
+
+
 def test_held_out_fifth(spark):
     import zlib
 
