@@ -31,10 +31,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[tuple[str, str]] = []
 
     def path(self, name: str = "t") -> str:
         self.n += 1
-        return f"{self.root}/{name}{self.n}"
+        self.paths.append((name, f"{self.root}/{name}{self.n}"))
+        return self.paths[-1][1]
+
+    def named(self, name: str) -> list[str]:
+        """Paths of the tables kept under that name."""
+        return [p for n, p in self.paths if n == name]
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and return it reread."""

@@ -172,6 +172,7 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
     """(first, id, pos, goes, root): repeated windows by place; goes: an earlier place has it; root: the document of its first place."""
     sorted_ = windows.repartitionByRange("window", "at", "first", "id").mapInArrow(_grouped, _MATCH_SQL)
     met = scratch.keep(sorted_, "matches")
+    scratch.drop(windows)
     low, high = F.struct("low_first", "low_pos"), F.struct("high_first", "high_pos")
     # a row each of the windows at the tasks' borders, mostly two a task; no other task holds a window that is not in it
     over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("l"), F.max(high).alias("h"))
@@ -208,8 +209,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: b
     marks = _met(windows, scratch, within).groupBy("first", "id").agg(F.sort_array(F.collect_list(mark)).alias("m"))
     spans = marks.select(F.col("first").alias("f"), "id", F.col("m.pos").alias("pos"), F.col("m.goes").alias("goes"), F.col("m.root").alias("root"))
     spans = spans.join(named, (spans["f"] == named["first"]) & (spans["id"] == named["id"])).select("uid", "pos", "goes", "root")
+    spans = scratch.keep(spans, "spans")
+    scratch.drop(*scratch.named("matches"), *scratch.named("over"))
     both = copies.join(spans, "uid", "left").where((F.col("copies") > 1) | F.col("pos").isNotNull())
-    return scratch.keep(both, "spans")  # a table: joins with it have an exchange on either side, so that many copies of a text can be split
+    return scratch.keep(both, "told")  # a table: joins with it have an exchange on either side, so that many copies of a text can be split
 
 
 def _joined(pos: np.ndarray) -> list[list[int]]:
