@@ -126,6 +126,22 @@ def to_score(filings: DataFrame, panel: DataFrame, done: DataFrame | None, most:
     return f.orderBy("document_id").limit(most) if most is not None else f
 
 
+def score_filings(filings: DataFrame, panel: DataFrame, done: DataFrame | None = None, most: int | None = None, score: Callable[[DataFrame], DataFrame] = doc_tones, entity: str = "entity", date: str = "filing_date", period: str = "eom") -> DataFrame:
+    """Tones of the filings of the panel's (entity, month)s: those in ``done`` (document_id, tone_mean, tone_min), and the others scored without the names and
+    tickers of the filing and of the panel's row, where they have such columns. ``most`` bounds how many are scored anew, by document_id."""
+    todo = to_score(filings, panel, done, most, entity, date, period)
+    if {"company_name", "ticker"} <= set(panel.columns):
+        known = panel.groupBy(entity, period).agg(F.first("company_name", True).alias("_name"), F.first("ticker", True).alias("_ticker"))
+        todo = todo.join(known, [entity, period], "left")
+    terms = lambda *names: F.array_compact(F.array(*[F.col(c).cast("string") for c in names if c in todo.columns])) if any(c in todo.columns for c in names) else F.array().cast("array<string>")
+    clean = todo.withColumn("text", anonymise(F.coalesce("text", F.lit("")), terms("company_name", "_name"), terms("ticker", "_ticker")))
+    fresh = score(clean).select("document_id", "tone_mean", "tone_min")
+    if done is None:
+        return fresh
+    wanted = to_score(filings, panel, None, None, entity, date, period).select("document_id")
+    return done.select("document_id", "tone_mean", "tone_min").join(wanted, "document_id", "left_semi").unionByName(fresh)
+
+
 def tone_features(filings: DataFrame, tones: DataFrame, keys: DataFrame, entity: str = "entity", date: str = "filing_date", span: int = 12) -> DataFrame:
     """Per key: tone_mean, tone_min of the month, and tone_surprise = tone_mean less the mean of the monthly means of the ``span`` months before."""
     f = filings.select("document_id", entity, month_end(F.col(date)).alias("eom")).join(tones, "document_id").where("tone_mean IS NOT NULL")
@@ -136,22 +152,43 @@ def tone_features(filings: DataFrame, tones: DataFrame, keys: DataFrame, entity:
     return out.select(entity, "eom", "tone_mean", "tone_min", (F.col("tone_mean") - F.col("_past")).alias("tone_surprise"))
 
 
+#: Typographic signs and the plain ones they are read as.
+SIGNS = {
+    0x2018: "'", 0x2019: "'", 0x201A: "'", 0x2032: "'", 0x201C: '"', 0x201D: '"', 0x201E: '"',
+    0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2014: "-", 0x2015: "-", 0x2212: "-",
+    0xA0: " ", 0x202F: " ", 0x2009: " ", 0x2026: ".",
+}
+
+
 def normalised_quote(c: Column) -> Column:
-    """Plain quotes and dashes, single spaces, lower case."""
-    plain = F.translate(c, "‘’“”–—", "''\"\"--")
+    """Plain quotes, dashes, points and spaces; single spaces, lower case."""
+    plain = F.translate(c, "".join(map(chr, SIGNS)), "".join(SIGNS.values()))
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
-def verify_quotes(facts: DataFrame, filings: DataFrame, formation: Column | None = None) -> DataFrame:
+def verify_quotes(facts: DataFrame, filings: DataFrame, formation: Column | None = None, block: int = 500) -> DataFrame:
     """Facts (fact_id, quote, document_id or null) whose quote stands in the named filing, or in any for a null id. An empty quote, an unknown
-    id, or a filing after ``formation`` doesn't count."""
+    id, or a filing after ``formation`` doesn't count.
+
+    A quote without an id is looked for by its longest inner word, which any text with the quote holds as a word: an equi-join on words, then
+    containment. Quotes without an inner word, of one or two words, are asked of all texts in blocks of ``block``.
+    """
     f = filings if formation is None else filings.where(F.col("filing_date") <= formation)
     f = f.select(F.col("document_id").alias("_d"), normalised_quote(F.col("text")).alias("_t"))
     q = facts.withColumn("_q", normalised_quote(F.col("quote"))).where("_q <> ''")
     named = q.where("document_id IS NOT NULL").join(f, F.col("document_id") == F.col("_d")).where(F.contains("_t", "_q"))
-    loose = q.where("document_id IS NULL")
-    # quotes without an id: searched in blocks of the filings by a semi join on containment; there are few of them a run
-    anywhere = loose.join(f, F.contains(F.col("_t"), F.col("_q")), "left_semi")
+    words = F.split("_q", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    loose = q.where("document_id IS NULL").select("_q").distinct().withColumn("_w", F.when(F.size(words) > 2, longest))
+    wanted = loose.where("_w IS NOT NULL").select("_w").distinct()
+    held = f.select("_d", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w")).join(wanted, "_w", "left_semi")
+    met = held.join(loose, "_w").select("_d", "_q").distinct().join(f, "_d").where(F.contains("_t", "_q")).select("_q")
+    short = [r["_q"] for r in loose.where("_w IS NULL").select("_q").collect()]  # one or two words each, of the facts of one run
+    for i in range(0, len(short), block):
+        asked = F.array(*[F.lit(x) for x in short[i : i + block]])
+        met = met.unionByName(f.select(F.explode(F.filter(asked, lambda x: F.contains(F.col("_t"), x))).alias("_q")))
+    anywhere = q.where("document_id IS NULL").join(met.distinct(), "_q", "left_semi")
     return named.select(*facts.columns).unionByName(anywhere.select(*facts.columns))
 
 

@@ -25,7 +25,7 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def sample_entities(df: DataFrame, most: int, seed: int = 42, entity: str = "entity") -> DataFrame:
     """Rows of at most ``most`` entities, chosen by a seeded hash: a smoke run's sample, the same on every run."""
-    keep = df.select(entity).distinct().orderBy(F.xxhash64(F.col(entity), F.lit(seed)), entity).limit(most)
+    keep = df.select(entity).distinct().orderBy(F.md5(F.concat_ws("|", F.col(entity).cast("string"), F.lit(str(seed)))), entity).limit(most)
     return df.join(keep, entity, "left_semi")
 
 
@@ -68,14 +68,13 @@ def clip_quantiles(df: DataFrame, columns: list[str], low: float = 0.01, high: f
     if interpolation == "linear":
         got = base.agg(*[F.percentile(ranks.clean(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
     else:
-        bounds = {}
-        for c in columns:
-            rows = base.select(ranks.clean(c).cast("double").alias("v")).where("v IS NOT NULL")
-            n = rows.count()
-            at = [int(q * (n - 1) + 0.5) + 1 for q in (low, high)] if n else []
-            # exact places without a global sort in one task: percentile with frequency-free nearest ranks
-            bounds[c] = [rows.agg(F.percentile("v", (a - 1) / max(1, n - 1)).alias("q")).first()["q"] for a in at] or None
-        got = bounds
+        # two passes for all columns: how many values each has, then the values standing at the nearest places
+        n = base.agg(*[F.count(ranks.clean(c)).alias(c) for c in columns]).first()
+        share = lambda c, q: int(q * (n[c] - 1) + 0.5) / max(1, n[c] - 1)
+        held = [c for c in columns if n[c]]
+        got = dict.fromkeys(columns)
+        if held:
+            got |= base.agg(*[F.percentile(ranks.clean(c).cast("double"), F.array(F.lit(share(c, low)), F.lit(share(c, high)))).alias(c) for c in held]).first().asDict()
     return df.withColumns({c: F.when(ranks.clean(c).isNotNull(), F.greatest(F.least(clean_double(c), F.lit(got[c][1])), F.lit(got[c][0]))) for c in columns if got[c]})
 
 
@@ -83,25 +82,30 @@ def clean_double(c: str) -> Column:
     return ranks.clean(c).cast("double")
 
 
-def tail_lists(df: DataFrame, score: str, eligible: str, long_n: int, short_n: int, by: str = "eom", entity: str = "entity") -> DataFrame:
-    """(by, entity, side): the long_n best, then the short_n worst of the eligible that are not among them; ties by entity."""
-    high = F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc_nulls_last(), entity))
+def with_sides(df: DataFrame, score: str, eligible: str, long_n: Column | int, short_n: Column | int, keys: list[str], entity: str = "entity", name: str = "side") -> DataFrame:
+    """df with a side a row of each group of keys: 1 for the long_n best, -1 for the short_n worst of the eligible that are not among them, else null; ties by
+    entity. The numbers may be columns, constant within a group."""
+    high = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), entity))
     tagged = df.withColumn("_long", high <= long_n)
     open_ = F.coalesce(F.col(eligible), F.lit(False)) & ~F.col("_long")
-    low = F.row_number().over(Window.partitionBy(by, open_).orderBy(F.col(score).asc_nulls_last(), entity))
-    side = F.when(F.col("_long"), F.lit(1)).when(open_ & (low <= short_n), F.lit(-1))
-    return tagged.withColumn("side", side).where("side IS NOT NULL").select(by, entity, "side")
+    low = F.row_number().over(Window.partitionBy(*keys, open_).orderBy(F.col(score).asc_nulls_last(), entity))
+    return tagged.withColumn(name, F.when(F.col("_long"), F.lit(1)).when(open_ & (low <= short_n), F.lit(-1))).drop("_long")
+
+
+def tail_lists(df: DataFrame, score: str, eligible: str, long_n: int, short_n: int, by: str = "eom", entity: str = "entity") -> DataFrame:
+    """(by, entity, side): the long_n best, then the short_n worst of the eligible that are not among them; ties by entity."""
+    return with_sides(df, score, eligible, long_n, short_n, [by], entity).where("side IS NOT NULL").select(by, entity, "side")
+
+
+def with_group_sides(df: DataFrame, score: str, eligible: str, keys: list[str], most: int = 50, entity: str = "entity", name: str = "side") -> DataFrame:
+    """with_sides() of k = min(most, n // 2) names a side in each group of n."""
+    k = F.least(F.lit(most), F.floor(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 2))
+    return with_sides(df.withColumn("_k", k), score, eligible, F.col("_k"), F.col("_k"), keys, entity, name).drop("_k")
 
 
 def group_tail_lists(df: DataFrame, score: str, eligible: str, group: str, most: int = 50, by: str = "eom", entity: str = "entity") -> DataFrame:
     """Per size group of n names the k = min(most, n // 2) best, and the k worst eligible of the rest."""
-    w = Window.partitionBy(by, group)
-    k = F.least(F.lit(most), F.floor(F.count(F.lit(1)).over(w) / 2))
-    tagged = df.withColumn("_k", k).withColumn("_long", F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), entity)) <= F.col("_k"))
-    open_ = F.coalesce(F.col(eligible), F.lit(False)) & ~F.col("_long")
-    low = F.row_number().over(Window.partitionBy(by, group, open_).orderBy(F.col(score).asc_nulls_last(), entity))
-    side = F.when(F.col("_long"), F.lit(1)).when(open_ & (low <= F.col("_k")), F.lit(-1))
-    return tagged.withColumn("side", side).where("side IS NOT NULL").select(by, group, entity, "side")
+    return with_group_sides(df, score, eligible, [by, group], most, entity).where("side IS NOT NULL").select(by, group, entity, "side")
 
 
 def prediction_score(score: str, by: str = "eom") -> Column:

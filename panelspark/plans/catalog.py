@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return dict(relational.SQL)
+    return relational.SQL | models.SQL

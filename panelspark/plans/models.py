@@ -1,5 +1,5 @@
-"""Queries of the numeric operators: ridge, trees, clusters, risk, filters, embeddings, books. No SQL says the same; tests hold them to
-closed forms, constraints and planted signals."""
+"""Queries of the numeric operators: ridge, trees, clusters, risk, filters, embeddings, books. Where SQL can say the same it is in SQL below; tests hold
+the others to closed forms, constraints and planted signals."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.dates import month_index, next_month_end
-from ..operators import books, gru, joins, kalman, learn, metrics, risk, universe
+from ..operators import betas, books, gru, joins, kalman, learn, metrics, risk, tails, universe
 from ..sources import adapters
 from ..spec import Settings
+from . import relational as rel
 
 Q: dict = {}
+SQL: dict[str, str] = {}
 #: The tables have some hundred entities a month and seven years: grids and limits of the real settings, sized to them.
 S = Settings(rank_trees=60, rank_every=20, rank_leaf_weight=20.0, gru_epochs=3, gru_hidden=16, gru_decay=(0.0, 1e-3), per_side=40, v4_min_names=20, cfi_min_pairs=20, risk_min_months=24)
 FEATURES = ["revenue", "qty", "n_lines", "disc", "ret"]
@@ -78,7 +80,8 @@ def shuffle_labels(spark, d):
 
 @query("month_rank_correlations")
 def month_rank_correlations(spark, d):
-    return learn.month_correlations(ranked(spark, d), FEATURES)
+    c = learn.month_correlations(ranked(spark, d), FEATURES)
+    return c.select("eom", "i", "j", (F.round(F.nanvl("rho", F.lit(None).cast("double")), 6) + F.lit(0.0)).alias("rho"), "n")
 
 
 @query("cfi_clusters")
@@ -121,6 +124,25 @@ def _measures(spark, d) -> DataFrame:
 MEASURES = ["b_revenue", "b_qty", "b_n_lines", "b_year"]
 
 
+@query("beta_variants")
+def beta_variants(spark, d):
+    """Every variant of the betas on one frame, side by side."""
+    f = scored(spark, d)
+    model, sectors = risk_model(spark, d)
+    made = betas.variants(f, model, FACTORS, sectors, f.select("entity", "eom", (F.col("beta_kf") * 2).alias("beta_raw")), F.year("eom") <= 1998, s=S)
+    out = f.select("entity", "eom")
+    for name, b in made.items():
+        out = out.join(b.select("entity", "eom", F.col("beta_kf").alias(name)), ["entity", "eom"], "left")
+    return out
+
+
+@query("cfi_schedule")
+def cfi_schedule(spark, d):
+    """Walk-forward scores on features chosen window by window."""
+    scores, _ = learn.selected_schedule(ranked(spark, d), FEATURES, FEATURES[:4], [1999, 2000], S.but(cfi_repeats=2, rank_trees=20, rank_depths=(3,)))
+    return scores.select("test_year", "part", "entity", "eom", "score", "val_ic", "n_features")
+
+
 @query("kalman_filter")
 def kalman_filter(spark, d):
     """Fixed parameters: one pass."""
@@ -144,19 +166,21 @@ def kalman_betas(spark, d):
 @query("beta_shrunk")
 def beta_shrunk(spark, d):
     f = scored(spark, d).withColumn("raw", F.col("beta_kf") * 2)
-    return f.select("entity", "eom", kalman.shrunk("raw").alias("beta"))
+    return f.select("entity", "eom", (F.round(kalman.shrunk("raw"), 6) + F.lit(0.0)).alias("beta"))
 
 
 @query("gru_windows")
 def gru_windows(spark, d):
-    return gru.windows(ranked(spark, d), ["revenue", "qty"], 11)
+    w = gru.windows(adapters.panel_supp(spark, d), ["revenue", "qty"], 11)
+    told = F.aggregate(F.transform("changes", lambda x, i: (i + 1) * (x[0] + 2 * x[1])), F.lit(0.0), lambda a, x: a + x)
+    return w.select("entity", "eom", "n_valid", F.concat_ws("", F.transform("mask", lambda m: m.cast("string"))).alias("mask"), (F.round(told, 2) + F.lit(0.0)).alias("changes"))
 
 
 @query("gru_embed")
 def gru_embed(spark, d):
     p = ranks.with_dense_scaled(adapters.panel_supp(spark, d), ["revenue", "qty"])
     win = gru.windows(p, ["revenue", "qty"], 11)
-    return gru.embed(win, 4, F.col("eom") <= F.lit("1998-11-30").cast("date"), F.year("eom").isin(1999, 2000), S, 2000)
+    return gru.embed(win, 4, F.col("eom") <= F.lit("1998-11-30").cast("date"), F.year("eom").isin(1999, 2000), S)
 
 
 @query("book_spec")
@@ -164,33 +188,56 @@ def book_spec(spark, d):
     model, sectors = risk_model(spark, d)
     grid = joins.grid(spark, lam_tc=(0.0, 0.1), lam_beta=(10.0,), lam_risk=(0.0,), lam_factor=(0.0, 300.0))
     s = S.but(max_weight=0.05, gross=1.0)
-    return books.run_books(scored(spark, d).where(F.year("eom") >= 2000), grid, "spec", s, model, FACTORS, sectors)
+    return books.run_books(scored(spark, d), grid, "spec", s, model, FACTORS, sectors)
 
 
 @query("book_v2")
 def book_v2(spark, d):
     model, sectors = risk_model(spark, d)
     grid = joins.grid(spark, ic=(0.01, 0.03))
-    return books.run_books(scored(spark, d).where(F.year("eom") >= 2000), grid, "v2", S.but(v2_max_weight=0.02), model, FACTORS, sectors)
+    return books.run_books(scored(spark, d), grid, "v2", S.but(v2_max_weight=0.02), model, FACTORS, sectors)
 
 
 @query("book_v3")
 def book_v3(spark, d):
-    return books.run_books(scored(spark, d), joins.grid(spark, smooth=S.v3_smooth), "v3", S.but(max_weight=0.2))
+    out = books.run_books(scored(spark, d), joins.grid(spark, smooth=S.v3_smooth), "v3", S.but(max_weight=0.2))
+    return out.select("config_id", "entity", "eom", F.round("weight", 9).alias("weight"))
 
 
-@query("book_v4")
-def book_v4(spark, d):
-    f = scored(spark, d).where(F.year("eom") >= 2000)
-    hist = None
+def v4_frame(spark, d) -> DataFrame:
+    """scored() once a covariance window, with each name's history of that length."""
+    f = scored(spark, d)
+    rets, hist = adapters.panel_supp(spark, d), None
     for w in S.v4_windows:
-        x = risk.full_history(adapters.panel_supp(spark, d), f.select("eom"), w).withColumn("window", F.lit(float(w)))
+        x = risk.full_history(rets, f.select("eom"), w).withColumn("window", F.lit(float(w)))
         hist = x if hist is None else hist.unionByName(x)
     windows = spark.createDataFrame([(float(w),) for w in S.v4_windows], "window double")
     wide = f.crossJoin(F.broadcast(windows)).join(hist, ["entity", "eom", "window"], "left")  # two rows a window
-    wide = wide.withColumn("beta_raw", F.col("beta_kf")).withColumn("size_group", F.when(F.col("size_pct") > 0.5, "big").otherwise("small"))
+    return wide.withColumn("beta_raw", F.col("beta_kf")).withColumn("size_group", F.when(F.col("size_pct") > 0.5, "big").otherwise("small"))
+
+
+V4 = S.but(per_side=40, v4_beta_limit=0.1, v4_size_balance=0.2)
+
+
+@query("book_v4_sides")
+def book_v4_sides(spark, d):
+    """Who may be held on which side, in the main lists and in those by size group."""
+    f = books.v4_candidates(v4_frame(spark, d).where(F.col("window") == 24.0), V4)
+    return f.where("main IS NOT NULL OR fallback IS NOT NULL").select("entity", "eom", "main", "fallback")
+
+
+@query("book_v4")
+def book_v4(spark, d):
     grid = joins.grid(spark, gross=(1.0, 1.5), cov_window=tuple(map(float, S.v4_windows)), risk_penalty=(10.0,), turnover_penalty=(0.05,))
-    return books.run_books(wide, grid, "v4", S.but(per_side=40, v4_beta_limit=0.1, v4_size_balance=0.2))
+    return books.run_books(v4_frame(spark, d), grid, "v4", V4)
+
+
+@query("book_v4_by_year")
+def book_v4_by_year(spark, d):
+    """One book whose settings change with the target year; weights held carry on."""
+    rows = [(0, y, 1.0 + 0.5 * (y % 2), 24.0, 10.0, 0.05) for y in range(1992, 2000)]
+    years = spark.createDataFrame(rows, "config_id long, year int, gross double, cov_window double, risk_penalty double, turnover_penalty double")
+    return books.run_books(v4_frame(spark, d), years, "v4", V4)
 
 
 @query("book_grid_choice")
@@ -211,4 +258,86 @@ def rolling_beta_entities(spark, d):
     p = adapters.panel_supp(spark, d).where("ret IS NOT NULL")
     _, index = adapters.market(spark, d)
     b = p.join(F.broadcast(index), "eom").select("entity", "eom", F.col("ret").alias("excess"), F.col("ret").alias("active"), "index_ret", F.lit(0.0).alias("rf"))
-    return metrics.rolling(b, "eom", 12, "entity").select("entity", "eom", "rolling_beta")
+    return metrics.rolling(b, "eom", 12, "entity").select("entity", "eom", (F.round("rolling_beta", 6) + F.lit(0.0)).alias("rolling_beta"))
+
+
+# ---------------------------------------------------------------- SQL
+def _z(x: str) -> str:
+    return f"coalesce(({x} - avg({x}) OVER w) / nullif(stddev_samp({x}) OVER w, 0), 0.0)"
+
+
+#: scored() in SQL, as far as the queries below need it.
+SCORED = f"""{rel.SUPP},
+sc0 AS (SELECT *, 1.0 / qty AS idle, {rel.avg_rank_sql('revenue', 'eom')} / count(revenue) OVER (PARTITION BY eom) AS size_pct,
+        {rel.avg_rank_sql('qty', 'eom')} / count(qty) OVER (PARTITION BY eom) AS volume_pct FROM p),
+sc AS (SELECT entity, eom, target, substring(sector, 1, 1) AS sector, size_pct, {_z('disc')} AS score, 1 + 0.2 * {_z('n_lines')} AS beta,
+        coalesce(size_pct >= 0.4 AND volume_pct >= 0.3 AND idle <= median(idle) OVER (PARTITION BY eom), false) AS ok
+       FROM sc0 WINDOW w AS (PARTITION BY eom))"""
+
+
+def _tail_sql(smooth: tuple, cap: float) -> str:
+    """Weights (config_id, entity, eom, weight) of the tail books: the average as a weighted sum over the run, every tail tried on every row."""
+    tails_ = ", ".join(f"({i}, CAST('{t!r}' AS DOUBLE))" for i, t in enumerate(tails.tail_ladder(S.v3_tail)))
+    configs = ", ".join(f"({i}, CAST({a} AS DOUBLE))" for i, a in enumerate(smooth))
+    cell, month = "PARTITION BY config_id, eom, sector", "PARTITION BY config_id, eom"
+    return f"""{SCORED},
+zz AS (SELECT *, {_z('score')} AS z, dense_rank() OVER (ORDER BY eom) AS mn FROM sc WINDOW w AS (PARTITION BY eom)),
+zr AS (SELECT *, mn - row_number() OVER (PARTITION BY entity ORDER BY mn) AS run FROM zz),
+zf AS (SELECT *, min(mn) OVER (PARTITION BY entity, run) AS mn0 FROM zr),
+ema AS (SELECT config_id, x.entity, x.eom, x.sector, x.ok, x.beta,
+          sum(y.z * CASE WHEN y.mn = y.mn0 THEN pow(1 - a, x.mn - y.mn) ELSE a * pow(1 - a, x.mn - y.mn) END ORDER BY y.mn) AS s
+        FROM zf x JOIN zf y ON x.entity = y.entity AND x.run = y.run AND y.mn <= x.mn, (VALUES {configs}) c(config_id, a) GROUP BY ALL),
+hi AS (SELECT *, row_number() OVER ({cell} ORDER BY s DESC, entity) AS hi, count(*) OVER ({cell}) AS n, count(*) FILTER (ok) OVER ({cell}) AS n_ok FROM ema),
+tl AS (SELECT hi.*, idx, ceil(tail * n) AS nl, ceil(tail * n_ok) AS ns FROM hi, (VALUES {tails_}) t(idx, tail)),
+lo AS (SELECT *, row_number() OVER (PARTITION BY config_id, eom, sector, idx, ok AND hi > nl ORDER BY s, entity) AS lo FROM tl),
+sd AS (SELECT *, CASE WHEN hi <= nl THEN 1 WHEN ok AND lo <= ns THEN -1 END AS side FROM lo),
+bo AS (SELECT * FROM (SELECT *, max(side) OVER v AS top, min(side) OVER v AS low FROM sd WHERE side IS NOT NULL WINDOW v AS (PARTITION BY config_id, eom, sector, idx)) WHERE top = 1 AND low = -1),
+nm AS (SELECT config_id, eom, idx, count(*) AS c FROM bo GROUP BY ALL),
+pk AS (SELECT config_id, eom, coalesce(min(idx) FILTER (c <= {S.max_names}), max(idx)) AS idx FROM nm GROUP BY ALL),
+hd AS (SELECT bo.* FROM bo JOIN pk USING (config_id, eom, idx)),
+st AS (SELECT config_id, eom, sum(n) AS stocks FROM (SELECT DISTINCT config_id, eom, sector, n FROM hd) GROUP BY ALL),
+bs AS (SELECT hd.*, n / stocks / count(*) OVER (PARTITION BY config_id, eom, sector, side) AS base FROM hd JOIN st USING (config_id, eom)),
+lb AS (SELECT *, sum(base * beta) FILTER (side = 1) OVER ({month}) AS bl, sum(base * beta) FILTER (side = -1) OVER ({month}) AS bsh FROM bs),
+ln AS (SELECT *, greatest(least(2 * CASE WHEN bl + bsh > 1e-9 THEN {S.gross} * bsh / (bl + bsh) ELSE {S.gross} / 2 END - {S.gross}, {S.net_band}), -{S.net_band}) AS net FROM lb),
+lg AS (SELECT *, ({S.gross} + side * net) / 2 AS leg, row_number() OVER o - 1 AS m, sum(base) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM ln WINDOW o AS (PARTITION BY config_id, eom, side ORDER BY base DESC, entity)),
+cp AS (SELECT *, base * (leg - m * {cap}) / below > {cap} + 1e-12 AS capped FROM lg),
+w3 AS (SELECT config_id, entity, eom, side * CASE WHEN capped THEN {cap} ELSE base * (leg - {cap} * count(*) FILTER (capped) OVER g) / sum(base) FILTER (NOT capped) OVER g END AS weight
+       FROM cp WINDOW g AS (PARTITION BY config_id, eom, side))"""
+
+
+SQL["book_v3"] = f"WITH {_tail_sql(S.v3_smooth, 0.2)} SELECT CAST(config_id AS BIGINT) AS config_id, entity, eom, round(weight, 9) AS weight FROM w3"
+
+SQL["book_v4_sides"] = f"""WITH {SCORED},
+h AS (SELECT *, count(*) OVER (PARTITION BY entity ORDER BY mi RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS nh FROM p WHERE ret IS NOT NULL),
+c AS (SELECT sc.*, CASE WHEN size_pct > 0.5 THEN 'big' ELSE 'small' END AS grp, 2 * {rel.avg_rank_sql('score', 'eom')} / (count(score) OVER (PARTITION BY eom) + 1) - 1 AS s FROM sc),
+k AS (SELECT c.* FROM c JOIN h USING (entity, eom) WHERE nh = 24),
+a AS (SELECT *, row_number() OVER (PARTITION BY eom ORDER BY s DESC, entity) AS hi, row_number() OVER (PARTITION BY eom, grp ORDER BY s DESC, entity) AS gh, least(50, count(*) OVER (PARTITION BY eom, grp) // 2) AS gk FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY eom, ok AND hi > 40 ORDER BY s, entity) AS lo, row_number() OVER (PARTITION BY eom, grp, ok AND gh > gk ORDER BY s, entity) AS gl FROM a),
+r AS (SELECT entity, eom, CASE WHEN hi <= 40 THEN 1 WHEN ok AND lo <= 40 THEN -1 END AS main, CASE WHEN gh <= gk THEN 1 WHEN ok AND gl <= gk THEN -1 END AS fallback FROM b)
+SELECT entity, eom, CAST(main AS INTEGER) AS main, CAST(fallback AS INTEGER) AS fallback FROM r WHERE main IS NOT NULL OR fallback IS NOT NULL"""
+
+SQL["beta_shrunk"] = f"WITH {SCORED} SELECT entity, eom, {rel.r('0.67 * (2 * beta) + 0.33', 'beta')} FROM sc"
+
+SQL["shuffle_labels"] = f"""WITH {rel.PART}, t AS (SELECT entity, eom, CAST(floor(10 * (row_number() OVER (PARTITION BY eom ORDER BY target, entity) - 1) / count(*) OVER (PARTITION BY eom)) AS INTEGER) AS label FROM p WHERE target IS NOT NULL),
+a AS (SELECT entity, eom, row_number() OVER (PARTITION BY eom ORDER BY entity) AS i FROM t), b AS (SELECT eom, label, row_number() OVER (PARTITION BY eom ORDER BY md5(entity || '|42'), entity) AS i FROM t)
+SELECT a.entity, a.eom, b.label FROM a JOIN b USING (eom, i)"""
+
+
+def _correlations() -> str:
+    scaled = ", ".join(f"coalesce(CASE WHEN max({c}) OVER (PARTITION BY eom) > 0 THEN {c} * 1.0 / max({c}) OVER (PARTITION BY eom) * 2 - 1 ELSE 0.0 END, 0.0) AS {c}" for c in FEATURES)
+    dense = ", ".join(f"{rel._dense_sql(c)} AS {c}" for c in FEATURES)
+    placed = ", ".join(f"{rel.avg_rank_sql(c, 'eom')} AS {c}" for c in FEATURES)
+    rho = lambda a, b: f"CASE WHEN count(*) > 2 AND stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END"
+    pairs = [f"SELECT eom, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, {rel.r(rho(a, b), 'rho')}, count(*) AS n FROM k GROUP BY eom" for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i < j]
+    return f"WITH {rel.PART}, d AS (SELECT entity, eom, {dense} FROM p), f AS (SELECT entity, eom, {scaled} FROM d), k AS (SELECT entity, eom, {placed} FROM f) {' UNION ALL '.join(pairs)}"
+
+
+SQL["month_rank_correlations"] = _correlations()
+
+SQL["gru_windows"] = f"""WITH {rel.SUPP}, c AS (SELECT entity, eom, mi, lag(mi) OVER w = mi - 1 AS ok, revenue - lag(revenue) OVER w AS a, qty - lag(qty) OVER w AS b FROM p WINDOW w AS (PARTITION BY entity ORDER BY eom)),
+g AS (SELECT x.entity, x.eom, o, y.mi IS NOT NULL AS hit, coalesce(y.a + 2 * y.b, 0.0) AS v FROM c x CROSS JOIN (SELECT unnest(range(0, 11)) AS o) LEFT JOIN c y ON y.entity = x.entity AND y.mi = x.mi - 10 + o AND y.ok)
+SELECT entity, eom, count(*) FILTER (hit) AS n_valid, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY o) AS mask, round(sum((o + 1) * v), 2) + 0.0 AS changes FROM g GROUP BY entity, eom"""
+
+SQL["rolling_beta_entities"] = f"""WITH {rel.SUPP}, v AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS eom, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1),
+idx AS (SELECT * FROM (SELECT eom, v / lag(v) OVER (ORDER BY eom) - 1 AS x FROM v) WHERE x IS NOT NULL), b AS (SELECT entity, eom, ret, x FROM p JOIN idx USING (eom) WHERE ret IS NOT NULL)
+SELECT entity, eom, {rel.r('CASE WHEN count(*) OVER w = 12 THEN covar_samp(ret, x) OVER w / nullif(var_samp(x) OVER w, 0) END', 'rolling_beta')} FROM b WINDOW w AS (PARTITION BY entity ORDER BY eom ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""

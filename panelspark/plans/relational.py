@@ -233,6 +233,19 @@ def clip_p1_p99(spark, d):
     return rounded(out.select("entity", "eom", F.col("ret").alias("clipped")), "clipped")
 
 
+@query("clip_nearest", f"WITH {PART}, f AS (SELECT ret, row_number() OVER (ORDER BY ret) - 1 AS i, count(*) OVER () - 1 AS m FROM p WHERE ret IS NOT NULL AND eom <= DATE '1999-12-31'), b AS (SELECT max(ret) FILTER (i = round(0.01 * m)) AS lo, max(ret) FILTER (i = round(0.99 * m)) AS hi FROM f) SELECT entity, eom, {r('greatest(least(ret, hi), lo)', 'clipped')} FROM p, b WHERE ret IS NOT NULL")
+def clip_nearest(spark, d):
+    p = adapters.panel_part(spark, d)
+    out = universe.clip_quantiles(p, ["ret"], fit=F.col("eom") <= F.lit("1999-12-31").cast("date"), interpolation="nearest").where("ret IS NOT NULL")
+    return rounded(out.select("entity", "eom", F.col("ret").alias("clipped")), "clipped")
+
+
+@query("smoke_sample", f"WITH {PART}, k AS (SELECT entity FROM (SELECT DISTINCT entity FROM p) ORDER BY md5(entity || '|42'), entity LIMIT 100) SELECT entity, eom, {r('revenue')} FROM p SEMI JOIN k USING (entity)")
+def smoke_sample(spark, d):
+    """The feature is the sample: rows of 100 entities by a seeded hash."""
+    return rounded(universe.sample_entities(adapters.panel_part(spark, d), 100).select("entity", "eom", "revenue"), "revenue")
+
+
 @query("topk_disjoint_lists", f"WITH {UNIVERSE_SQL}, e AS (SELECT *, coalesce(size_pct >= 0.4 AND volume_pct >= 0.3 AND idle <= median(idle) OVER (PARTITION BY eom), false) AS ok, row_number() OVER (PARTITION BY eom ORDER BY revenue DESC, entity) AS hi FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY eom, (ok AND hi > 30) ORDER BY revenue, entity) AS lo FROM e) SELECT eom, entity, CASE WHEN hi <= 30 THEN 1 ELSE -1 END AS side FROM f WHERE hi <= 30 OR (ok AND lo <= 30)")
 def topk_disjoint_lists(spark, d):
     u = _universe(spark, d).withColumn("ok", universe.short_eligible())
@@ -322,10 +335,10 @@ def grid_cross(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("lam_tc") * 1000 + F.col("lam_beta")).alias("check_sum"))
 
 
-@query("union_parts", f"WITH {PART} SELECT year(eom) AS y, count(*) AS n FROM p WHERE year(eom) IN (1996, 1997) GROUP BY 1")
+@query("union_parts", f"WITH {PART} SELECT year(eom) AS y, count(*) AS n FROM p GROUP BY 1")
 def union_parts(spark, d):
     p = adapters.panel_part(spark, d).select(F.year("eom").cast("long").alias("y"))
-    return p.where("y = 1996").unionByName(p.where("y = 1997")).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return p.where("y <= 1996").unionByName(p.where("y > 1996")).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- text
@@ -349,14 +362,14 @@ def event_flags(spark, d):
 
 
 @query("chunk_tokens", """WITH w AS (SELECT doc_id AS document_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x : x <> '')) AS n FROM documents)
-SELECT document_id, CAST(c AS INTEGER) AS chunk, CAST(least(62, least(n, 248) - c * 62) AS INTEGER) AS n_tokens FROM w, (SELECT unnest([0, 1, 2, 3]) AS c) WHERE c * 62 < least(n, 248)""")
+SELECT document_id, CAST(c AS INTEGER) AS chunk, CAST(least(510, least(n, 4080) - c * 510) AS INTEGER) AS n_tokens FROM w, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS c) WHERE c * 510 < least(n, 4080)""")
 def chunk_tokens(spark, d):
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    parts = adapters.documents(spark, d).select("document_id", F.posexplode(text.chunks(words, 64, 4)).alias("chunk", "part"))
+    parts = adapters.documents(spark, d).select("document_id", F.posexplode(text.chunks(words, S.chunk_tokens, S.max_chunks)).alias("chunk", "part"))
     return parts.select("document_id", "chunk", F.size("part").alias("n_tokens"))
 
 
-@query("anonymise_constant")
+@query("anonymise_constant", r"SELECT doc_id AS document_id, md5(regexp_replace(regexp_replace(text, '\b(?:that|the)\b', ' ', 'gi'), '\bOn\b', ' ', 'g')) AS clean_md5 FROM documents")
 def anonymise_constant(spark, d):
     docs = adapters.documents(spark, d)
     clean = text.anonymise_constant(F.col("text"), ["the", "that"], ["On"])
@@ -558,11 +571,11 @@ def dup_keys(spark, d):
 
 @query("filing_leaks", """WITH f AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS dt, last_day(CAST(o_orderdate AS DATE)) AS eom FROM orders),
 m AS (SELECT entity, eom, max(dt) AS last_dt FROM f GROUP BY 1, 2),
-k AS (SELECT DISTINCT entity, eom FROM f WHERE day(eom) = 31)
+k AS (SELECT DISTINCT entity, eom FROM f)
 SELECT count(*) AS n_keys, count(*) FILTER (last_dt > k.eom) AS after_formation, count(*) FILTER (last_dt IS NULL) AS flag_without_filing FROM k LEFT JOIN m USING (entity, eom)""")
 def filing_leaks(spark, d):
     from ..operators.leakage import filing_leaks as made
 
     o = adapters.table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").alias("filing_date"))
-    keys = o.select("entity", F.last_day("filing_date").alias("eom")).distinct().where(F.day("eom") == 31).withColumn("has_filing", F.lit(1))
+    keys = o.select("entity", F.last_day("filing_date").alias("eom")).distinct().withColumn("has_filing", F.lit(1))
     return made(o, keys)

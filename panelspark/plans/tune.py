@@ -53,6 +53,18 @@ def choose_book(candidates: list[dict], limit: float = 0.2) -> dict | None:
     return min(rest, key=lambda c: abs(c["beta"])) if rest else None
 
 
+def v4_settings(by_year: dict[int, list[dict]]) -> dict[int, dict]:
+    """Settings by test year from rows {config_id, its settings, ir}: the best finite net ratio, the last of equals; with none, last year's choice, and in
+    the first year the most risk-averse settings of full gross."""
+    out: dict[int, dict] = {}
+    for year in sorted(by_year):
+        rows = sorted(by_year[year], key=lambda r: r["config_id"])
+        known = [r for r in rows if r["ir"] is not None and r["ir"] == r["ir"]]
+        careful = max(rows, key=lambda r: (r["gross"], r["risk_penalty"], r["turnover_penalty"]))
+        out[year] = max(known, key=lambda r: (r["ir"], r["config_id"])) if known else out[max(out)] if out else careful
+    return out
+
+
 def beta_check(fit: dict, s: Settings = Settings()) -> bool:
     """Whether a validation book's beta is clearly not zero."""
     return fit.get("beta_t") is not None and abs(fit["beta_t"]) > s.beta_check_t

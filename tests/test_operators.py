@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import ranks
-from panelspark.operators import agent, books, joins, kalman, leakage, learn, metrics, risk, text, universe
+from panelspark.operators import agent, betas, books, gru, joins, kalman, leakage, learn, metrics, report, risk, text, universe
 from panelspark.operators.convex import Problem, solve
 from panelspark.plans import tune
+from panelspark.sources import tables
 from panelspark.sources.tables import Materializer, jsonable
 from panelspark.spec import Settings
 
@@ -164,10 +165,39 @@ def test_clusters_and_candidates(spark):
     f["f3"] = f["f0"] + 0.01 * f["f1"]
     got = learn.clusters(spark.createDataFrame(f), ["f0", "f1", "f2", "f3"], Settings(cfi_min_pairs=10, cfi_min_months=3))
     assert got[0.75] == [["f0", "f3"], ["f1"], ["f2"]]
-    assert learn.candidates([["a", "b"], ["c"], ["d"]], [0.1, 0.3, 0.1], (0.25, 0.5, 0.75)) == [["c"], ["c", "a", "b"], ["c", "a", "b", "d"]]
+    assert learn.clusters(spark.createDataFrame(f), ["f0", "f1"], Settings(cfi_min_pairs=10, cfi_min_months=99))[0.75] == [["f0"], ["f1"]]
+    rows = [(2000, 0.75, 0, 3, ["a", "b"], 0.1), (2000, 0.75, 1, 3, ["c"], 0.3), (2000, 0.75, 2, 3, ["d"], 0.1), (2000, 0.85, 0, 1, ["c"], 0.2)]
+    found = frame(spark, rows, "test_year int, cut double, group_no int, n_groups int, members array<string>, drop double")
+    assert sorted(r["members"] for r in learn.candidates(found, (0.25, 0.5, 0.75)).collect()) == [["a", "b", "c"], ["a", "b", "c", "d"], ["c"]]
     assert learn.complete_linkage(np.array([[0, 0.1, 0.5], [0.1, 0, 0.4], [0.5, 0.4, 0]]), 0.45) == [[0, 1], [2]]
 
 
+def test_a_subset_must_be_strictly_better():
+    every, nan = ["a", "b", "c"], float("nan")
+    assert learn.best_subset(0.1, [(0.1, ["a"])], every) == (every, 0.1)
+    assert learn.best_subset(0.1, [(0.2, ["a", "b"]), (0.2, ["c"]), (nan, ["b"])], every) == (["c"], 0.2)
+    assert learn.best_subset(nan, [(-0.3, ["a"])], every) == (["a"], -0.3)
+    assert learn.best_subset(0.1, [(nan, ["a"])], every) == (every, 0.1)
+
+
+def test_importance_finds_the_feature_that_matters(spark):
+    f = panel_with_signal(40, 60)
+    f["target_month"] = [(pd.Timestamp(d) + pd.offsets.MonthEnd(1)).date() for d in f["eom"]]
+    df, s = spark.createDataFrame(f), Settings(rank_trees=30, rank_every=15, rank_leaf_weight=5.0, rank_depths=(2,), cfi_repeats=2, cfi_min_pairs=10, cfi_min_months=3)
+    features = ["f0", "f1", "f2"]
+    models = learn.fitted(df, features, [2000], s)
+    tagged = learn.tag_windows(learn.labelled(df, features), [2000])
+    got = {tuple(r["members"]): r["drop"] for r in learn.importance(tagged, features, models, {2000: {0.75: [["f0"], ["f1", "f2"]]}}, s).collect()}
+    assert got[("f0",)] > 0.4 > 0.1 > abs(got[("f1", "f2")])
+    days = np.repeat([1, 2, 3], 5)
+    moved = learn.within_months(days, 7)
+    assert sorted(moved) == list(range(15)) and (days[moved] == days).all() and (moved != np.arange(15)).any()
+    scores, told = learn.selected_schedule(df, features, ["f0", "f1"], [2000], s)
+    assert told[2000]["val_ic"] >= told[2000]["base_ic"] and "f0" in told[2000]["factors"]
+    info = learn.infos(scores).first()
+    assert info["n_features"] == len(told[2000]["factors"]) + 1 and info["max_target"] < date(2000, 1, 1) and info["trees"] in (15, 30)
+
+
 def test_windows_and_shuffle(spark):
     w = learn.windows(date(2015, 2, 1), [2021, 2022], date(2022, 8, 31))
     assert w[0]["train"][1] == date(2018, 12, 31) and w[1]["test"] == (date(2022, 1, 1), date(2022, 8, 31)) and not leakage.window_errors(w)
@@ -233,44 +263,132 @@ def month(n=300, seed=0):
     return pd.DataFrame({"entity": np.arange(n), "eom": D[0], "score": rng.normal(size=n), "short_eligible": rng.random(n) < 0.7, "beta_kf": 1 + 0.3 * rng.normal(size=n), "beta_var": rng.uniform(0.005, 0.05, n), "sector": rng.integers(0, 6, n).astype(str), "size_z": rng.normal(size=n), "spec_var": rng.uniform(0.001, 0.01, n)})
 
 
-def test_spec_book_obeys_its_limits():
+def ready(spark, f, s):
+    return books.candidates(spark.createDataFrame(f), s).toPandas()
+
+
+def test_candidates_are_the_tails(spark):
+    f = month(100).assign(beta_kf=lambda x: x["beta_kf"].where(x["entity"] % 7 > 0))
+    got = ready(spark, f, Settings(per_side=10))
+    longs, shorts = set(got[got["side"] > 0]["entity"]), set(got[got["side"] < 0]["entity"])
+    rank = f.sort_values(["score", "entity"], ascending=[False, True])["entity"].tolist()
+    worst = [e for e in rank[::-1] if f["short_eligible"][e]]
+    assert longs == set(rank[:10]) and shorts == set(worst[:10])
+    filled = got[got["entity"] % 7 == 0]["beta_kf"]
+    assert np.allclose(filled, f["beta_kf"].median())
+
+
+def test_spec_book_obeys_its_limits(spark):
     f, s = month(), Settings(per_side=120)
-    w, info = books.spec_month(f, {}, {"lam_tc": 0.1, "lam_beta": 10.0}, s)
+    c, again = ready(spark, f, s), ready(spark, month(seed=1), s)
+    w, info = books.spec_month(c, {}, {"lam_tc": 0.1, "lam_beta": 10.0}, s)
     v = f["entity"].map(w).fillna(0.0).to_numpy()
     assert info["status"] == "solved" and abs(np.abs(v).sum() - 2) < 1e-3 and abs(v.sum()) < 0.2 + 1e-3 and np.abs(v).max() < 0.015 + 1e-6
     assert abs(v @ f["beta_kf"]) < info["beta_tol"] + 1e-3 and abs(v @ f["size_z"]) < 0.05 + 1e-3
     assert all(abs(v[f["sector"] == k].sum()) < info["sector_band"] + 1e-3 for k in f["sector"].unique())
     assert not (v[~f["short_eligible"]] < 0).any() and info["turnover"] == pytest.approx(np.abs(v).sum(), abs=1e-3)
-    again, cheap = books.spec_month(month(seed=1), w, {"lam_tc": 10.0, "lam_beta": 10.0}, s)
-    assert cheap["turnover"] < books.spec_month(month(seed=1), w, {"lam_tc": 0.0, "lam_beta": 10.0}, s)[1]["turnover"]
-    assert books.spec_month(f.head(20), {1: 0.5}, {"lam_tc": 0.0, "lam_beta": 0.0}, s)[0] == {1: 0.5}
+    cheap = books.spec_month(again, w, {"lam_tc": 10.0, "lam_beta": 10.0}, s)[1]
+    assert cheap["turnover"] < books.spec_month(again, w, {"lam_tc": 0.0, "lam_beta": 10.0}, s)[1]["turnover"]
+    assert books.spec_month(c.head(20), {1: 0.5}, {"lam_tc": 0.0, "lam_beta": 0.0}, s)[0] == {1: 0.5}
 
 
-def test_v2_book_keeps_its_volatility():
+def test_v2_book_keeps_its_volatility(spark):
     f, s = month(), Settings(per_side=120, v2_max_weight=0.02)
     chol = np.eye(7) * 0.03
-    w, info = books.v2_month(f.assign(f0=0.0), {}, {"ic": 0.05}, s, ([], sorted(f["sector"].unique()), chol, None, 0.1))
+    w, info = books.v2_month(ready(spark, f.assign(f0=0.0), s), {}, {"ic": 0.05}, s, ([], sorted(f["sector"].unique()), chol, None, 0.1))
     v = f["entity"].map(w).fillna(0.0).to_numpy()
     assert info["status"] == "solved" and info["vol"] <= s.v2_vol * info["vol_times"] + 1e-3 and np.abs(v).sum() <= 2 + 1e-3 and len(w) > 20
 
 
-def test_v3_book_balances_beta_and_smooths():
-    s, state = Settings(max_weight=0.1), {}
-    w, info = books.v3_month(month(), {}, {"smooth": 0.5}, s, state)
-    v = np.array(list(w.values()))
-    assert abs(np.abs(v).sum() - 2) < 1e-9 and abs(v.sum()) <= 0.2 + 1e-9 and len(state) == 300 and np.abs(v).max() <= 0.1 + 1e-12
-    assert np.allclose(books.water_fill(np.array([8.0, 1.0, 1.0]), 0.5, 1.0), [0.5, 0.25, 0.25])
-
-
-def test_v4_book_is_exact_and_falls_back():
+def plain_tails(f, smooth, s):
+    """The tail book month by month, in plain Python."""
+    before, out = {}, {}
+    for t in sorted(f["eom"].unique()):
+        g = f[f["eom"] == t].sort_values("entity")
+        z = ((g["score"] - g["score"].mean()) / g["score"].std()).fillna(0.0)
+        score = {e: smooth * v + (1 - smooth) * before.get(e, v) for e, v in zip(g["entity"], z)}
+        before, rows, tail = score, {r.entity: r for r in g.itertuples()}, s.v3_tail
+        while True:
+            sides, budget = {}, {}
+            for sec in sorted(g["sector"].unique()):
+                inside = [e for e in rows if rows[e].sector == sec]
+                ok = [e for e in inside if rows[e].short_eligible]
+                top = sorted(inside, key=lambda e: (-score[e], e))[: math.ceil(tail * len(inside))]
+                low = sorted((e for e in ok if e not in top), key=lambda e: (score[e], e))[: math.ceil(tail * len(ok))]
+                if top and low:
+                    budget[sec], sides[sec] = len(inside), (top, low)
+            if sum(len(a) + len(b) for a, b in sides.values()) <= s.max_names or tail <= 0.02:
+                break
+            tail -= 0.01
+        base = [{e: budget[k] / sum(budget.values()) / len(v[i]) for k, v in sides.items() for e in v[i]} for i in (0, 1)]
+        bl, bs = (sum(w * rows[e].beta_kf for e, w in b.items()) for b in base)
+        net = min(max(2 * s.gross * bs / (bl + bs) - s.gross, -s.net_band), s.net_band)
+        for b, sign in zip(base, (1, -1)):
+            leg = (s.gross + sign * net) / 2
+            w = {e: x * leg for e, x in b.items()}
+            for _ in range(99):
+                over = {e for e in w if w[e] > s.max_weight + 1e-12}
+                at = {e for e in w if w[e] >= s.max_weight - 1e-12}
+                if not over:
+                    break
+                rest = sum(w[e] for e in w if e not in at)
+                w = {e: s.max_weight if e in at else x * (leg - s.max_weight * len(at)) / rest for e, x in w.items()}
+            out |= {(e, t): sign * x for e, x in w.items()}
+    return out
+
+
+def test_tail_book_against_plain_code(spark):
+    """Three months with a gap and new names, a cap that binds, more names than allowed."""
+    months = [month(300, seed).assign(eom=D[0] if seed == 0 else (pd.Timestamp(D[0]) + pd.offsets.MonthEnd(seed)).date()) for seed in range(3)]
+    months[1] = months[1][months[1]["entity"] % 5 > 0]
+    f = pd.concat(months, ignore_index=True)
+    for s in (Settings(max_weight=0.1), Settings(max_weight=0.022), Settings(max_weight=0.2, max_names=40)):
+        grid = spark.createDataFrame([(0, 1.0), (1, 0.5)], "config_id long, smooth double")
+        got = books.run_books(spark.createDataFrame(f), grid, "v3", s).collect()
+        for k, smooth in ((0, 1.0), (1, 0.5)):
+            want = plain_tails(f, smooth, s)
+            have = {(r["entity"], r["eom"]): r["weight"] for r in got if r["config_id"] == k}
+            assert have.keys() == want.keys() and all(have[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_v4_book_is_exact_and_falls_back(spark):
     rng = np.random.default_rng(3)
-    f = month().assign(beta_raw=lambda x: x["beta_kf"], size_group=lambda x: np.where(x["size_z"] > 0, "big", "small"), x=[rng.normal(0, 0.05, 24) for _ in range(300)])
+    f = month().assign(beta_raw=lambda x: x["beta_kf"], size_group=lambda x: np.where(x["size_z"] > 0, "big", "small"), x=[rng.normal(0, 0.05, 24).tolist() for _ in range(300)])
     p, s = {"gross": 1.5, "risk_penalty": 3000.0, "turnover_penalty": 0.05}, Settings(per_side=80, v4_min_names=10)
-    w, info = books.v4_month(f, {}, p, s)
+    c = books.v4_candidates(spark.createDataFrame(f), s).toPandas()
+    assert (c["main"] > 0).sum() == 80 == (c["main"] < 0).sum() and set(c[c["fallback"].notna()].groupby(["size_group", "fallback"]).size()) == {50}
+    w, info = books.v4_month(c, {}, p, s)
     v = f["entity"].map(w).fillna(0.0).to_numpy()
     assert info["status"] == "solved" and v.sum() == pytest.approx(0, abs=1e-4) and np.abs(v).sum() == pytest.approx(1.5, abs=1e-4) and abs(v @ f["beta_raw"]) <= 0.0502
-    held, info = books.v4_month(f.assign(x=None), {5: 0.1}, p, s)
+    held, info = books.v4_month(c.assign(has=False), {5: 0.1}, p, s)
     assert held == {5: 0.1} and info["attempt"] == "hold"
+    assert books.v4_month(c.assign(main=np.where(c["main"] < 0, np.nan, c["main"])), {}, p, s)[1]["attempt"] == "fallback"
+    limits = books.v4_limits(np.array([0.5, 0.25, -0.75]), np.zeros(3), np.array(["a", "b", "a"]), {"gross": 1.5}, s.but(v4_min_names=3))
+    assert books.broken(limits) == ["long_share", "size_a", "size_b"]
+    assert "net" in books.broken(books.v4_limits(np.array([np.nan, 1.0]), np.zeros(2), np.array(["a", "a"]), {"gross": 1.5}, s))
+
+
+def test_book_settings_by_year(spark):
+    """Weights held carry on when the settings change with the target year."""
+    f = pd.concat([month(120, k).assign(eom=date(1999, 11 + k, 30 + k)) for k in range(2)], ignore_index=True)
+    f = f.assign(beta_raw=f["beta_kf"], size_group="all", x=[np.random.default_rng(i).normal(0, 0.05, 12).tolist() for i in range(240)])
+    years = spark.createDataFrame([(0, 1999, 1.0, 3000.0, 0.0), (0, 2000, 2.0, 3000.0, 0.0)], "config_id long, year int, gross double, risk_penalty double, turnover_penalty double")
+    got = books.run_books(spark.createDataFrame(f), years, "v4", Settings(per_side=40, v4_min_names=4, v4_beta_limit=0.5)).toPandas()
+    sums = got.groupby("eom")["weight"].apply(lambda w: w.abs().sum())
+    assert sums[date(1999, 11, 30)] == pytest.approx(1.0, abs=1e-4) and sums[date(1999, 12, 31)] == pytest.approx(2.0, abs=1e-4)
+
+
+def test_beta_variants(spark):
+    f = spark.createDataFrame(panel_with_signal(10, 4).assign(sector="a", beta_kf=1.2, beta_var=0.1))
+    risk_ = spark.createDataFrame([(D[0], [0.5, 2.0, 3.0])], "eom date, b array<double>").withColumn("eom", F.lit(date(1996, 2, 29)))
+    raw = f.select("entity", "eom", F.when(F.col("entity") > 0, F.col("entity").cast("double")).alias("beta_raw"))
+    got = betas.variants(f, risk_, ["f0"], ["a"], raw, floored=lambda: f.withColumn("beta_kf", F.lit(7.0)))
+    assert list(got) == ["kf", "kf_rfloor", "b60_shrunk", "factor"] and got["kf_rfloor"].where("beta_kf = 7").count() == 40
+    x = {r["entity"]: r["f0"] for r in f.where("eom = DATE '1996-02-29'").collect()}
+    for r in got["factor"].collect():
+        want = 0.5 + 2 * x[r["entity"]] + 3.0 if r["eom"] == date(1996, 2, 29) else 1.2
+        assert r["beta_kf"] == pytest.approx(want)
+    assert {r["entity"]: round(r["beta_kf"], 6) for r in got["b60_shrunk"].collect()} == {e: 1.2 if e == 0 else round(0.67 * e + 0.33, 6) for e in range(10)}
 
 
 def test_solver_against_a_known_answer():
@@ -285,6 +403,9 @@ def test_choices(spark):
     assert tune.choose(r)["config_id"] == 1 and tune.choose(r, True)["config_id"] == 2
     assert tune.choose_book([{"name": "a", "ir": 2.0, "beta": 0.5}, {"name": "b", "ir": 1.0, "beta": 0.1}])["name"] == "b"
     assert tune.ic_by_year({1: 0.2, 2: None}, [1, 2]) == {1: 0.2, 2: 0.2}
+    row = lambda i, ir, gross: {"config_id": i, "ir": ir, "gross": gross, "risk_penalty": 1.0, "turnover_penalty": 0.0}
+    got = tune.v4_settings({2001: [row(0, None, 1.0), row(1, None, 2.0)], 2002: [row(0, 0.5, 1.0), row(1, 0.5, 2.0)], 2003: [row(0, None, 1.0), row(1, float("nan"), 2.0)]})
+    assert {y: r["config_id"] for y, r in got.items()} == {2001: 1, 2002: 1, 2003: 1}
 
 
 # ---------------------------------------------------------------- agent, tables
@@ -295,6 +416,90 @@ def test_agent_checks_facts_and_dates():
     out = agent.explain(lambda m: next(replies), {"get_filings": lambda e, d: asked.append((e, d)) or f}, 7, date(2020, 1, 31), "long")
     assert asked == [(7, date(2020, 1, 31))] and len(out["facts"]) == 1 and out["dropped"] == 1 and out["thesis"] == "up"
     assert agent.parse_reply('broken {"thesis": "still here') == {"thesis": "still here"}
+    assert agent.parse_reply('x {"a": 1} {"thesis": "t {y}", "facts": []} z') == {"thesis": "t {y}", "facts": []} and agent.parse_reply("none") == {}
+    odd = [{"document_id": "d", "filing_date": date(2020, 1, 1), "text": "rose\u00a05\u2011fold \u2026 it\u2032s"}]
+    assert agent.verify([{"quote": "Rose 5-fold . it's"}], odd)
+
+
+def test_agent_keeps_a_cache_file(spark, tmp_path):
+    path = str(tmp_path / "cache.json")
+    holdings = frame(spark, [(1, D[0], 0.5), (2, D[0], -0.5)], "entity long, eom date, weight double")
+    none = frame(spark, [], "document_id string, entity long, filing_date date, text string")
+    panel = frame(spark, [(1, D[0], 1.0)], "entity long, eom date, score double")
+    asked = []
+
+    def post(messages):
+        asked.append(1)
+        if len(asked) == 2:
+            raise ValueError("once")
+        return '{"thesis": "t", "facts": [{"quote": "q"}]}'
+
+    with open(path, "w") as f:
+        f.write("{damaged")
+    first = agent.run(spark, post, holdings, none, panel, panel, ["score"], cache_path=path)
+    assert len(first["answers"]) == 1 and len(first["failed"]) == 1 and first["verification_rate"] == 0.0
+    again = agent.run(spark, post, holdings, none, panel, panel, ["score"], cache_path=path)
+    assert len(again["answers"]) == 2 and len(asked) == 3
+    down = agent.run(spark, lambda m: (_ for _ in ()).throw(ConnectionError("down")), holdings, none, panel, panel, [], cache={})
+    assert down["stopped"] == "down" and not down["answers"]
+
+
+def test_quotes_are_found_wherever_they_stand(spark):
+    f = frame(spark, [(i, date(2020, 1, 1 + i % 9), f"Start {i} words a\u2009b \u201cc\u201d tail{i}") for i in range(30)], "document_id long, filing_date date, text string")
+    facts = frame(spark, [(0, "tail7", None), (1, "ail3", None), (2, "start 4 WORDS a b", None), (3, "words a b nothing", None), (4, "s a", None), (5, "", None), (6, "start 5", 5), (7, "start 5", 6), (8, "x", 99), (9, 'b "c"', None)], "fact_id long, quote string, document_id long")
+    assert sorted(r["fact_id"] for r in text.verify_quotes(facts, f, block=2).collect()) == [0, 1, 2, 4, 6, 9]
+
+
+def test_filings_are_scored_without_names(spark):
+    f = frame(spark, [(1, 7, date(2020, 1, 5), "ACME Corp rose good", "Acme Corp", "AC"), (2, 7, date(2020, 1, 9), "AC and Old fell bad", "Acme Corp", "AC"), (3, 8, date(2020, 1, 9), "good", None, None)], "document_id long, entity long, filing_date date, text string, company_name string, ticker string")
+    panel = frame(spark, [(7, date(2020, 1, 31), "Old", "OLD")], "entity long, eom date, company_name string, ticker string")
+    seen = lambda d: d.select("document_id", F.length("text").cast("double").alias("tone_mean"), F.length(F.trim("text")).cast("double").alias("tone_min"))
+    got = {r["document_id"]: r["tone_min"] for r in text.score_filings(f, panel, score=seen).collect()}
+    assert got == {1: len("rose good"), 2: len("and   fell bad")}
+    done = frame(spark, [(1, 0.5, 0.5), (9, 0.1, 0.1)], "document_id long, tone_mean double, tone_min double")
+    assert {r["document_id"] for r in text.score_filings(f, panel, done, score=seen).collect()} == {1, 2}
+    assert text.score_filings(f, panel, None, 1, seen).count() == 1
+
+
+def test_gru_gradients_and_training():
+    rng = np.random.default_rng(0)
+    net, x, m = gru.Autoencoder(2, 2, 3, 4, 1), rng.normal(size=(5, 4, 2)), (rng.random((5, 4)) < 0.8).astype(float)
+    _, g = net.loss(x, m, True)
+    for k, v in net.p.items():
+        at = tuple(rng.integers(0, n) for n in v.shape)
+        kept = v[at]
+        v[at] = kept + 1e-5
+        up = net.loss(x, m)
+        v[at] = kept - 1e-5
+        down = net.loss(x, m)
+        v[at] = kept
+        assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8), k
+
+
+def test_csv_readers_and_writers(spark, tmp_path):
+    def put(name, body):
+        (tmp_path / name).write_text(body)
+        return f"file://{tmp_path / name}"
+
+    assert tables.read_names(spark, put("n.csv", "variable,x\na,1\n,2\nb,3\n")) == ["a", "b"]
+    m = tables.read_market(spark, put("r.csv", "eom,tb3ms\n2020-01-31,1.2\n"), put("i.csv", "eom,sp500_ret\n2020-02-29,0.1\n"))
+    assert sorted((r["eom"], r["rate"], r["index_ret"]) for r in m.collect()) == [(date(2020, 1, 31), 1.2, None), (date(2020, 2, 29), None, 0.1)]
+    for head in ("WEIGHT", "WEIGHT %"):
+        h = tables.read_holdings(spark, put("h.csv", f"Date,PERMNO,TICKER,COMPANY NAME,{head}\n2020-02-01,7,A,Acme,1.5\n")).first()
+        assert (h["date"], h["entity"], h["weight"]) == (date(2020, 2, 1), 7, 0.015)
+    panel = frame(spark, [(1, D[0], float("nan"))], "id long, t date, x double")
+    panel.write.parquet(f"file://{tmp_path}/p")
+    got = tables.read_panel(spark, f"file://{tmp_path}/p", "id", "t").first()
+    assert got["x"] is None and got["target_month"] == date(2020, 2, 29) and tables.columns_of(spark, f"file://{tmp_path}/p") == ["id", "t", "x"]
+    panel.unionByName(panel).write.parquet(f"file://{tmp_path}/twice")
+    with pytest.raises(ValueError):
+        tables.read_panel(spark, f"file://{tmp_path}/twice", "id", "t")
+    w = frame(spark, [(1, D[0], 0.25)], "entity long, eom date, weight double")
+    names = frame(spark, [(1, D[0], None, None)], "entity long, eom date, ticker string, company_name string")
+    tables.write_csv(report.holdings(w, names, None), f"file://{tmp_path}/out")
+    assert spark.read.csv(f"file://{tmp_path}/out", header=True).first().asDict() == {"Date": "2020-02-01", "PERMNO": "1", "TICKER": None, "COMPANY NAME": None, "WEIGHT": "25.0"}
+    info = Materializer(spark, f"file://{tmp_path}/m").get_with_info("k", lambda: (w, {"phi": 0.5}))
+    assert info[0].count() == 1 and info[1] == {"phi": 0.5}
 
 
 def test_materializer_and_json(spark, tmp_path):
