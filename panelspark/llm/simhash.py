@@ -272,6 +272,34 @@ def _meet(similarity: float):
     return solve
 
 
+MAP_BITS = 4096
+
+
+def _bitmap(s: np.ndarray) -> bytes:
+    """A bit for every element's hash modulo MAP_BITS."""
+    out = np.zeros(MAP_BITS, np.uint8)
+    out[s & np.uint64(MAP_BITS - 1)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _may(similarity: float):
+    """Pairs that may be as like as that: each bit in which two bitmaps differ is an element of one set only, so sets of m and n whose maps differ in d bits share
+    (m + n - d) / 2 at most. What goes cannot reach the similarity."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("lbits", "rbits"))
+            total = b["ln"].to_numpy().astype(np.int64) + b["rn"].to_numpy()
+            most = (total - np.bitwise_count(x ^ y).sum(1).astype(np.int64)) // 2
+            ok = most >= similarity * (total - most) - 1e-6
+            yield pa.record_batch([b[c].filter(pa.array(ok)) for c in ("a", "b", "lcomp", "rcomp")], names=["a", "b", "lcomp", "rcomp"])
+
+    return keep
+
+
 def alike_links(texts: DataFrame, words: int, similarity: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(a, b): components that hold two texts whose shingles' Jaccard is at least ``similarity``. texts: uid, comp, text; a uid a text.
 
@@ -326,20 +354,33 @@ def alike_links(texts: DataFrame, words: int, similarity: float, scratch: Scratc
 
     keyed = texts.select(name.alias("id"), F.xxhash64("comp").alias("comp"), "text").mapInArrow(prefixes, "g long, id long, comp long, np long")
     pairs = scratch.keep(keyed.repartition("g").mapInArrow(_meet(similarity), "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    # the narrow list of names meets the texts by uid, so that texts dealt by it stay where they are
-    known = scratch.keep(texts.select(F.col("uid").alias("u"), name.alias("id")).join(wanted, F.col("id") == F.col("i"), "left_semi"), "known")
-    met = texts.join(known, texts["uid"] == known["u"]).select("id", "comp", "text")
-    sets = scratch.keep(met.mapInPandas(shingler(words), "id long, comp binary, sh binary"), "sets")
+    def of(links_: DataFrame) -> DataFrame:
+        """The texts that links name; the narrow list of names meets them by uid, so that texts dealt by it stay where they are."""
+        wanted = links_.select(F.col("a").alias("i")).unionByName(links_.select(F.col("b").alias("i"))).distinct()
+        known = scratch.keep(texts.select(F.col("uid").alias("u"), name.alias("id")).join(wanted, F.col("id") == F.col("i"), "left_semi"), "known")
+        return texts.join(known, texts["uid"] == known["u"]).select("id", "comp", "text")
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Shingles(words)
+        for b in batches:
+            each = [sets(t) for t in b["text"]]
+            yield b.drop(columns="text").assign(n=[len(x) for x in each], bits=[_bitmap(x) for x in each])
+
+    # most pairs that meet share a passage and little else: bitmaps settle them, and only what is left is compared in whole
+    marks = scratch.keep(of(pairs).mapInPandas(marked, "id long, comp binary, n int, bits binary"), "marks")
+    sides = [marks.select(*[F.col(c).alias(f"{k}{c}") for c in ("id", "comp", "n", "bits")]) for k in "lr"]
+    both = pairs.join(sides[0], F.col("a") == F.col("lid")).join(sides[1], F.col("b") == F.col("rid"))
+    likely = both.select("a", "b", "lcomp", "rcomp", "ln", "rn", "lbits", "rbits").mapInArrow(_may(similarity), "a long, b long, lcomp binary, rcomp binary")
+    likely = scratch.keep(likely, "likely")
+    scratch.drop(pairs, marks)
+    sets = scratch.keep(of(likely).select("id", "text").mapInPandas(shingler(words), "id long, sh binary"), "sets")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.loc[[_alike(x, [y], similarity) for x, y in zip(b["sa"], b["sb"])], ["a", "b"]]
 
-    left = sets.select(F.col("id").alias("i"), F.col("comp").alias("ca"), F.col("sh").alias("sa"))
-    right = sets.select(F.col("id").alias("j"), F.col("comp").alias("cb"), F.col("sh").alias("sb"))
-    both = pairs.join(left, F.col("a") == F.col("i")).join(right, F.col("b") == F.col("j"))
-    return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "sa", "sb").mapInPandas(verified, "a binary, b binary").distinct()
+    met = likely.join(sets.select(F.col("id").alias("i"), F.col("sh").alias("sa")), F.col("a") == F.col("i")).join(sets.select(F.col("id").alias("j"), F.col("sh").alias("sb")), F.col("b") == F.col("j"))
+    return met.select(F.col("lcomp").alias("a"), F.col("rcomp").alias("b"), "sa", "sb").mapInPandas(verified, "a binary, b binary").distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, key: str = "doc_id", text: str = "text", leaders: int = 64, chunk: int = 500) -> DataFrame:

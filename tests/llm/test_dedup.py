@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -187,6 +188,18 @@ def test_near_dedup_finds_appended_cut_and_short_copies(spark, pytestconfig):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(frame).collect()) == want
 
 
+def test_bitmaps_never_drop_an_alike_pair():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 60, 900, 9000):
+        for share in (0.5, 0.79, 0.8, 0.81, 0.95):
+            own = int(n * (1 - share) / (1 + share)) + 1
+            shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, own, max(0, own - 1)))
+            x, y = np.unique(np.r_[shared, a]), np.unique(np.r_[shared, b])
+            batch = pa.record_batch([[1], [2], [b"x"], [b"y"], pa.array([len(x)], pa.int32()), pa.array([len(y)], pa.int32()), [simhash._bitmap(x)], [simhash._bitmap(y)]], names=["a", "b", "lcomp", "rcomp", "ln", "rn", "lbits", "rbits"])
+            kept = sum(out.num_rows for out in simhash._may(0.8)(iter([batch])))
+            assert kept or simhash.jaccard(x.tobytes(), y.tobytes()) < 0.8
+
+
 def test_alike_links_in_blocks(spark, pytestconfig):
     """Shingles that most texts hold, in buckets far above the block size; every pair that alike is linked."""
     p = pytestconfig.prose
