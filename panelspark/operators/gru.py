@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,16 +121,18 @@ class Autoencoder:
         return value, out
 
 
-def fit(x: np.ndarray, mask: np.ndarray, vx: np.ndarray, vmask: np.ndarray, d: int, s: Settings, decay: float) -> tuple[Autoencoder, float]:
-    """Train until the validation loss has not fallen for ``patience`` epochs; the best epoch's weights."""
-    net, rng = Autoencoder(x.shape[2], d, s.gru_hidden, x.shape[1], s.seed), np.random.default_rng(s.seed)
+Batches = Callable[[int], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def fit(train: Batches, val: Batches, shape: tuple[int, int], d: int, s: Settings, decay: float) -> tuple[Autoencoder, float]:
+    """Train until the validation loss has not fallen for ``patience`` epochs; the best epoch's weights. train(epoch) and val(0) give batches (windows, mask) of
+    all rows, so nothing holds them at once; shape: (features, steps)."""
+    net = Autoencoder(shape[0], d, s.gru_hidden, shape[1], s.seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     best, kept, stale, step = np.inf, net.p, 0, 0
-    for _ in range(s.gru_epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), s.gru_batch):
-            some = order[at : at + s.gru_batch]
-            _, g = net.loss(x[some], mask[some], True)
+    for epoch in range(s.gru_epochs):
+        for x, mask in train(epoch):
+            _, g = net.loss(x, mask, True)
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             scale, step = min(1.0, s.gru_clip / (norm + 1e-12)), step + 1
             for k, v in g.items():
@@ -138,7 +140,8 @@ def fit(x: np.ndarray, mask: np.ndarray, vx: np.ndarray, vmask: np.ndarray, d: i
                 m1[k] = 0.9 * m1[k] + 0.1 * v
                 m2[k] = 0.999 * m2[k] + 0.001 * v * v
                 net.p[k] = net.p[k] * (1 - s.gru_lr * decay) - s.gru_lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-        now = net.loss(vx, vmask)
+        total = [(net.loss(x, m) * m.sum(), m.sum()) for x, m in val(0)]
+        now = sum(a for a, _ in total) / max(1.0, sum(b for _, b in total))
         if now < best - 1e-9:
             best, kept, stale = now, {k: v.copy() for k, v in net.p.items()}, 0
         else:
@@ -149,26 +152,49 @@ def fit(x: np.ndarray, mask: np.ndarray, vx: np.ndarray, vmask: np.ndarray, d: i
     return net, best
 
 
-def embed(win: DataFrame, d: int, train, val, s: Settings = Settings(), most: int = 20_000, entity: str = "entity", by: str = "eom") -> DataFrame:
+def stored(uri: str, size: int, seed: int) -> Batches:
+    """Batches of a table (changes, mask) in the shared folder: files, and rows within some 50 batches of a file, in another order each epoch."""
+
+    def batches(epoch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        rng = np.random.default_rng([seed, epoch])
+        system, root = fs.FileSystem.from_uri(uri)
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        for i in rng.permutation(len(files)):
+            with system.open_input_file(files[i]) as f:
+                for b in pq.ParquetFile(f).iter_batches(50 * size):
+                    n = b.num_rows
+                    mask = np.asarray(b["mask"].flatten(), float).reshape(n, -1)
+                    x = np.asarray(b["changes"].flatten().flatten(), float).reshape(n, mask.shape[1], -1)
+                    order = rng.permutation(n)
+                    for at in range(0, n, size):
+                        yield x[order[at : at + size]], mask[order[at : at + size]]
+
+    return batches
+
+
+def embed(win: DataFrame, d: int, train, val, s: Settings = Settings(), entity: str = "entity", by: str = "eom") -> DataFrame:
     """(entity, eom, gru_1..d) for every row of windows(); NaN where fewer than min_valid changes are valid.
 
-    Trained on at most ``most`` training windows (smallest key hash), one task a weight decay; all rows are encoded with the decay whose
-    validation loss is least.
+    Trained on every valid training window, one task a weight decay that reads them batch by batch from the shared folder each epoch; all rows are encoded
+    with the decay whose validation loss is least.
     """
-    spark = win.sparkSession
-    ok = win.where(F.col("n_valid") >= s.seq_min_valid)
-    pick = lambda cond, n: ok.where(cond).orderBy(F.xxhash64(entity, by), entity, by).limit(n).select("changes", "mask").toPandas()
-    a, b = pick(train, most), pick(val, most // 4)
-    stack = lambda f: (np.array([np.vstack(v) for v in f["changes"]]), np.array([np.asarray(v, float) for v in f["mask"]]))
-    if not len(a) or not len(b):
+    from ..sources.tables import Materializer
+
+    spark, keep = win.sparkSession, Materializer(win.sparkSession)
+    kept = keep.scratch(win.where(F.col("n_valid") >= s.seq_min_valid).select("changes", "mask", F.coalesce(train, F.lit(False)).alias("t"), F.coalesce(val, F.lit(False)).alias("v")), "windows")
+    parts = {name: keep.path_of(kept.where(name).select("changes", "mask"), f"gru_{name}") for name in ("t", "v")}
+    first = kept.where("t").select(F.size(F.col("changes")[0]).alias("k"), F.size("mask").alias("n")).first()
+    if first is None or kept.where("v").first() is None:
         return win.select(entity, by, *[F.lit(float("nan")).alias(f"gru_{i + 1}") for i in range(d)])
-    shared = spark.sparkContext.broadcast((stack(a), stack(b)))
+    shape = (first["k"], first["n"])
 
     def train_one(f: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
-        (x, m), (vx, vm) = shared.value
-        net, value = fit(x, m, vx, vm, d, s, float(f["decay"].iloc[0]))
+        net, value = fit(stored(parts["t"], s.gru_batch, s.seed), stored(parts["v"], s.gru_batch, s.seed), shape, d, s, float(f["decay"].iloc[0]))
         return pd.DataFrame({"decay": f["decay"], "loss": [value], "net": [pickle.dumps(net)]})
 
     grid = spark.createDataFrame([(float(v),) for v in s.gru_decay], "decay double")

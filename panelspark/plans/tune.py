@@ -38,9 +38,9 @@ def choose(ratios: DataFrame, last_of_equals: bool = False) -> dict | None:
     return got[0].asDict() if got else None
 
 
-def choose_complete(ratios: DataFrame, weights: DataFrame) -> dict | None:
-    """The best config of those that never held a month for want of a solution; the last of equals."""
-    held = weights.where(F.col("status").startswith("hold")).select("config_id").distinct()
+def choose_complete(ratios: DataFrame, log: DataFrame) -> dict | None:
+    """The best config of those that never held a month for want of a solution; the last of equals. log: see books.split_log()."""
+    held = log.where(F.col("status").startswith("hold")).select("config_id").distinct()
     return choose(ratios.join(held, "config_id", "left_anti"), True)
 
 

@@ -69,6 +69,8 @@ class Materializer:
     def __init__(self, spark: SparkSession, root: str | None = None, suffix: str = ""):
         sc = spark.sparkContext
         found = root or sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("name a root, or set spark.checkpoint.dir, in a folder that all machines share")
         self.spark, self.suffix = spark, suffix
         self.root = (found or f"file://{tempfile.mkdtemp(prefix='panel-')}").rstrip("/")
 
@@ -98,9 +100,13 @@ class Materializer:
 
     def scratch(self, df: DataFrame, name: str) -> DataFrame:
         """df written under a name of its own and read again: lineage ends here."""
+        return self.spark.read.schema(df.schema).parquet(self.path_of(df, name))
+
+    def path_of(self, df: DataFrame, name: str) -> str:
+        """df written under a name of its own; where."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
 
     def append_new(self, name: str, todo: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Incremental cache: rows of todo whose key is not there yet go through make() and are appended; the whole cache is returned."""
