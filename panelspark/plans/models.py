@@ -235,7 +235,7 @@ def book_v4(spark, d):
 @query("book_v4_by_year")
 def book_v4_by_year(spark, d):
     """One book whose settings change with the target year; weights held carry on."""
-    rows = [(0, y, 1.0 + 0.5 * (y % 2), 24.0, 10.0, 0.05) for y in range(1992, 2000)]
+    rows = [(0, y, 1.0 + 0.5 * (y % 2), 24.0, 10.0, 0.05) for y in range(1992, 2003)]
     years = spark.createDataFrame(rows, "config_id long, year int, gross double, cov_window double, risk_penalty double, turnover_penalty double")
     return books.run_books(v4_frame(spark, d), years, "v4", V4)
 

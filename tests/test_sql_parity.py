@@ -43,6 +43,6 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert columns == names and got == want and got
 
 
-@pytest.mark.parametrize("name", ["ridge_scores", "cfi_clusters", "cfi_schedule", "factor_returns", "factor_cov", "spec_var", "kalman_filter", "gru_embed", "beta_variants", "book_v4_by_year", "book_grid_choice"])
+@pytest.mark.parametrize("name", ["ridge_scores", "cfi_clusters", "cfi_schedule", "factor_returns", "factor_cov", "spec_var", "kalman_filter", "gru_embed", "beta_variants", "book_grid_choice"])
 def test_model_queries_run(spark, sf, name):
     assert models.Q[name](spark, sf).count() > 0
