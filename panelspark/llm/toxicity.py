@@ -198,17 +198,29 @@ class Model:
         self.lm, self.weights, self.constant = lm, weights, constant
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge on all but the constant, by Newton steps, halved where the loss would rise."""
-    z = np.concatenate([x, np.ones((len(x), 1))], 1).astype(float)
+def _fit(x: np.ndarray, shares: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 60, block: int = 1000) -> tuple[np.ndarray, float]:
+    """Logistic regression on x (0 and 1, in bytes) times the root of shares, with a ridge on all but the constant, by Newton steps, halved where the loss would
+    rise. Rows become numbers a block at a time."""
+    scale = np.r_[np.sqrt(shares), 1.0]
     pull = np.r_[np.full(x.shape[1], ridge), 1e-6]
-    loss = lambda w: float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + (pull * w * w).sum() / 2)
-    w = np.zeros(z.shape[1])
+
+    def blocks():
+        for at in range(0, len(x), block):
+            part = x[at : at + block]
+            yield np.concatenate([part, np.ones((len(part), 1), np.uint8)], 1) * scale, y[at : at + block]
+
+    def loss(w: np.ndarray) -> float:
+        return sum(float(np.logaddexp(0, np.where(t > 0, -1, 1) * (z @ w)).sum()) for z, t in blocks()) + float((pull * w * w).sum()) / 2
+
+    w = np.zeros(len(scale))
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
-        size = 1.0
+        curve, slope = np.diag(pull), pull * w
+        for z, t in blocks():
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            curve += (z * (p * (1 - p))[:, None]).T @ z
+            slope += z.T @ (p - t)
+        step, size = np.linalg.solve(curve, slope), 1.0
         while loss(w - size * step) > now and size > 1e-4:
             size /= 2
         w = w - size * step
@@ -276,13 +288,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.record_batch([b["y"], pa.array([sorted(words.text(t)) for t in b["text"].to_pylist()], pa.list_(pa.int32()))], names=["y", "x"])
 
     got = picked.mapInArrow(vectors, "y int, x array<int>").collect()  # at most 2 * sample short lists
-    x, target = np.zeros((len(got), len(cues)), np.float32), np.array([r["y"] for r in got], float)
+    x, target = np.zeros((len(got), len(cues)), np.uint8), np.array([r["y"] for r in got], float)
     for i, r in enumerate(got):
         x[i, r["x"]] = 1
     scratch.drop(picked)
     # equal columns share a weight; one each keeps the Newton steps small
     kinds, back, shares = np.unique(x, axis=1, return_inverse=True, return_counts=True)
-    w, c = _fit(kinds * np.sqrt(shares), target)
+    w, c = _fit(kinds, shares, target)
     w = (w / np.sqrt(shares))[back.ravel()]
     return Model(lm, {cue: float(w[i]) for cue, i in cues.items()}, float(c + prior - np.log(n_pos / n_neg)))
 
