@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_month_end, period_index
@@ -13,13 +13,20 @@ from ..functions.dates import next_month_end, period_index
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, value: str, out: str) -> DataFrame:
     """left with the value of the right row nearest in date; of two as near the earlier, then the lesser value. Null values on the right don't count.
 
-    An equi-join on ``by`` and one partially aggregated min per left row: no sort of either side across keys.
+    Dates of both sides stand in one line per key: the last value at or before a date and the first one after it are running values, forth and back. A key's
+    rows are sorted twice and never paired.
     """
-    r = right.select(F.col(by).alias("_by"), F.col(right_on).alias("_on"), F.col(value).alias("_v")).where("_v IS NOT NULL AND _on IS NOT NULL")
-    keys = left.select(by, left_on).distinct()
-    near = keys.join(r, keys[by] == r["_by"]).groupBy(by, left_on)
-    near = near.agg(F.min(F.struct(F.abs(F.datediff("_on", left_on)).alias("d"), F.col("_on").alias("o"), F.col("_v").alias("v"))).alias("_n"))
-    return left.join(near.select(by, left_on, F.col("_n.v").alias(out)), [by, left_on], "left")
+    r = right.select(F.col(by).alias(by), F.col(right_on).alias("_on"), F.col(value).alias("_v")).where(F.col(by).isNotNull() & F.col("_v").isNotNull() & F.col("_on").isNotNull())
+    r = r.groupBy(by, "_on").agg(F.min("_v").alias("_v"))
+    keys = left.select(by, F.col(left_on).alias("_on")).where(F.col(by).isNotNull() & F.col("_on").isNotNull()).distinct()
+    line = keys.select(by, "_on", F.lit(1).alias("_asks"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v")).unionByName(r.select(by, "_on", F.lit(0).alias("_asks"), "_v"))
+    known = F.when(F.col("_asks") == 0, F.struct(F.col("_on").alias("o"), F.col("_v").alias("v")))
+    w = Window.partitionBy(by)
+    line = line.withColumn("_b", F.last(known, ignorenulls=True).over(w.orderBy("_on", "_asks")))
+    line = line.withColumn("_a", F.last(known, ignorenulls=True).over(w.orderBy(F.desc("_on"), F.desc("_asks"))))
+    nearer = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.datediff("_a.o", "_on") < F.datediff("_on", "_b.o")))
+    near = line.where("_asks = 1").select(by, F.col("_on").alias(left_on), F.when(nearer, F.col("_a.v")).otherwise(F.col("_b.v")).alias(out))
+    return left.join(near, [by, left_on], "left")
 
 
 def fill_labels(keys: DataFrame, other: DataFrame, columns: list[str], by: str, left_on: str, right_on: str) -> DataFrame:

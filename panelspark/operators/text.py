@@ -81,8 +81,9 @@ def chunks(tokens: Column, size: int = 512, most: int = 8) -> Column:
 
 def word_tone(words: Column) -> Column:
     """Default score of a chunk: (good - bad) / words."""
-    count = lambda which: F.size(F.filter(words, lambda w: F.lower(w).isin(*which)))
-    return F.try_divide((count(GOOD) - count(BAD)).cast("double"), F.size(words).cast("double"))
+    worth = lambda w: F.when(w.isin(*GOOD), 1).when(w.isin(*BAD), -1).otherwise(0)
+    total = F.aggregate(words, F.lit(0), lambda a, w: a + worth(F.lower(w)))  # one pass over the words
+    return F.try_divide(total.cast("double"), F.size(words).cast("double"))
 
 
 def doc_tones(filings: DataFrame, size: int = 512, most: int = 8, score: Callable[[Column], Column] = word_tone, text: str = "text") -> DataFrame:
