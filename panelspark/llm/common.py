@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -79,11 +81,19 @@ def hold(kind: str, key, make):
     """The worker's one cache: made when another kind or key held the place. Workers outlive stages; what an earlier stage kept must not
     stand beside what the next one needs."""
     if _HELD.get("key") != (kind, key):
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD.update(key=(kind, key), value=make())
     return _HELD["value"]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system where the C library can do that; else the allocator keeps it for a worker's life."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release() -> None:
     """Drop the worker's cache: called by tasks that have no use for one."""
     hold("", None, lambda: None)

@@ -37,7 +37,7 @@ _WORD = re.compile(r"\S+")
 class WordHash:
     """64-bit hashes of words; a cache, emptied when full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[str]) -> np.ndarray:

@@ -210,7 +210,7 @@ def _alike(a: bytes, others: list[bytes], least: float) -> bool:
 class Shingles:
     """Sorted distinct hashes of a text's word shingles from hashes of its words: what shingle_set() tells apart, at a part of its cost."""
 
-    def __init__(self, words: int, most: int = 400_000):
+    def __init__(self, words: int, most: int = 200_000):
         self.words, self.most, self.known = words, most, {}
         self.mult = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(words)], np.uint64)
 

@@ -126,7 +126,7 @@ def disguised(word: str) -> bool:
 class Words:
     """What cues of words stand for; a worker's cache, emptied when full. ``meaning`` maps a cue to what a caller counts; None: to itself."""
 
-    def __init__(self, model: np.ndarray, meaning: dict[str, int] | None = None, most: int = 300_000):
+    def __init__(self, model: np.ndarray, meaning: dict[str, int] | None = None, most: int = 150_000):
         self.model, self.meaning, self.most, self.known = model, meaning, most, {}
 
     @staticmethod

@@ -37,7 +37,7 @@ class Cache:
 
     BARE = "\x01"
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 600_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 64):
         self.encode, self.encode_words, self.most, self.longest = encode, encode_words, most, longest
         self.known: dict[str, bytes] = {}
 
