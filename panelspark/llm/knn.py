@@ -25,14 +25,18 @@ EXACT = float(1 << 53)
 OWN = 64
 
 
-def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): v is floor(scale * x) of each component, as doubles. Rows with a null id, a null vector, or a null or non-finite component go."""
+def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding", label: str | None = None) -> DataFrame:
+    """(id, v), and ``label`` as a string if asked for: v is floor(scale * x) of each component, as doubles, the largest double where scale * x leaves their range. Rows with a null
+    id, a null vector, or a null or non-finite component go."""
     x = F.col(vector)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     kept = vectors.where(F.col(key).isNotNull() & x.isNotNull() & ~bad)
     # a double, not floor()'s long: huge components stay finite; below 2^53 they are exact integers
-    whole = lambda c: (c.cast("double") * scale) - F.pmod(c.cast("double") * scale, F.lit(1.0))
-    return kept.select(F.col(key).cast("long").alias("id"), F.transform(x, whole).alias("v"))
+    most = F.lit(1.7976931348623157e308)
+    scaled = lambda c: F.greatest(F.least(c.cast("double") * scale, most), -most)
+    whole = lambda c: F.when(F.abs(scaled(c)) < EXACT, scaled(c) - F.pmod(scaled(c), F.lit(1.0))).otherwise(scaled(c))
+    more = [F.col(label).cast("string").alias("label")] if label else []
+    return kept.select(F.col(key).cast("long").alias("id"), *more, F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "line_dedup", "simhash", "merkle", "sstable", "packing", "bpe", "knn", "toxicity", "passages", "divergence")
+MODULES = ("sharding", "line_dedup", "simhash", "merkle", "sstable", "packing", "bpe", "knn", "toxicity", "passages", "divergence", "hyperdim", "negatives")
 
 
 def _merged(name: str) -> dict:
