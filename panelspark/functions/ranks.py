@@ -93,20 +93,27 @@ def decile(c: Column | str, by: str, tie: str) -> Column:
 
 def rank_scaled(c: Column | str, by: str) -> Column:
     """Average rank scaled to [-1, 1]; a lone row is 0."""
-    n = F.count(clean(c)).over(Window.partitionBy(by))
+    n = F.count(clean(c)).over(Window.partitionBy(*_by(by)))
     return F.when(n > 1, (average_rank(c, by) - 1) / (n - 1) * 2 - 1).when(clean(c).isNotNull(), F.lit(0.0))
 
 
 def zscore(c: Column | str, by: str) -> Column:
     """(x - mean) / sample deviation within the period; no deviation or null: 0."""
-    c, w = clean(c).cast("double"), Window.partitionBy(by)
+    c, w = clean(c).cast("double"), Window.partitionBy(*_by(by))
     return F.coalesce(F.try_divide(c - F.avg(c).over(w), F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))), F.lit(0.0))
 
 
 def median_filled(c: Column | str, by: str) -> Column:
     """Null to the period's median, then to the median of all rows' values given by the caller's frame."""
     c = clean(c).cast("double")
-    return F.coalesce(c, F.median(c).over(Window.partitionBy(by)))
+    return F.coalesce(c, F.median(c).over(Window.partitionBy(*_by(by))))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: the correlation over rows with both; null where one of them does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def all_of(conditions: list[Column]) -> Column:

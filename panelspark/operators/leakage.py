@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import clean
+from ..functions.ranks import clean, correlation
 
 
 def filing_leaks(filings: DataFrame, keys: DataFrame, entity: str = "entity", date: str = "filing_date", period: str = "eom") -> DataFrame:
@@ -17,7 +17,7 @@ def filing_leaks(filings: DataFrame, keys: DataFrame, entity: str = "entity", da
 
 def target_correlations(df: DataFrame, features: list[str], target: str, limit: float = 0.99) -> DataFrame:
     """(feature, correlation, suspect): all correlations in one pass; suspect if it is near one, or the name says that it looks ahead."""
-    row = df.agg(*[F.corr(clean(c).cast("double"), clean(target).cast("double")).alias(c) for c in features])
+    row = df.agg(*[correlation(clean(c), clean(target)).alias(c) for c in features])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in features])).alias("p")
     out = row.select(pairs).select("p.*")
     return out.withColumn("suspect", F.contains("feature", F.lit("lead")) | F.coalesce(F.abs("correlation") > limit, F.lit(False)))

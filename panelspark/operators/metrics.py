@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import holding_date
-from ..functions.ranks import average_rank, clean
+from ..functions.ranks import average_rank, clean, correlation
 from .joins import market_to_formation
 
 
@@ -16,7 +16,7 @@ def rank_ic(df: DataFrame, score: str, target: str, by: str = "eom") -> DataFram
     """(by, ic, n): correlation of average ranks within each period, over rows with both."""
     d = df.select(by, clean(score).alias("s"), clean(target).alias("y")).where("s IS NOT NULL AND y IS NOT NULL")
     d = d.select(by, average_rank("s", by).alias("rs"), average_rank("y", by).alias("ry"))
-    return d.groupBy(by).agg(F.corr("rs", "ry").alias("ic"), F.count(F.lit(1)).alias("n"))
+    return d.groupBy(by).agg(correlation(F.col("rs"), F.col("ry")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def summary(returns: DataFrame, premium: float = 0.04, lags: int = 3, order: str
     aggs = {
         "n_months": F.count(F.lit(1)), "ir": information_ratio("active"), "sharpe": F.when(sd > 0, math.sqrt(12) * F.avg(tot) / sd),
         "best_month": F.max("total"), "worst_month": F.min("total"), "hit_rate": F.avg(((F.col("excess") > 0) & (F.col("active") > 0)).cast("double")),
-        "corr_index": F.corr("total", "index_ret"),
+        "corr_index": correlation(F.col("total"), F.col("index_ret")),
     } | block | legs
     out = returns.agg(*[v.alias(k) for k, v in aggs.items()]).first().asDict()
     for name, c in (("max_drawdown", "total"), ("index_max_drawdown", "index_ret")):

@@ -69,3 +69,34 @@ def chart_data(returns: DataFrame, by: str = "eom") -> DataFrame:
         d = with_drawdown(returns.where(F.col(c).isNotNull()).select(by, c), c, by, start=False)
         out = out.join(d.select(by, (F.col("wealth") - 1).alias(f"cumulative_{c}"), F.col("drawdown").alias(f"drawdown_{c}")), by, "left")
     return out
+
+
+def return_histogram(returns: DataFrame, bins: int = 30, columns: tuple[str, ...] = ("total", "benchmark")) -> DataFrame:
+    """(series, bin, low, high, n): counts of monthly returns in equal bins from the least to the greatest of all the series; the last bin is closed."""
+    long = returns.select(F.explode(F.array(*[F.struct(F.lit(c).alias("series"), clean(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*").where("x IS NOT NULL")
+    ends = long.agg(F.min("x").alias("least"), F.max("x").alias("most"))
+    width = F.when(F.col("most") > F.col("least"), (F.col("most") - F.col("least")) / bins).otherwise(F.lit(1.0))
+    d = long.crossJoin(F.broadcast(ends)).withColumn("width", width)  # one row
+    d = d.withColumn("bin", F.least(F.floor((F.col("x") - F.col("least")) / F.col("width")), F.lit(bins - 1)).cast("int"))
+    out = d.groupBy("series", "bin", "least", "width").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("series", "bin", (F.col("least") + F.col("bin") * F.col("width")).alias("low"), (F.col("least") + (F.col("bin") + 1) * F.col("width")).alias("high"), "n")
+
+
+def extreme_contributors(contributions_: DataFrame, n: int = 10) -> DataFrame:
+    """The n largest and the n smallest contributions, a name once; ties by the other columns."""
+    order = [c for c in contributions_.columns if c != "contribution"]
+    high = F.row_number().over(Window.orderBy(F.desc("contribution"), *order))
+    low = F.row_number().over(Window.orderBy("contribution", *order))
+    top = contributions_.orderBy(F.desc("contribution"), *order).limit(n).withColumn("place", high).withColumn("end", F.lit("top"))
+    bottom = contributions_.orderBy("contribution", *order).limit(n).withColumn("place", low).withColumn("end", F.lit("bottom"))
+    return top.unionByName(bottom.join(top.select(*order), order, "left_anti"))
+
+
+def charts(returns: DataFrame, by: str = "eom") -> dict[str, DataFrame]:
+    """The data of every chart drawn from monthly returns, by the chart's name; contributors come from extreme_contributors()."""
+    d = chart_data(returns, by)
+    lines = {
+        "cumulative_returns": ["cumulative_total", "cumulative_index_ret", "cumulative_benchmark"], "underwater": ["drawdown_total", "drawdown_index_ret"],
+        "rolling_active_return": ["rolling_active"], "rolling_ir": ["rolling_ir"], "rolling_beta": ["rolling_beta"],
+    }
+    return {name: d.select(by, *columns) for name, columns in lines.items()} | {"return_histogram": return_histogram(returns)}

@@ -13,6 +13,15 @@ from ..functions import ranks
 from ..spec import Settings
 
 
+#: Columns by which a scored frame may hold several versions of a month: embedding size, size limit of shorts, betas. A config meets the versions it names.
+AXES = ("d", "short_q", "beta_set")
+
+
+def axes_of(scored: DataFrame, configs: DataFrame) -> list[str]:
+    """The axes that both name."""
+    return [c for c in AXES if c in scored.columns and c in configs.columns]
+
+
 def tail_ladder(first: float, least: float = 0.02, step: float = 0.01) -> list[float]:
     """Tail shares that are tried in turn; the first one at or below ``least`` is the last."""
     out = [first]
@@ -21,26 +30,27 @@ def tail_ladder(first: float, least: float = 0.02, step: float = 0.01) -> list[f
     return out
 
 
-def smoothed(scored: DataFrame, configs: DataFrame, by: str = "eom") -> DataFrame:
+def smoothed(scored: DataFrame, configs: DataFrame, by: str = "eom", axes: list[str] = ()) -> DataFrame:
     """scored once a config (config_id, smooth), with s: an exponential average of the month's z-score over the months in a row, by the
-    frame's months, that the name has been there; after a gap it starts anew.
+    frame's months, that the name has been there; after a gap it starts anew. A config meets the rows of its own values of the axes.
 
     The average is folded along each name's run of months: one group a (config, name, run), at most as long as the panel has months.
     """
     months = scored.select(by).distinct().withColumn("month_no", F.row_number().over(Window.orderBy(by)))  # a row a month
-    z = scored.select("entity", by, ranks.zscore("score", by).alias("z")).join(F.broadcast(months), by)
-    run = F.col("month_no") - F.row_number().over(Window.partitionBy("entity").orderBy("month_no"))
-    runs = z.withColumn("run", run).groupBy("entity", "run").agg(F.sort_array(F.collect_list(F.struct("month_no", by, "z"))).alias("m"))
-    runs = runs.crossJoin(F.broadcast(configs.select("config_id", F.col("smooth").cast("double").alias("a"))))  # a grid of a few rows
+    z = scored.select("entity", by, *axes, ranks.zscore("score", [by, *axes]).alias("z")).join(F.broadcast(months), by)
+    run = F.col("month_no") - F.row_number().over(Window.partitionBy("entity", *axes).orderBy("month_no"))
+    runs = z.withColumn("run", run).groupBy("entity", *axes, "run").agg(F.sort_array(F.collect_list(F.struct("month_no", by, "z"))).alias("m"))
+    grid = F.broadcast(configs.select("config_id", *axes, F.col("smooth").cast("double").alias("a")))  # a grid of a few rows
+    runs = runs.join(grid, list(axes)) if axes else runs.crossJoin(grid)
 
     def one_more(done: Column, x: Column) -> Column:
         before = F.when(F.size(done) == 0, x["z"]).otherwise(F.element_at(done, -1)["s"])
         return F.concat(done, F.array(F.struct(x[by].alias(by), (F.col("a") * x["z"] + (1 - F.col("a")) * before).alias("s"))))
 
     kind = scored.schema[by].dataType.simpleString()
-    folded = runs.select("config_id", "entity", F.aggregate("m", F.array().cast(f"array<struct<{by}:{kind},s:double>>"), one_more).alias("m"))
-    s = folded.select("config_id", "entity", F.explode("m").alias("x")).select("config_id", "entity", F.col(f"x.{by}").alias(by), F.col("x.s").alias("s"))
-    return scored.join(s, ["entity", by])
+    folded = runs.select("config_id", "entity", *axes, F.aggregate("m", F.array().cast(f"array<struct<{by}:{kind},s:double>>"), one_more).alias("m"))
+    s = folded.select("config_id", "entity", *axes, F.explode("m").alias("x")).select("config_id", "entity", *axes, F.col(f"x.{by}").alias(by), F.col("x.s").alias("s"))
+    return scored.join(s, ["entity", by, *axes])
 
 
 def members(df: DataFrame, tails: list[float], most_names: int, by: str = "eom") -> DataFrame:
@@ -106,7 +116,8 @@ def capped(d: DataFrame, weight: str, total: str, cap: float, keys: list[str]) -
 def tail_book(scored: DataFrame, configs: DataFrame, s: Settings = Settings(), by: str = "eom") -> DataFrame:
     """(config_id, entity, eom, weight, status) of a tail book a config. scored: entity, eom, score, short_eligible, sector, beta_kf; a missing beta is the
     month's median, or 1. A month without a sector that has both sides holds nothing."""
-    slim = scored.select("entity", by, "score", "short_eligible", "sector", F.coalesce(ranks.median_filled("beta_kf", by), F.lit(1.0)).alias("beta"))
-    held = legs(members(smoothed(slim, configs, by), tail_ladder(s.v3_tail), s.max_names, by), s, by)
+    axes = axes_of(scored, configs)
+    slim = scored.select("entity", by, *axes, "score", "short_eligible", "sector", F.coalesce(ranks.median_filled("beta_kf", [by, *axes]), F.lit(1.0)).alias("beta"))
+    held = legs(members(smoothed(slim, configs, by, axes), tail_ladder(s.v3_tail), s.max_names, by), s, by)
     out = capped(held, "base", "leg", s.max_weight, ["config_id", by, "side"])
     return out.select(F.col("config_id").cast("long").alias("config_id"), "entity", by, (F.col("side") * F.col("base")).alias("weight"), F.lit("solved").alias("status"))

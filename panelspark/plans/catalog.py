@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import models, relational
+from . import models, relational, staged
 
 
 def queries() -> dict:
-    return relational.Q | models.Q
+    return relational.Q | models.Q | staged.Q
 
 
 def oracle_sql() -> dict:
-    return relational.SQL | models.SQL
+    return relational.SQL | models.SQL | staged.SQL

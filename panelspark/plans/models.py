@@ -38,13 +38,17 @@ def ranked(spark, d) -> DataFrame:
 
 def scored(spark, d) -> DataFrame:
     """entity, eom, score, short_eligible, beta_kf, beta_var, sector, size_z, spec_var, and the risk factors: what books need."""
+    scaled = ranks.with_dense_scaled(marked(spark, d), FACTORS, "eom")
+    resid = risk.factor_returns(scaled, FACTORS, risk.sectors_of(scaled))[1]
+    return scaled.join(risk.specific_variance(scaled, resid, S), ["entity", "eom"], "left")
+
+
+def marked(spark, d) -> DataFrame:
+    """The part of scored() that needs no risk model: all that tail books read."""
     p = adapters.panel_supp(spark, d)
     raw = p.withColumn("idle", 1.0 / F.col("qty")).withColumns({"size_pct": ranks.pct_rank("revenue", "eom"), "volume_pct": ranks.pct_rank("qty", "eom")})
     raw = raw.withColumn("short_eligible", universe.short_eligible()).withColumn("sector", F.substring("sector", 1, 1))
-    raw = raw.withColumns({"score": ranks.zscore("disc", "eom"), "size_z": ranks.zscore(F.ln("revenue"), "eom"), "beta_kf": 1 + 0.2 * ranks.zscore("n_lines", "eom"), "beta_var": F.lit(0.02) + F.lit(0.01) / F.col("n_lines")})
-    scaled = ranks.with_dense_scaled(raw, FACTORS, "eom")
-    resid = risk.factor_returns(scaled, FACTORS, risk.sectors_of(scaled))[1]
-    return scaled.join(risk.specific_variance(scaled, resid, S), ["entity", "eom"], "left")
+    return raw.withColumns({"score": ranks.zscore("disc", "eom"), "size_z": ranks.zscore(F.ln("revenue"), "eom"), "beta_kf": 1 + 0.2 * ranks.zscore("n_lines", "eom"), "beta_var": F.lit(0.02) + F.lit(0.01) / F.col("n_lines")})
 
 
 def risk_model(spark, d) -> tuple[DataFrame, list[str]]:
@@ -198,9 +202,17 @@ def book_v2(spark, d):
     return books.run_books(scored(spark, d), grid, "v2", S.but(v2_max_weight=0.02), model, FACTORS, sectors)
 
 
+def kept_marks(spark, d) -> DataFrame:
+    """marked(), cut to what tail books read and written once: their counts, tails and sides each read it."""
+    from ..sources.tables import Materializer
+
+    slim = marked(spark, d).select("entity", "eom", "score", "short_eligible", "sector", "beta_kf")
+    return Materializer(spark).scratch(slim, "marks")
+
+
 @query("book_v3")
 def book_v3(spark, d):
-    out = books.run_books(scored(spark, d), joins.grid(spark, smooth=S.v3_smooth), "v3", S.but(max_weight=0.2))
+    out = books.run_books(kept_marks(spark, d), joins.grid(spark, smooth=S.v3_smooth), "v3", S.but(max_weight=0.2))
     return out.select("config_id", "entity", "eom", F.round("weight", 9).alias("weight"))
 
 
@@ -248,8 +260,8 @@ def book_grid_choice(spark, d):
     p = adapters.panel_supp(spark, d)
     rate, index = adapters.market(spark, d)
     grid = joins.grid(spark, smooth=(1.0, 0.75, 0.5))
-    weights = books.run_books(scored(spark, d), grid, "v3", S.but(max_weight=0.2))
-    return grid_ratios(weights, p, joins.market_full(rate, index), grid)
+    weights = books.run_books(kept_marks(spark, d), grid, "v3", S.but(max_weight=0.2))
+    return rel.rounded(grid_ratios(weights, p, joins.market_full(rate, index), grid), "ir")
 
 
 @query("rolling_beta_entities")
@@ -275,18 +287,19 @@ sc AS (SELECT entity, eom, target, substring(sector, 1, 1) AS sector, size_pct,
        FROM sc0 WINDOW w AS (PARTITION BY eom))"""
 
 
-def _tail_sql(smooth: tuple, cap: float) -> str:
-    """Weights (config_id, entity, eom, weight) of the tail books: the average as a weighted sum over the run, every tail tried on every row."""
+def _tail_sql(configs: list[tuple], cap: float, scored: str = "SELECT *, 0 AS d, score AS sd FROM sc", ok: str = "x.ok") -> str:
+    """Weights (config_id, entity, eom, weight) of the tail books: the average as a weighted sum over the run, every tail tried on every row. configs: (smooth, d, q);
+    scored has a row a name, month and d, with its score sd; ok may use q."""
     tails_ = ", ".join(f"({i}, CAST('{t!r}' AS DOUBLE))" for i, t in enumerate(tails.tail_ladder(S.v3_tail)))
-    configs = ", ".join(f"({i}, CAST({a} AS DOUBLE))" for i, a in enumerate(smooth))
+    grid = ", ".join(f"({i}, CAST({a} AS DOUBLE), {d}, CAST({q} AS DOUBLE))" for i, (a, d, q) in enumerate(configs))
     cell, month = "PARTITION BY config_id, eom, sector", "PARTITION BY config_id, eom"
     return f"""{SCORED},
-zz AS (SELECT *, {_z('score')} AS z, dense_rank() OVER (ORDER BY eom) AS mn FROM sc WINDOW w AS (PARTITION BY eom)),
-zr AS (SELECT *, mn - row_number() OVER (PARTITION BY entity ORDER BY mn) AS run FROM zz),
-zf AS (SELECT *, min(mn) OVER (PARTITION BY entity, run) AS mn0 FROM zr),
-ema AS (SELECT config_id, x.entity, x.eom, x.sector, x.ok, x.beta,
+zz AS (SELECT *, {_z('sd')} AS z, dense_rank() OVER (ORDER BY eom) AS mn FROM ({scored}) WINDOW w AS (PARTITION BY eom, d)),
+zr AS (SELECT *, mn - row_number() OVER (PARTITION BY entity, d ORDER BY mn) AS run FROM zz),
+zf AS (SELECT *, min(mn) OVER (PARTITION BY entity, d, run) AS mn0 FROM zr),
+ema AS (SELECT config_id, x.entity, x.eom, x.sector, {ok} AS ok, x.beta,
           sum(y.z * CASE WHEN y.mn = y.mn0 THEN pow(1 - a, x.mn - y.mn) ELSE a * pow(1 - a, x.mn - y.mn) END ORDER BY y.mn) AS s
-        FROM zf x JOIN zf y ON x.entity = y.entity AND x.run = y.run AND y.mn <= x.mn, (VALUES {configs}) c(config_id, a) GROUP BY ALL),
+        FROM zf x JOIN zf y ON x.entity = y.entity AND x.d = y.d AND x.run = y.run AND y.mn <= x.mn JOIN (VALUES {grid}) c(config_id, a, d, q) ON x.d = c.d GROUP BY ALL),
 hi AS (SELECT *, row_number() OVER ({cell} ORDER BY s DESC, entity) AS hi, count(*) OVER ({cell}) AS n, count(*) FILTER (ok) OVER ({cell}) AS n_ok FROM ema),
 tl AS (SELECT hi.*, idx, ceil(tail * n) AS nl, ceil(tail * n_ok) AS ns FROM hi, (VALUES {tails_}) t(idx, tail)),
 lo AS (SELECT *, row_number() OVER (PARTITION BY config_id, eom, sector, idx, ok AND hi > nl ORDER BY s, entity) AS lo FROM tl),
@@ -304,8 +317,7 @@ cp AS (SELECT *, base * (leg - m * {cap}) / below > {cap} + 1e-12 AS capped FROM
 w3 AS (SELECT config_id, entity, eom, side * CASE WHEN capped THEN {cap} ELSE base * (leg - {cap} * count(*) FILTER (capped) OVER g) / sum(base) FILTER (NOT capped) OVER g END AS weight
        FROM cp WINDOW g AS (PARTITION BY config_id, eom, side))"""
 
-
-SQL["book_v3"] = f"WITH {_tail_sql(S.v3_smooth, 0.2)} SELECT CAST(config_id AS BIGINT) AS config_id, entity, eom, round(weight, 9) AS weight FROM w3"
+SQL["book_v3"] = f"WITH {_tail_sql([(a, 0, 0) for a in S.v3_smooth], 0.2)} SELECT CAST(config_id AS BIGINT) AS config_id, entity, eom, round(weight, 9) AS weight FROM w3"
 
 SQL["book_v4_sides"] = f"""WITH {SCORED},
 h AS (SELECT *, count(*) OVER (PARTITION BY entity ORDER BY mi RANGE BETWEEN 23 PRECEDING AND CURRENT ROW) AS nh FROM p WHERE ret IS NOT NULL),

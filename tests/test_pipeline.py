@@ -55,7 +55,7 @@ def test_a_run_of_all_books(spark, world, tmp_path):
     report = pipeline.pack(out, df, None)
     assert report["unlabelled"] == 0 and report["composition"].count() == 1 and report["holdings"].count() == out.weights.count() and report["statistics"] is out.stats
     desk, grid = pipeline.Desk(df, market, S), spark.createDataFrame([(0, 1.0)], "config_id long, smooth double")
-    got = pipeline.ablations(desk, df, ["f0", "f1"], [2001], S, "ridge", "v3", grid, {"f0": ["f0"]})
+    got = pipeline.ablations(desk, df, {"all": (["f0", "f1"], "ridge"), "without_f0": (["f1"], "ridge")}, [2001], S, "v3", grid)
     assert set(got) == {"all", "without_f0"} and got["all"]["test_ic"] > got["without_f0"]["test_ic"] + 0.1
     assert got["all"]["has_filing_ic"] is not None and set(got["all"]["val_ic_by_year"]) == {2001}
 
