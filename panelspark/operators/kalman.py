@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_index
 from ..functions.ranks import clean
 from ..spec import Settings
+from . import selection
 
 BOUNDS = ((-8.0, 8.0), (-12.0, 3.0))
 
@@ -22,12 +23,12 @@ def prepare(df: DataFrame, measures: list[str], prior: str, buckets: int = 64, f
     """(bucket, entity, eom, t, fit, m, y0..): measures clipped to their 1st and 99th percentiles over the rows of ``fit``; m, the prior mean, is the median of
     ``prior`` in the entity's first known sector, else over all entities, else the median over months. Gaps between an entity's months stay gaps."""
     fit = F.lit(True) if fit is None else fit
-    got = df.where(fit).agg(*[F.percentile(clean(c).cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in measures]).first()
+    got = selection.bounds(df.where(fit), measures, [0.01, 0.99])
     d = df.withColumn("fit", fit)
     sector = F.min_by("sector", F.when(F.col("sector").isNotNull(), F.col(by))).over(Window.partitionBy("entity"))
     d = d.withColumn("_sec", sector)
-    by_sector = df.groupBy(by, F.col("sector").alias("_sec")).agg(F.median(clean(prior).cast("double")).alias("_ms"))
-    by_month = df.groupBy(by).agg(F.median(clean(prior).cast("double")).alias("_ma"))
+    by_sector = selection.medians(df, [prior], [by, "sector"]).withColumnsRenamed({"sector": "_sec", prior: "_ms"})
+    by_month = selection.medians(df, [prior], [by]).withColumnRenamed(prior, "_ma")
     over = by_month.agg(F.median("_ma").alias("_mm"))
     d = d.join(by_sector, [by, "_sec"], "left").join(F.broadcast(by_month), by, "left").crossJoin(F.broadcast(over))  # a row a month, one row
     clip = lambda c: F.when(clean(c).isNotNull(), F.greatest(F.least(clean(c).cast("double"), F.lit(got[c][1])), F.lit(got[c][0]))) if got[c] else F.lit(None).cast("double")

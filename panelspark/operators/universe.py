@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..spec import Settings
+from . import selection
 
 
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,18 +64,8 @@ def preprocess(univ: DataFrame, columns: list[str], code: str, train: Column, s:
 
 
 def clip_quantiles(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, fit: Column | None = None, interpolation: str = "linear") -> DataFrame:
-    """Clip each column to its quantiles over the rows of ``fit`` (all rows by default); one pass finds every bound."""
-    base = df if fit is None else df.where(fit)
-    if interpolation == "linear":
-        got = base.agg(*[F.percentile(ranks.clean(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
-    else:
-        # two passes for all columns: how many values each has, then the values standing at the nearest places
-        n = base.agg(*[F.count(ranks.clean(c)).alias(c) for c in columns]).first()
-        share = lambda c, q: int(q * (n[c] - 1) + 0.5) / max(1, n[c] - 1)
-        held = [c for c in columns if n[c]]
-        got = dict.fromkeys(columns)
-        if held:
-            got |= base.agg(*[F.percentile(ranks.clean(c).cast("double"), F.array(F.lit(share(c, low)), F.lit(share(c, high)))).alias(c) for c in held]).first().asDict()
+    """Clip each column to its quantiles over the rows of ``fit`` (all rows by default), found by selection for all columns at once; a column without values stays as it is."""
+    got = selection.bounds(df if fit is None else df.where(fit), columns, [low, high], interpolation)
     return df.withColumns({c: F.when(ranks.clean(c).isNotNull(), F.greatest(F.least(clean_double(c), F.lit(got[c][1])), F.lit(got[c][0]))) for c in columns if got[c]})
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.dates import month_index, next_month_end
-from ..operators import joins, metrics, text, universe
+from ..operators import joins, metrics, ranging, selection, text, universe
 from ..sources import adapters
+from ..sources.tables import Materializer
 from ..spec import Settings
 
 S = Settings()
@@ -149,19 +150,20 @@ def short_eligible_grid(spark, d):
 
 @query("pct_rank_avg", f"WITH {PART} SELECT entity, eom, {r(avg_rank_sql('n_lines', 'eom') + ' / count(n_lines) OVER (PARTITION BY eom)', 'pct')} FROM p")
 def pct_rank_avg(spark, d):
-    return rounded(adapters.panel_part(spark, d).select("entity", "eom", ranks.pct_rank("n_lines", "eom").alias("pct")), "pct")
+    p = ranging.ranked(adapters.panel_part(spark, d).select("entity", "eom", "n_lines"), "n_lines", "eom", ["entity"])
+    return rounded(p.select("entity", "eom", ranging.percent().alias("pct")), "pct")
 
 
 @query("quantile_nearest", f"WITH {PART}, c AS (SELECT eom, revenue, row_number() OVER (PARTITION BY eom ORDER BY revenue) AS rn, round((count(*) OVER (PARTITION BY eom) - 1) * 0.2) + 1 AS place FROM p) SELECT eom, max(revenue) AS cut, count(*) AS n FROM c WHERE rn = place GROUP BY eom")
 def quantile_nearest(spark, d):
-    p = ranks.with_quantile(adapters.panel_part(spark, d), "cut", "revenue", 0.2, "eom")
-    return p.where("cut = revenue").groupBy("eom").agg(F.max("cut").alias("cut"), F.count_distinct("cut").alias("n"))
+    cut = selection.quantiles(adapters.panel_part(spark, d), ["revenue"], [0.2], ["eom"], "nearest")
+    return cut.select("eom", F.col("value").alias("cut"), F.lit(1).cast("long").alias("n"))
 
 
 @query("quantile_linear", f"WITH {PART} SELECT eom, {r('quantile_cont(revenue, 0.2)', 'cut')} FROM p GROUP BY eom")
 def quantile_linear(spark, d):
-    p = ranks.with_quantile(adapters.panel_part(spark, d), "cut", "revenue", 0.2, "eom", "linear")
-    return rounded(p.groupBy("eom").agg(F.max("cut").alias("cut")), "cut")
+    cut = selection.quantiles(adapters.panel_part(spark, d), ["revenue"], [0.2], ["eom"])
+    return rounded(cut.select("eom", F.col("value").alias("cut")), "cut")
 
 
 def _dense_sql(x: str) -> str:
@@ -204,13 +206,14 @@ def sector_code(spark, d):
 
 @query("decile_labels", f"WITH {PART} SELECT entity, eom, CAST(floor(10 * (row_number() OVER (PARTITION BY eom ORDER BY target, entity) - 1) / count(*) OVER (PARTITION BY eom)) AS INTEGER) AS label FROM p WHERE target IS NOT NULL")
 def decile_labels(spark, d):
-    p = adapters.panel_part(spark, d).where("target IS NOT NULL")
-    return p.select("entity", "eom", ranks.decile("target", "eom", "entity").alias("label"))
+    p = ranging.ranked(adapters.panel_part(spark, d).where("target IS NOT NULL").select("entity", "eom", "target"), "target", "eom", ["entity"])
+    return p.select("entity", "eom", ranging.tenth().alias("label"))
 
 
 @query("score_rank_scaled", f"WITH {PART} SELECT entity, eom, {r(f'CASE WHEN count(revenue) OVER (PARTITION BY eom) > 1 THEN ({RANK_REVENUE} - 1) / (count(revenue) OVER (PARTITION BY eom) - 1) * 2 - 1 ELSE 0.0 END', 'score_rank')} FROM p")
 def score_rank_scaled(spark, d):
-    return rounded(adapters.panel_part(spark, d).select("entity", "eom", ranks.rank_scaled("revenue", "eom").alias("score_rank")), "score_rank")
+    p = ranging.ranked(adapters.panel_part(spark, d).select("entity", "eom", "revenue"), "revenue", "eom", ["entity"])
+    return rounded(p.select("entity", "eom", ranging.scaled().alias("score_rank")), "score_rank")
 
 
 @query("zscore_month", f"WITH {PART} SELECT entity, eom, {r('coalesce((revenue - avg(revenue) OVER w) / nullif(stddev_samp(revenue) OVER w, 0), 0.0)', 'z')}, {r('coalesce((lr - avg(lr) OVER w) / nullif(stddev_samp(lr) OVER w, 0), 0.0)', 'size_z')} FROM (SELECT *, CASE WHEN revenue > 0 THEN ln(revenue) END AS lr FROM p) WINDOW w AS (PARTITION BY eom)")
@@ -221,9 +224,9 @@ def zscore_month(spark, d):
 
 @query("median_fill", f"WITH {PART} SELECT entity, eom, {r('coalesce(ret, median(ret) OVER (PARTITION BY eom), (SELECT median(ret) FROM p))', 'filled')} FROM p")
 def median_fill(spark, d):
-    p = adapters.panel_part(spark, d)
-    all_ = p.agg(F.median("ret").alias("all_median"))
-    return rounded(p.crossJoin(F.broadcast(all_)).select("entity", "eom", F.coalesce(ranks.median_filled("ret", "eom"), "all_median").alias("filled")), "filled")
+    p = Materializer(spark).scratch(adapters.panel_part(spark, d).select("entity", "eom", "ret"), "returns")  # read three times
+    p = selection.median_filled(p, ["ret"])
+    return rounded(p.select("entity", "eom", F.col("ret").alias("filled")), "filled")
 
 
 @query("clip_p1_p99", f"WITH {PART}, b AS (SELECT quantile_cont(ret, 0.01) AS lo, quantile_cont(ret, 0.99) AS hi FROM p WHERE eom <= DATE '1999-12-31') SELECT entity, eom, {r('greatest(least(ret, hi), lo)', 'clipped')} FROM p, b WHERE ret IS NOT NULL")
@@ -260,7 +263,8 @@ def size_group_lists(spark, d):
 
 @query("prediction_score", f"WITH {PART} SELECT entity, eom, {r(f'2 * {RANK_LINES} / (count(n_lines) OVER (PARTITION BY eom) + 1) - 1', 'score')} FROM p")
 def prediction_score(spark, d):
-    return rounded(adapters.panel_part(spark, d).select("entity", "eom", universe.prediction_score("n_lines").alias("score")), "score")
+    p = ranging.ranked(adapters.panel_part(spark, d).select("entity", "eom", "n_lines"), "n_lines", "eom", ["entity"])
+    return rounded(p.select("entity", "eom", ranging.prediction().alias("score")), "score")
 
 
 @query("walk_forward_tags", f"WITH {PART}, t AS (SELECT last_day(eom + INTERVAL 1 DAY) AS tm, target FROM p WHERE target IS NOT NULL), y AS (SELECT unnest([1999, 2000, 2001]) AS test_year), x AS (SELECT test_year, CASE WHEN tm < make_date(test_year - 2, 1, 1) THEN 'train' WHEN tm < make_date(test_year, 1, 1) THEN 'val' WHEN tm < make_date(test_year + 1, 1, 1) THEN 'test' END AS part FROM t, y) SELECT test_year, part, count(*) AS n FROM x WHERE part IS NOT NULL GROUP BY 1, 2")
