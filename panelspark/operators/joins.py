@@ -37,15 +37,17 @@ def fill_labels(keys: DataFrame, other: DataFrame, columns: list[str], by: str,
     return out
 
 
-def trailing(keys: DataFrame, facts: DataFrame, offsets: range, aggs: list[Column], entity: str = "entity", date: str = "eom", period: str = "month") -> DataFrame:
-    """Aggregate facts(entity, idx, ...) over the periods idx - o, o in offsets, for each (entity, date) of keys.
+def trailing(keys: DataFrame, facts: DataFrame, offsets: range, aggs: dict[str, Column], entity: str = "entity", date: str = "eom", period: str = "month") -> DataFrame:
+    """(entity, date, aggs) over facts(entity, idx, ...) of the periods idx - o, o in offsets (one after another), for each (entity, date) of keys.
 
-    Keys are exploded over the few offsets and meet the facts in an equi-join: a range join without a range.
-    Keys without facts in their window don't appear.
+    Keys and facts stand in one line per entity and every key looks back over a range of it: each row is sent once. The aggregates must skip nulls, which keys have for
+    the facts' columns. Keys without facts in their window don't appear.
     """
-    k = keys.select(entity, date).withColumn("_i", period_index(F.col(date), period))
-    k = k.withColumn("idx", F.explode(F.array(*[F.col("_i") - o for o in offsets]))).drop("_i")
-    return k.join(facts, [entity, "idx"]).groupBy(entity, date).agg(*aggs)
+    asked = keys.select(entity, date).distinct().withColumn("idx", period_index(F.col(date), period))
+    line = facts.withColumn("_fact", F.lit(1)).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy(entity).orderBy("idx").rangeBetween(-max(offsets), -min(offsets))
+    found = line.select(entity, date, F.sum("_fact").over(w).alias("_n"), *[agg.over(w).alias(name) for name, agg in aggs.items()])
+    return found.where(F.col(date).isNotNull() & (F.col("_n") > 0)).drop("_n")
 
 
 def market_full(a: DataFrame, b: DataFrame, on: str = "eom") -> DataFrame:

@@ -33,7 +33,7 @@ def event_flags(filings: DataFrame, keys: DataFrame, flags: list[str], counted:
     history = [f"hist_{item_name(x)}" for x in counted]
     m = f.groupBy(entity, out).agg(F.count(F.lit(1)).alias("n_filings"), *[F.max(c).alias(c) for c in current], *[F.sum(c).alias(c) for c in history])
     facts = m.select(entity, period_index(F.col(out), period).alias("idx"), *history)
-    past = trailing(keys, facts, range(span), [F.sum(c).alias(c) for c in history], entity, out, period)
+    past = trailing(keys, facts, range(span), {c: F.sum(c) for c in history}, entity, out, period)
     got = keys.select(entity, out).join(m.select(entity, out, "n_filings", *current), [entity, out], "left")
     got = got.withColumn("has_filing", F.col("n_filings").isNotNull().cast("int")).join(past, [entity, out], "left")
     return got.select(entity, out, "has_filing", "n_filings", *current, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in history])
@@ -148,7 +148,7 @@ def tone_features(filings: DataFrame, tones: DataFrame, keys: DataFrame, entity:
     f = filings.select("document_id", entity, month_end(F.col(date)).alias("eom")).join(tones, "document_id").where("tone_mean IS NOT NULL")
     m = f.groupBy(entity, "eom").agg(F.avg("tone_mean").alias("tone_mean"), F.min("tone_min").alias("tone_min"))
     facts = m.select(entity, month_index(F.col("eom")).alias("idx"), "tone_mean")
-    past = trailing(keys, facts, range(1, span + 1), [F.avg("tone_mean").alias("_past")], entity)
+    past = trailing(keys, facts, range(1, span + 1), {"_past": F.avg("tone_mean")}, entity)
     out = keys.select(entity, "eom").join(m, [entity, "eom"], "left").join(past, [entity, "eom"], "left")
     return out.select(entity, "eom", "tone_mean", "tone_min", (F.col("tone_mean") - F.col("_past")).alias("tone_surprise"))
 
@@ -167,28 +167,70 @@ def normalised_quote(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
-def verify_quotes(facts: DataFrame, filings: DataFrame, formation: Column | None = None, block: int = 500) -> DataFrame:
+def _shifted(words: Column, n: int) -> Column:
+    """Every n words in a row as a struct with fields 0 to n - 1. The array is evaluated once a shift, not once an element."""
+    parts = [F.slice(words, k + 1, F.greatest(F.size(words), F.lit(0))) for k in range(n)]
+    return F.filter(F.arrays_zip(*parts), lambda x: x[str(n - 1)].isNotNull())
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of every n words in a row, each once."""
+    return F.array_distinct(F.transform(_shifted(words, n), lambda x: F.xxhash64(F.lit(n), *[x[str(k)] for k in range(n)])))
+
+
+def _pieces(word: Column) -> Column:
+    """What a word can be found by: its pieces of one to three characters (any), its first (start) and last (end) ones."""
+    size = F.length(word)
+
+    def cut(n: int) -> Column:
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+    inside = F.array_distinct(F.concat(*[cut(n) for n in (1, 2, 3)]))
+    return F.concat(F.transform(inside, lambda p: F.concat(F.lit("any "), p)), *[F.array(F.concat(F.lit("start "), F.substring(word, 1, n)), F.concat(F.lit("end "), F.substring(word, -n, n))) for n in (1, 2, 3)])
+
+
+def _short_met(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of quotes (_q) of one or two words those that stand in a text (_d, _t): by a list of the texts' distinct words, found by pieces of three characters, and for
+    two words the pairs of neighbours that start with a word ending in the first."""
+    words = F.split("_q", " ")
+    one = quotes.where(F.size(words) == 1).select("_q", F.lit("any").alias("how"), F.col("_q").alias("part"))
+    two = quotes.where(F.size(words) == 2)
+    parts = one.unionByName(two.select("_q", F.lit("end").alias("how"), words[0].alias("part"))).unionByName(two.select("_q", F.lit("start").alias("how"), words[1].alias("part")))
+    probe = F.when(F.col("how") == "end", F.expr("right(part, 3)")).otherwise(F.expr("left(part, 3)"))
+    parts = parts.withColumn("piece", F.concat("how", F.lit(" "), probe))
+    listed = texts.select(F.explode(F.array_distinct(F.split("_t", " "))).alias("w")).distinct()
+    pieces = listed.select("w", F.explode(F.array_distinct(_pieces(F.col("w")))).alias("piece")).join(parts.select("piece").distinct(), "piece", "left_semi")
+    fits = F.when(F.col("how") == "any", F.contains("w", "part")).when(F.col("how") == "end", F.endswith("w", "part")).otherwise(F.startswith("w", "part"))
+    hits = pieces.join(parts, "piece").where(fits).select("_q", "how", "w").distinct()
+    ends, starts = hits.where("how = 'end'").select("_q", F.col("w").alias("w1")), hits.where("how = 'start'").select("_q", F.col("w").alias("w2"))
+    near = F.explode(F.array_distinct(F.transform(_shifted(F.split("_t", " "), 2), lambda x: F.struct(x["0"].alias("w1"), x["1"].alias("w2")))))
+    pairs = texts.select(near.alias("p")).select("p.*").join(ends.select("w1").distinct(), "w1", "left_semi").distinct()
+    return hits.where("how = 'any'").select("_q").unionByName(pairs.join(ends, "w1").join(starts, ["_q", "w2"]).select("_q")).distinct()
+
+
+def verify_quotes(facts: DataFrame, filings: DataFrame, formation: Column | None = None) -> DataFrame:
     """Facts (fact_id, quote, document_id or null) whose quote stands in the named filing, or in any for a null id. An empty quote, an unknown
     id, or a filing after ``formation`` doesn't count.
 
-    A quote without an id is looked for by its longest inner word, which any text with the quote holds as a word: an equi-join on words, then
-    containment. Quotes without an inner word, of one or two words, are asked of all texts in blocks of ``block``.
+    All words of a quote but its ends are whole words of a text that has it. So a quote without an id is looked for by hashed runs of three of these words (single
+    words where it has fewer): the texts' runs that any quote asks for make lists of documents, each quote takes its rarest list, and only these documents are read for it. Quotes of one or two
+    words, which have no inner word, go by the list of words: see _short_met().
     """
     f = filings if formation is None else filings.where(F.col("filing_date") <= formation)
-    f = f.select(F.col("document_id").alias("_d"), normalised_quote(F.col("text")).alias("_t"))
+    f = f.select(F.col("document_id").alias("_d"), normalised_quote(F.col("text")).alias("_t")).where("_t IS NOT NULL")
     q = facts.withColumn("_q", normalised_quote(F.col("quote"))).where("_q <> ''")
     named = q.where("document_id IS NOT NULL").join(f, F.col("document_id") == F.col("_d")).where(F.contains("_t", "_q"))
     words = F.split("_q", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    loose = q.where("document_id IS NULL").select("_q").distinct().withColumn("_w", F.when(F.size(words) > 2, longest))
-    wanted = loose.where("_w IS NOT NULL").select("_w").distinct()
-    held = f.select("_d", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w")).join(wanted, "_w", "left_semi")
-    met = held.join(loose, "_w").select("_d", "_q").distinct().join(f, "_d").where(F.contains("_t", "_q")).select("_q")
-    short = [r["_q"] for r in loose.where("_w IS NULL").select("_q").collect()]  # one or two words each, of the facts of one run
-    for i in range(0, len(short), block):
-        asked = F.array(*[F.lit(x) for x in short[i : i + block]])
-        met = met.unionByName(f.select(F.explode(F.filter(asked, lambda x: F.contains(F.col("_t"), x))).alias("_q")))
+    loose = q.where("document_id IS NULL").select("_q").distinct()
+    asked = loose.select("_q", F.explode(F.when(F.size(inner) >= 3, _runs(inner, 3)).otherwise(_runs(inner, 1))).alias("g"))
+    text_words = F.split("_t", " ")
+    lists = f.select("_d", F.explode(F.concat(_runs(text_words, 3), _runs(text_words, 1))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    sizes = asked.join(lists.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g", "left")  # a run that no text has settles its quote
+    rarest = sizes.groupBy("_q").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    met = lists.join(rarest, "g").select("_d", "_q").join(f, "_d").where(F.contains("_t", "_q")).select("_q").distinct()
+    met = met.unionByName(_short_met(loose.where(F.size(words) <= 2), f))
     anywhere = q.where("document_id IS NULL").join(met.distinct(), "_q", "left_semi")
     return named.select(*facts.columns).unionByName(anywhere.select(*facts.columns))
 

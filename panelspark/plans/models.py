@@ -63,7 +63,7 @@ def risk_model(spark, d) -> tuple[DataFrame, list[str]]:
 def ridge_scores(spark, d):
     r = ranked(spark, d)
     w, c = learn.ridge(r, FEATURES, "target", 10.0, F.col("eom") <= F.lit("1998-12-31").cast("date"))
-    return r.select("entity", "eom", learn.linear_score(FEATURES, w, c).alias("score"))
+    return rel.rounded(r.select("entity", "eom", learn.linear_score(FEATURES, w, c).alias("score")), "score")
 
 
 @query("ridge_walk_forward")
@@ -346,6 +346,29 @@ def _correlations() -> str:
 
 SQL["month_rank_correlations"] = _correlations()
 
+
+def _scaled_sql() -> str:
+    """f: the features of the part panel as ranks in [-1, 1], with the target."""
+    scaled = ", ".join(f"coalesce(CASE WHEN max({c}) OVER (PARTITION BY eom) > 0 THEN {c} * 1.0 / max({c}) OVER (PARTITION BY eom) * 2 - 1 ELSE 0.0 END, 0.0) AS {c}" for c in FEATURES)
+    return f"{rel.PART}, d AS (SELECT entity, eom, target, {', '.join(f'{rel._dense_sql(c)} AS {c}' for c in FEATURES)} FROM p), f AS (SELECT entity, eom, target, {scaled} FROM d)"
+
+
+def _ridge_sql(alpha: float, last: str) -> str:
+    """Normal equations, solved by elimination: step p clears column p of every other row."""
+    k = len(FEATURES)
+    cov = lambda a, b: f"sum({a} * {b}) - count(*) * avg({a}) * avg({b})"
+    cells = [f"{cov(a, b)}{f' + {alpha}' if a == b else ''} AS a{i}_{j}" for i, a in enumerate(FEATURES) for j, b in enumerate([*FEATURES, "target"])]
+    steps = [f"e0 AS (SELECT {', '.join(cells)}, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(FEATURES))}, avg(target) AS my FROM f WHERE target IS NOT NULL AND eom <= DATE '{last}')"]
+    for p in range(k):
+        new = [f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" if i != p else f"a{i}_{j}" for i in range(k) for j in range(k + 1)]
+        steps.append(f"e{p + 1} AS (SELECT {', '.join(new)}, {', '.join(f'm{i}' for i in range(k))}, my FROM e{p})")
+    w = [f"a{i}_{k} / a{i}_{i}" for i in range(k)]
+    steps.append(f"sol AS (SELECT {', '.join(f'{x} AS w{i}' for i, x in enumerate(w))}, my - ({' + '.join(f'm{i} * {x}' for i, x in enumerate(w))}) AS c FROM e{k})")
+    return ", ".join(steps)
+
+
+SQL["ridge_scores"] = f"WITH {_scaled_sql()}, {_ridge_sql(10.0, '1998-12-31')} SELECT entity, eom, {rel.r('c + ' + ' + '.join(f'w{i} * {x}' for i, x in enumerate(FEATURES)), 'score')} FROM f, sol"
+
 SQL["gru_windows"] = f"""WITH {rel.SUPP}, c AS (SELECT entity, eom, mi, lag(mi) OVER w = mi - 1 AS ok, revenue - lag(revenue) OVER w AS a, qty - lag(qty) OVER w AS b FROM p WINDOW w AS (PARTITION BY entity ORDER BY eom)),
 g AS (SELECT x.entity, x.eom, o, y.mi IS NOT NULL AS hit, coalesce(y.a + 2 * y.b, 0.0) AS v FROM c x CROSS JOIN (SELECT unnest(range(0, 11)) AS o) LEFT JOIN c y ON y.entity = x.entity AND y.mi = x.mi - 10 + o AND y.ok)
 SELECT entity, eom, count(*) FILTER (hit) AS n_valid, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY o) AS mask, round(sum((o + 1) * v), 2) + 0.0 AS changes FROM g GROUP BY entity, eom"""

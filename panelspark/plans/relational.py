@@ -295,14 +295,14 @@ CUST = "c AS (SELECT o_custkey AS entity, last_day(CAST(o_orderdate AS DATE)) AS
 def trailing_counts(spark, d):
     c = adapters.panel_cust(spark, d)
     facts = c.select("entity", month_index(F.col("eom")).alias("idx"), "n_orders")
-    return joins.trailing(c, facts, range(12), [F.sum("n_orders").alias("n12")])
+    return joins.trailing(c, facts, range(12), {"n12": F.sum("n_orders")})
 
 
 @query("trailing_surprise", f"WITH {CUST}, h AS (SELECT a.entity, a.eom, avg(b.total) AS past FROM ci a JOIN ci b ON a.entity = b.entity AND b.mi BETWEEN a.mi - 12 AND a.mi - 1 GROUP BY 1, 2) SELECT c.entity, c.eom, {r('c.total - past', 'surprise')} FROM c LEFT JOIN h USING (entity, eom)")
 def trailing_surprise(spark, d):
     c = adapters.panel_cust(spark, d)
     facts = c.select("entity", month_index(F.col("eom")).alias("idx"), "total")
-    past = joins.trailing(c, facts, range(1, 13), [F.avg("total").alias("past")])
+    past = joins.trailing(c, facts, range(1, 13), {"past": F.avg("total")})
     return rounded(c.join(past, ["entity", "eom"], "left").select("entity", "eom", (F.col("total") - F.col("past")).alias("surprise")), "surprise")
 
 

@@ -189,9 +189,20 @@ def test_importance_finds_the_feature_that_matters(spark):
     tagged = learn.tag_windows(learn.labelled(df, features), [2000])
     got = {tuple(r["members"]): r["drop"] for r in learn.importance(tagged, features, models, {2000: {0.75: [["f0"], ["f1", "f2"]]}}, s).collect()}
     assert got[("f0",)] > 0.4 > 0.1 > abs(got[("f1", "f2")])
-    days = np.repeat([1, 2, 3], 5)
-    moved = learn.within_months(days, 7)
-    assert sorted(moved) == list(range(15)) and (days[moved] == days).all() and (moved != np.arange(15)).any()
+    # the same figures from all months at once, rows moved month by month
+    model, trees, _ = models[2000]
+    val = tagged.where("part = 'val'").toPandas().sort_values(["eom", "entity"]).reset_index(drop=True)
+    days, y = learn._days(val, "eom"), val["target"].to_numpy(float)
+    base = learn.mean_ic(days, model.predict(learn._matrix(val, features), trees), y)
+    for members, drop in got.items():
+        falls = []
+        for k in range(s.cfi_repeats):
+            x = val[features].copy()
+            for rows in learn.month_groups(days):
+                order = np.random.default_rng([s.seed + k, int(days[rows[0]])]).permutation(len(rows))
+                x.loc[rows, list(members)] = val.loc[rows[order], list(members)].to_numpy()
+            falls.append(base - learn.mean_ic(days, model.predict(learn._matrix(x, features), trees), y))
+        assert drop == pytest.approx(np.mean(falls), abs=1e-9)
     scores, told = learn.selected_schedule(df, features, ["f0", "f1"], [2000], s)
     assert told[2000]["val_ic"] >= told[2000]["base_ic"] and "f0" in told[2000]["factors"]
     info = learn.infos(scores).first()
@@ -447,7 +458,48 @@ def test_agent_keeps_a_cache_file(spark, tmp_path):
 def test_quotes_are_found_wherever_they_stand(spark):
     f = frame(spark, [(i, date(2020, 1, 1 + i % 9), f"Start {i} words a\u2009b \u201cc\u201d tail{i}") for i in range(30)], "document_id long, filing_date date, text string")
     facts = frame(spark, [(0, "tail7", None), (1, "ail3", None), (2, "start 4 WORDS a b", None), (3, "words a b nothing", None), (4, "s a", None), (5, "", None), (6, "start 5", 5), (7, "start 5", 6), (8, "x", 99), (9, 'b "c"', None)], "fact_id long, quote string, document_id long")
-    assert sorted(r["fact_id"] for r in text.verify_quotes(facts, f, block=2).collect()) == [0, 1, 2, 4, 6, 9]
+    assert sorted(r["fact_id"] for r in text.verify_quotes(facts, f).collect()) == [0, 1, 2, 4, 6, 9]
+
+
+def test_quotes_with_words_that_every_text_holds(spark):
+    """Hot words, quotes by their ends only, repeated words, and a text that is empty."""
+    texts = [f"the the the of {a}the {b} the of the end{i}" for i, (a, b) in enumerate((x, y) for x in ("un", "over", "") for y in ("fold", "ad", "the"))] + ["", None]
+    f = frame(spark, [(i, date(2020, 1, 1), t) for i, t in enumerate(texts)], "document_id long, filing_date date, text string")
+    quotes = ["the", "the of", "he o", "the the the", "the the the the the", "of unthe fold the", "of unthe fold the of the end0", "n fold", "nthe fo", "verthe ad", "verthe adx", "d0 the", "zz", "e", "the end8", "of the the the the of", "the  the", "f overthe the the o", "absent words in the of the run"]
+    facts = frame(spark, [(i, q, None) for i, q in enumerate(quotes)], "fact_id long, quote string, document_id long")
+    plain = [" ".join((t or "").lower().split()) for t in texts]
+    want = {i for i, q in enumerate(quotes) if any(" ".join(q.lower().split()) in t for t in plain)}
+    assert {r["fact_id"] for r in text.verify_quotes(facts, f).collect()} == want and 3 < len(want) < len(quotes)
+
+
+def test_trailing_against_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(e), int(i), float(v)) for e, i, v in zip(rng.integers(0, 5, 200), rng.integers(600, 640, 200), rng.normal(size=200))]
+    keys = sorted({(e, date(50 + (i - 1) // 12, (i - 1) % 12 + 1, 28)) for e, i, _ in rows} | {(9, date(52, 1, 28)), (0, date(55, 1, 28))})
+    k, facts = frame(spark, [*keys, keys[0]], "entity long, eom date"), frame(spark, rows, "entity long, idx int, v double")
+    for offsets in (range(12), range(1, 13), range(1)):
+        got = {(r["entity"], r["eom"]): (r["s"], r["m"]) for r in joins.trailing(k, facts, offsets, {"s": F.sum("v"), "m": F.avg("v")}).collect()}
+        want = {}
+        for e, t in keys:
+            found = [v for a, i, v in rows if a == e and t.year * 12 + t.month - i in offsets]
+            if found:
+                want[e, t] = (sum(found), sum(found) / len(found))
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_many_columns_are_one_aggregate(spark):
+    """147 features: the plan has one sum, and weights are those of the closed form."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 147)).round(3)
+    y = x[:, 0] - 0.5 * x[:, 146] + 0.1 * rng.normal(size=400)
+    names = [f"c{i}" for i in range(147)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=y)).repartition(3)
+    w, c = learn.ridge(df, names, "y", 2.0, F.lit(True))
+    xc = x - x.mean(0)
+    want = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(147), xc.T @ (y - y.mean()))
+    assert np.allclose(w, want, atol=1e-8) and c == pytest.approx(y.mean() - x.mean(0) @ want, abs=1e-8)
+    m = learn.moments(df, names[:2], "y", F.col("c0") > 0)
+    assert m[0, 0] == (x[:, 0] > 0).sum() and m[1, 2] == pytest.approx((x[:, 0] * x[:, 1])[x[:, 0] > 0].sum())
 
 
 def test_filings_are_scored_without_names(spark):
