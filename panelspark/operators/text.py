@@ -217,21 +217,34 @@ def verify_quotes(facts: DataFrame, filings: DataFrame, formation: Column | None
     words where it has fewer): the texts' runs that any quote asks for make lists of documents, each quote takes its rarest list, and only these documents are read for it. Quotes of one or two
     words, which have no inner word, go by the list of words: see _short_met().
     """
+    from ..sources.tables import Materializer
+
+    keep = Materializer(filings.sparkSession)
     f = filings if formation is None else filings.where(F.col("filing_date") <= formation)
     f = f.select(F.col("document_id").alias("_d"), normalised_quote(F.col("text")).alias("_t")).where("_t IS NOT NULL")
     q = facts.withColumn("_q", normalised_quote(F.col("quote"))).where("_q <> ''")
     named = q.where("document_id IS NOT NULL").join(f, F.col("document_id") == F.col("_d")).where(F.contains("_t", "_q"))
     words = F.split("_q", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    loose = q.where("document_id IS NULL").select("_q").distinct()
-    asked = loose.select("_q", F.explode(F.when(F.size(inner) >= 3, _runs(inner, 3)).otherwise(_runs(inner, 1))).alias("g"))
-    text_words = F.split("_t", " ")
-    lists = f.select("_d", F.explode(F.concat(_runs(text_words, 3), _runs(text_words, 1))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
-    sizes = asked.join(lists.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g", "left")  # a run that no text has settles its quote
-    rarest = sizes.groupBy("_q").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
-    met = lists.join(rarest, "g").select("_d", "_q").join(f, "_d").where(F.contains("_t", "_q")).select("_q").distinct()
-    met = met.unionByName(_short_met(loose.where(F.size(words) <= 2), f))
-    anywhere = q.where("document_id IS NULL").join(met.distinct(), "_q", "left_semi")
+    # kept as tables, so that the planner knows how large they are when texts meet them
+    loose = keep.scratch(q.where("document_id IS NULL").select("_q").distinct(), "loose")
+    n = F.when(F.size(inner) >= 3, F.lit(3)).otherwise(F.lit(1))
+    asked = keep.scratch(loose.select("_q", n.alias("n"), F.explode(F.when(F.size(inner) >= 3, _runs(inner, 3)).otherwise(_runs(inner, 1))).alias("g")), "asked")
+    met = loose.limit(0)
+    lengths = [r["n"] for r in asked.select("n").distinct().collect()]  # 1, 3 or both
+    if lengths:
+        text_words = F.split("_t", " ")
+        wanted = keep.scratch(asked.select("g").distinct(), "wanted")
+        lists = keep.scratch(f.select("_d", F.explode(F.concat(*[_runs(text_words, k) for k in lengths])).alias("g")).join(wanted, "g", "left_semi"), "lists")
+        sizes = asked.join(lists.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("n", "size"), "g", "left")  # a run that no text has settles its quote
+        rarest = sizes.groupBy("_q").agg(F.min_by("g", F.struct(F.coalesce("size", F.lit(0)), "g")).alias("g"))
+        pairs = keep.scratch(lists.join(rarest, "g").select("_d", "_q").distinct(), "pairs")
+        met = pairs.join(f, "_d").where(F.contains("_t", "_q")).select("_q").distinct()
+    short = loose.where(F.size(words) <= 2)
+    if short.limit(1).count():
+        met = met.unionByName(_short_met(short, f))
+    met = keep.scratch(met.distinct(), "met")
+    anywhere = q.where("document_id IS NULL").join(met, "_q", "left_semi")
     return named.select(*facts.columns).unionByName(anywhere.select(*facts.columns))
 
 
