@@ -9,7 +9,11 @@
 4. A window of two documents is repeated. Its first place, by (document, word), is kept; the others may go: a word goes only if an earlier place
    holds a window around it. A longer passage is the union of its windows.
 
-Equal texts are handled once, under their digest: of several, all but the first repeat in whole.
+A document is a key and a text: rows that share a key, or have none, are told apart by their texts. Keys ascend, null ones come last; under one key the
+texts' hashes decide. Equal texts are handled once, under their digest: of several, all but the first repeat in whole.
+
+Why windows and not each anchor's neighbours in a sorted suffix array: the neighbour that agrees longest to the right need not agree to the left. Two
+texts that share 30 words before a common sentence of 20, with other texts sorted between them, would be missed.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import Scratch, release, sealed, table, unsealed
+from .common import Scratch, release, sealed, shuffle_partitions, table, unsealed
 
 GRAM, WINDOW = 10, 41
 LEAST = GRAM + WINDOW - 1
 LAST_ID = (1 << 63) - 1
+TASK_ROWS = 1_000_000  # windows that a task sorts
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(LEAST)], np.uint64)
 _WORD = re.compile(r"\S+")
 
@@ -93,6 +98,17 @@ def _digest(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def _document(key: str):
+    """A key and whether it is null, in the order of documents."""
+    return F.struct(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(key).isNull().alias("none"))
+
+
+def _text_id(uid: str, none: str):
+    """63 bits of a text's hash under a sign that puts texts of null keys after those of the greatest key."""
+    h = F.xxhash64(uid)
+    return F.when(F.col(none), h.bitwiseAND(F.lit(LAST_ID))).otherwise(h.bitwiseOR(F.lit(-LAST_ID - 1)))
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     hashed = WordHash()
@@ -127,80 +143,94 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], names=["window", "at", "first", "id"])
 
 
-_MATCH = pa.schema([
-    ("kind", pa.int32()), ("window", pa.int64()), ("gram", pa.int32()), ("first", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()),
-    ("low_first", pa.int64()), ("low_pos", pa.int32()), ("high_first", pa.int64()), ("high_pos", pa.int32()),
-])
-_MATCH_SQL = "kind int, window long, gram int, first long, id long, pos int, low_first long, low_pos int, high_first long, high_pos int"
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's sorted windows: places of those that stand twice (kind 0), with the first and last place of each; the places of the task's first and
-    last window, which others may share (kind 1); and one row of each of these two with its first and last place (kind 2)."""
-    release()
-    data = list(batches)
-    if not sum(b.num_rows for b in data):
-        return
-    window, at, first, text = (np.concatenate([b[c].to_numpy() for b in data]) for c in ("window", "at", "first", "id"))
-    data.clear()
-    gram, pos = (at >> 32).astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32)
-    order = np.lexsort((pos, first, gram, window))
-    window, gram, first, text, pos = window[order], gram[order], first[order], text[order], pos[order]
-    starts = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (gram[1:] != gram[:-1])])
-    ends = np.r_[starts[1:], len(window)]
-    of = np.repeat(np.arange(len(starts)), ends - starts)
-    # the range sort is by (window, at, ...): all of a window's places with one shingle stand together, so borders are a task's first and last
-    edge = np.zeros(len(starts), bool)
-    edge[window[starts] == window[0]] = edge[window[starts] == window[-1]] = True
-    low, high = starts, ends - 1
-
-    def rows(kind: int, i: np.ndarray) -> pa.RecordBatch:
-        k = of[i]
-        columns = [window[i], gram[i], first[i], text[i], pos[i], first[low[k]], pos[low[k]], first[high[k]], pos[high[k]]]
-        return pa.record_batch([pa.array(np.full(len(i), kind, np.int32)), *map(pa.array, columns)], schema=_MATCH)
-
-    inner = np.flatnonzero(~edge[of] & (ends - starts > 1)[of])
-    for i in range(0, len(inner), 100_000):
-        yield rows(0, inner[i : i + 100_000])
-    outer = np.flatnonzero(edge[of])
-    for i in range(0, len(outer), 100_000):
-        yield rows(1, outer[i : i + 100_000])
-    yield rows(2, starts[edge])
+_PLACE = "first long, id long, pos int"
+_MATCH_SQL = f"kind int, window long, gram int, {_PLACE}, low_first long, low_id long, low_pos int, high_first long, high_id long, high_pos int, goes boolean"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+_MATCH = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in _MATCH_SQL.split(", "))])
+
+
+def _grouped(within: bool):
+    """Of a task's sorted windows: places of those that stand twice and whether they go (kind 0, with the first place of each); the places of the task's
+    first and last window, which others may share (kind 1); and one row of each of these two with its first and last place (kind 2)."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        data = list(batches)
+        if not sum(b.num_rows for b in data):
+            return
+        window, at, first, text = (np.concatenate([b[c].to_numpy() for b in data]) for c in ("window", "at", "first", "id"))
+        data.clear()
+        gram, pos = (at >> 32).astype(np.int32), (at & 0xFFFFFFFF).astype(np.int32)
+        order = np.lexsort((pos, text, first, gram, window))
+        window, gram, first, text, pos = window[order], gram[order], first[order], text[order], pos[order]
+        starts = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (gram[1:] != gram[:-1])])
+        ends = np.r_[starts[1:], len(window)]
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        # the range sort is by (window, at, ...): all of a window's places with one shingle stand together, so borders are a task's first and last
+        edge = np.zeros(len(starts), bool)
+        edge[window[starts] == window[0]] = edge[window[starts] == window[-1]] = True
+        other = lambda a, b: (first[a] != first[b]) | (text[a] != text[b])
+        place = lambda i, part="": {f"{part}first": first[i], f"{part}id": text[i], f"{part}pos": pos[i]}
+
+        def rows(kind: int, i: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+            columns |= place(i) | place(starts[of[i]], "low_") | {"kind": np.full(len(i), kind, np.int32)}
+            return pa.record_batch([pa.array(columns[f.name]) if f.name in columns else pa.nulls(len(i), f.type) for f in _MATCH], schema=_MATCH)
+
+        for from_ in range(0, len(window), 100_000):
+            i = np.arange(from_, min(from_ + 100_000, len(window)))
+            low, high, border = starts[of[i]], ends[of[i]] - 1, edge[of[i]]
+            many, far = other(low, high), pos[i] - pos[low] >= LEAST
+            if within:
+                many = many | far | (pos[high] - pos[i] >= LEAST)
+            told = many & ~border
+            yield rows(0, i[told], goes=(other(i, low) | far)[told])
+            b = i[border]
+            yield rows(1, b, window=window[b], gram=gram[b], **place(high[border], "high_"))
+        b = starts[edge]
+        yield rows(2, b, window=window[b], gram=gram[b], **place(ends[edge] - 1, "high_"))
+
+    return grouped
 
 
 def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
-    """(first, id, pos, goes, root): repeated windows by place; goes: an earlier place has it; root: the document of its first place."""
-    sorted_ = windows.repartitionByRange("window", "at", "first", "id").mapInArrow(_grouped, _MATCH_SQL)
+    """(first, id, pos, goes, root): repeated windows by place; goes: an earlier place has it; root: the key of its first place's document."""
+    spark = windows.sparkSession
+    tasks = max(shuffle_partitions(spark), -(-windows.count() // TASK_ROWS))
+    sorted_ = windows.repartitionByRange(tasks, "window", "at", "first", "id").mapInArrow(_grouped(within), _MATCH_SQL)
     met = scratch.keep(sorted_, "matches")
     scratch.drop(windows)
-    low, high = F.struct("low_first", "low_pos"), F.struct("high_first", "high_pos")
     # a row each of the windows at the tasks' borders, mostly two a task; no other task holds a window that is not in it
-    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(low).alias("l"), F.max(high).alias("h"))
-    over = scratch.keep(over.select(F.col("window").alias("w"), F.col("gram").alias("g"), "l", "h"), "over")
-    places = met.where("kind < 2").join(over, (F.col("window") == F.col("w")) & (F.col("gram") == F.col("g")), "left")
-    ends = [F.coalesce(F.col(side)[f"{name}_{c}"], f"{name}_{c}").alias(f"{name}_{c}") for side, name in (("l", "low"), ("h", "high")) for c in ("first", "pos")]
-    places = places.select("first", "id", "pos", *ends)
-    many = F.col("low_first") != F.col("high_first")
-    apart = lambda a, b: (b - a) >= LEAST
+    ends = [F.struct(*[f"{side}_{c}" for c in ("first", "id", "pos")]) for side in ("low", "high")]
+    over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(ends[0]).alias("low"), F.max(ends[1]).alias("high"))
+    over = scratch.keep(over, "over")
+    low, high = F.col("low"), F.col("high")
+    many = (low["low_first"] != high["high_first"]) | (low["low_id"] != high["high_id"])
+    far = (F.col("pos") - low["low_pos"]) >= LEAST
     if within:
-        many |= apart(F.col("low_pos"), F.col("pos")) | apart(F.col("pos"), F.col("high_pos"))
+        many |= far | ((high["high_pos"] - F.col("pos")) >= LEAST)
     # a place that overlaps the first one stays: what it would lose is the first place's own
-    goes = (F.col("first") != F.col("low_first")) | apart(F.col("low_pos"), F.col("pos"))
-    return places.where(many).select("first", "id", "pos", goes.alias("goes"), F.col("low_first").alias("root"))
+    goes = (F.col("first") != low["low_first"]) | (F.col("id") != low["low_id"]) | far
+    place = ["first", "id", "pos"]
+    border = met.where("kind = 1").select("window", "gram", *place).join(over, ["window", "gram"]).where(many)
+    border = border.select(*place, goes.alias("goes"), low["low_first"].alias("low_first"), low["low_id"].alias("low_id"))
+    told = met.where("kind = 0").select(*place, "goes", "low_first", "low_id").unionByName(border)
+    return told.select(*place, "goes", F.when(F.col("low_id") < 0, F.col("low_first")).alias("root"))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
-    """A table by text digest, of texts that stand twice or hold repeated windows: (uid, first, copies, pos, goes, root), the last three arrays with
-    an element a repeated window, places ascending, see _met()."""
+    """A table by text digest, of texts that stand twice or hold repeated windows: (uid, first, none, copies, pos, goes, root), the last three arrays with
+    an element a repeated window, places ascending, see _met(). first, none: the first document's key and whether that is null."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc"), _digest(text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    copies = scratch.keep(rows.groupBy("uid").agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "copies")
+    rows = docs.select(_document(key).alias("d"), _digest(text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counted = rows.groupBy("uid").agg(F.min("d").alias("d"), F.count("*").alias("copies"))
+    copies = scratch.keep(counted.select("uid", F.col("d.doc").alias("first"), F.col("d.none").alias("none"), "copies"), "copies")
+    rows = rows.select(F.col("d.doc").alias("doc"), "uid", "text")
     found = scratch.keep(rows.select("uid", "text").mapInArrow(_find, "uid binary, pos int, gram long").distinct(), "anchors")
     # a table, not a plan: with an exchange on either side the planner can split a shingle that a third of the anchors share
     twice = scratch.keep(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g")), "twice")
     places = found.join(twice, found["gram"] == twice["g"]).groupBy("uid").agg(F.collect_set("gram").alias("grams"))
-    named = copies.select("uid", "first", F.xxhash64("uid").alias("id"))
+    named = copies.select("uid", "first", _text_id("uid", "none").alias("id"))
     wanted = places.join(named, "uid").select(F.col("uid").alias("u"), "first", "id", "grams")
     texts = rows.join(wanted, (rows["doc"] == wanted["first"]) & (rows["uid"] == wanted["u"])).dropDuplicates(["uid"]).select("text", "first", "id", "grams")
     windows = scratch.keep(texts.mapInArrow(_windows, "window long, at long, first long, id long"), "windows")
@@ -227,36 +257,42 @@ def find_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", with
     """(key, whole_copy_of, spans, cut_spans, partners), a row a document that shares LEAST words in a row with another place.
 
     spans: its repeated word spans [start, end); cut_spans: those another place holds first; partners: the documents with those first
-    places, ascending. whole_copy_of: the first document with the very text, null for that one and for texts of their own; a copy's
-    spans are those of its text. Texts under LEAST words, null and empty ones never appear. A null key counts as after all others.
-    Repeats of a text within itself count only with ``within``, if they don't overlap. Other columns are dropped.
+    places, ascending, one without a key as a null at the end. whole_copy_of: the first document with the very text, null for that one and for
+    texts of their own; a copy's spans are those of its text. Texts under LEAST words, null and empty ones never appear. A null key counts as
+    after all others. Rows of one key, or of none, are documents of their own if their texts differ, and one document if they don't. Repeats of
+    a text within itself count only with ``within``, if they don't overlap. A very long text is read whole, by one task at a time; its windows
+    are dealt like all others. Other columns are dropped.
     """
     def tidy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cut = [None if p is None else _joined(p[g.astype(bool)]) for p, g in zip(b["pos"], b["goes"])]
-            first = [None if r is None else np.unique(r[g.astype(bool)]).tolist() for r, g in zip(b["root"], b["goes"])]
-            yield b[["uid", "first", "copies"]].assign(spans=[None if p is None else _joined(p) for p in b["pos"]], cut_spans=cut, partners=first)
+            yield b[["uid", "first", "none", "copies", "partners"]].assign(spans=[None if p is None else _joined(p) for p in b["pos"]], cut_spans=cut)
 
-    kinds = "uid binary, first long, copies long, spans array<array<int>>, cut_spans array<array<int>>, partners array<long>"
-    by_text = repeated(docs, key, text, within).mapInPandas(tidy, kinds)
+    kinds = "uid binary, first long, none boolean, copies long, partners array<string>, spans array<array<int>>, cut_spans array<array<int>>"
+    gone = F.transform(F.filter(F.arrays_zip("goes", "root"), lambda x: x["goes"]), lambda x: x["root"])
+    # as text, since a null among numbers would make them doubles in pandas
+    told = repeated(docs, key, text, within).withColumn("partners", F.array_sort(F.array_distinct(gone)).cast("array<string>"))
+    by_text = told.drop("root").mapInPandas(tidy, kinds).withColumn("partners", F.col("partners").cast("array<long>"))
     long_enough = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+")) >= LEAST
     rows = docs.select(F.col(key), _digest(text).alias("u"), long_enough.alias("long_enough"))
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
     out = rows.join(by_text, rows["u"] == by_text["uid"]).where(F.col("long_enough"))
-    return out.select(key, F.when((F.col("copies") > 1) & (doc != F.col("first")), F.col("first")).alias("whole_copy_of"), "spans", "cut_spans", "partners")
+    copy = (F.col("copies") > 1) & (_document(key) != F.struct(F.col("first").alias("doc"), F.col("none")))
+    return out.select(key, F.when(copy, F.col("first")).alias("whole_copy_of"), "spans", "cut_spans", "partners")
 
 
 def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """docs without the passages that another place holds first, nor whole copies but the first; texts left without a word go.
 
-    Documents without repeated passages pass unchanged, nulls and empty texts too. Rows of one key and text count as one: all stay or go.
+    Documents without repeated passages pass unchanged, nulls and empty texts too. Rows of one key and text count as one, null keys too: all stay or
+    go. Rows of one key and different texts lose what they share as those of two keys do. A very long text is cut whole, by one task.
     """
-    body, doc = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
+    body, doc = F.coalesce(F.col(text), F.lit("")), _document(key)
     enough = F.size(F.split(F.trim(body), r"\s+")) >= LEAST
     rows = sealed(docs, doc=doc, uid=_digest(text), text=F.col(text), enough=enough)
     rows = rows.withColumn("row", F.struct(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != text]))
     gone = F.transform(F.filter(F.arrays_zip("pos", "goes"), lambda x: x["goes"]), lambda x: x["pos"])
-    by_text = repeated(docs, key, text, within).select(F.col("uid").alias("u"), "first", "copies", gone.alias("cut"))
+    first = F.struct(F.col("first").alias("doc"), F.col("none"))
+    by_text = repeated(docs, key, text, within).select(F.col("uid").alias("u"), first.alias("first"), "copies", gone.alias("cut"))
     joined = rows.join(by_text, rows["uid"] == by_text["u"], "left")
     kept = joined.where(~F.coalesce((F.col("copies") > 1) & (F.col("doc") != F.col("first")) & F.col("enough"), F.lit(False))).select("row", "text", "cut")
     kind = StructType([StructField("row", kept.schema["row"].dataType), StructField("text", StringType()), StructField("empty", BooleanType())])

@@ -319,6 +319,34 @@ def test_cut_leaves_clean_documents(docs, rows, none):
     assert passages.cut_passages(none).count() == 0 and passages.find_passages(none).count() == 0
 
 
+def test_passages_of_rows_without_a_key_of_their_own(spark, pytestconfig):
+    """Null keys, repeated keys and the greatest key beside null: rows are told apart by their texts, null keys come last."""
+    p = pytestconfig.prose
+    shared = [p(60, 300 + i) for i in range(4)]
+    wrap = lambda i, s: f"{p(25, 400 + i)} {s} {p(25, 500 + i)}"
+    most = passages.LAST_ID
+    rows = [
+        (None, wrap(0, shared[0])), (None, wrap(1, shared[0])), (None, p(70, 9)), (None, None), (None, ""),
+        (5, wrap(2, shared[1])), (5, wrap(3, shared[1])), (5, wrap(3, shared[1])),
+        (most, wrap(4, shared[2])), (None, wrap(5, shared[2])),
+        (None, wrap(6, shared[3])), (7, wrap(7, shared[3])), (None, wrap(7, shared[3])), (most, wrap(8, p(60, 888))), (None, wrap(8, p(60, 888))),
+    ]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = passages.find_passages(df).collect()
+        assert {r["doc_id"] for r in got} == {None, 5, 7, most}
+        assert sum(r["doc_id"] is None and r["whole_copy_of"] == most for r in got) == 1 and sum(r["whole_copy_of"] == 7 for r in got) == 1
+        assert {spread(r["spans"]) == set(range(25, 85)) for r in got if r["spans"]} == {True}
+        partners = [(str(r["doc_id"]), r["partners"]) for r in got if r["partners"]]
+        assert partners.count(("5", [5])) in (1, 2) and ("None", [None]) in partners and ("None", [most]) in partners and ("None", [7]) in partners
+        cut = [(r["doc_id"], r["text"]) for r in passages.cut_passages(df).collect()]
+        for s in shared:
+            assert len({(k, t) for k, t in cut if s in (t or "")}) == 1
+        left = {s: next(k for k, t in cut if s in (t or "")) for s in shared}
+        assert [left[s] for s in shared] == [None, 5, most, 7]
+        assert sum(t == rows[13][1] for _, t in cut) == 1 and (most, rows[13][1]) in cut and (None, None) in cut and (None, "") in cut and rows[2] in cut
+
+
 def test_anchors_cover_every_long_passage():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 1 << 63, passages.LEAST, dtype=np.uint64)
