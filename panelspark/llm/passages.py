@@ -199,7 +199,7 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
     sorted_ = windows.repartitionByRange(tasks, "window", "at", "first", "id").mapInArrow(_grouped(within), _MATCH_SQL)
     met = scratch.keep(sorted_, "matches")
     scratch.drop(windows)
-    # a row each of the windows at the tasks' borders, mostly two a task; no other task holds a window that is not in it
+    # a row each of the windows at the tasks' borders, mostly two a task, so it can be broadcast; no other task holds a window that is not in it
     ends = [F.struct(*[f"{side}_{c}" for c in ("first", "id", "pos")]) for side in ("low", "high")]
     over = met.where("kind = 2").groupBy("window", "gram").agg(F.min(ends[0]).alias("low"), F.max(ends[1]).alias("high"))
     over = scratch.keep(over, "over")
@@ -210,11 +210,10 @@ def _met(windows: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
         many |= far | ((high["high_pos"] - F.col("pos")) >= LEAST)
     # a place that overlaps the first one stays: what it would lose is the first place's own
     goes = (F.col("first") != low["low_first"]) | (F.col("id") != low["low_id"]) | far
-    place = ["first", "id", "pos"]
-    border = met.where("kind = 1").select("window", "gram", *place).join(over, ["window", "gram"]).where(many)
-    border = border.select(*place, goes.alias("goes"), low["low_first"].alias("low_first"), low["low_id"].alias("low_id"))
-    told = met.where("kind = 0").select(*place, "goes", "low_first", "low_id").unionByName(border)
-    return told.select(*place, "goes", F.when(F.col("low_id") < 0, F.col("low_first")).alias("root"))
+    places = met.where("kind < 2").join(F.broadcast(over), ["window", "gram"], "left").where((F.col("kind") == 0) | many)
+    first = [F.coalesce(low[c], c).alias(c) for c in ("low_first", "low_id")]
+    told = places.select("first", "id", "pos", F.coalesce("goes", goes).alias("goes"), *first)
+    return told.select("first", "id", "pos", "goes", F.when(F.col("low_id") < 0, F.col("low_first")).alias("root"))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
