@@ -99,7 +99,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     """(key, n_tokens, ids, decoded, ids_sha256, decoded_sha256) of every row; ids are 4 little-endian bytes each.
 
     ids and decoded are null unless ``full``. A null or empty text has no ids. Rows of equal keys or texts are rows like any other,
-    null keys too; an empty table gives no rows. Other columns are dropped.
+    null keys too; an empty table gives no rows. Other columns are dropped. A very long text is a block of its own, which one task cuts and one
+    puts together again; its distinct words are dealt like those of any other block.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/bpe-{uuid.uuid4().hex}"

@@ -229,7 +229,8 @@ def write(docs: DataFrame, tokenizer_json: str, folder: str | None = None, key:
     """Encode every row's text, end_id last, into shards of ascending key; the manifest, a dict a shard in key order.
 
     A null text is an empty one. A null key sorts before all others; rows of one key stand side by side, ordered by a hash of the
-    text. An empty table makes no shard. Other columns are not stored. The keys must be integers.
+    text. An empty table makes no shard. Other columns are not stored. The keys must be integers. A very long text is
+    encoded whole by one task and is one entry, the last of its block, which grows to hold it.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}"
