@@ -562,3 +562,17 @@ def test_materializer_and_json(spark, tmp_path):
     assert len(calls) == 2
     assert m.append_new("c", spark.range(3), "id", lambda d: d).count() == 3 and m.append_new("c", spark.range(5), "id", lambda d: d).count() == 5
     assert jsonable({(1, 2): float("nan"), "d": date(2020, 1, 1), "a": np.array([1.0])}) == {"1|2": None, "d": "2020-01-01", "a": [1.0]}
+
+
+def test_pair_sums_of_long_months_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    for spread in (0.01, 1.0, 12.0):
+        s, y = np.round(rng.normal(size=900) * spread, 3), rng.integers(0, 10, 900).astype(float)
+        above = y[:, None] > y[None, :]
+        p = np.where(above, 1 / (1 + np.exp(s[:, None] - s[None, :])), 0.0)
+        q = p * (1 - p)
+        for got, want in zip(learn.PairwiseTrees.gradients(s, y, [np.arange(900)]), (p.sum(0) - p.sum(1), q.sum(0) + q.sum(1))):
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+    n = 400_000  # 160 billion pairs
+    g, _ = learn.smooth_pairs(rng.normal(size=n), rng.integers(0, 10, n).astype(float))
+    assert abs(g.sum()) < 1e-6 * np.abs(g).sum()
