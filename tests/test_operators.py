@@ -576,3 +576,20 @@ def test_pair_sums_of_long_months_are_those_of_all_pairs():
     n = 400_000  # 160 billion pairs
     g, _ = learn.smooth_pairs(rng.normal(size=n), rng.integers(0, 10, n).astype(float))
     assert abs(g.sum()) < 1e-6 * np.abs(g).sum()
+
+
+def test_ridge_schedule_needs_no_window_in_one_task(spark, monkeypatch):
+    rng, months = np.random.default_rng(2), pd.date_range("1995-01-31", "1999-12-31", freq="ME")
+    f = pd.DataFrame([(e, t.date()) for t in months for e in range(40)], columns=["entity", "eom"])
+    f[["a", "b"]] = rng.normal(size=(len(f), 2))
+    f["target"] = f["a"] - 0.5 * f["b"] + rng.normal(size=len(f))
+    f["target_month"] = (pd.to_datetime(f["eom"]) + pd.offsets.MonthEnd(1)).dt.date
+    f.loc[::7, "target"] = None
+    y, s = pd.to_datetime(f["target_month"]).dt.year, Settings()
+    f["part"] = np.where(y < 1997, "train", np.where(y < 1999, "val", "test"))
+    want, info = learn.fit_window(f[y <= 1999], ["a", "b"], s, model="ridge")
+    monkeypatch.setattr(learn, "fit_window", None)
+    got = learn.run_schedule(spark.createDataFrame(f.drop(columns="part")), ["a", "b"], [1999], s, "ridge").toPandas()
+    both = got.merge(want, on=["entity", "eom"])
+    assert len(both) == len(got) == len(want) and np.allclose(both["score_x"], both["score_y"], atol=1e-5)
+    assert set(got["alpha"]) == {info["alpha"]} and np.isclose(got["val_ic"].iloc[0], info["val_ic"]) and set(got["max_target"]) == {info["max_target"]}
