@@ -599,8 +599,8 @@ def test_v4_tasks_get_candidates_and_the_shrinkage_of_all(spark):
     rng, n = np.random.default_rng(3), 300
     f = pd.DataFrame({"entity": np.arange(n), "eom": date(2020, 1, 31), "score": rng.normal(size=n), "beta_raw": 1.0, "size_group": "big", "short_eligible": True})
     f["x"] = list(rng.normal(size=(n, 24)))
-    empty = f.assign(eom=date(2020, 2, 29), x=None)
-    frame = spark.createDataFrame(pd.concat([f, empty]), "entity long, eom date, score double, beta_raw double, size_group string, short_eligible boolean, x array<double>")
+    rows = [*f.itertuples(index=False, name=None), *[(*r[:1], date(2020, 2, 29), *r[2:-1], None) for r in f.itertuples(index=False, name=None)]]
+    frame = spark.createDataFrame([(*r[:-1], None if r[-1] is None else r[-1].tolist()) for r in rows], "entity long, eom date, score double, beta_raw double, size_group string, short_eligible boolean, x array<double>")
     ready = books.v4_candidates(frame, Settings(per_side=20))
     held = books.v4_held(ready, ["eom"]).toPandas()
     _, delta, mu = risk.ledoit_wolf(np.array(f["x"].tolist()).T)
