@@ -176,18 +176,14 @@ DENSE = ("revenue", "qty", "disc", "ret")
 
 @query("dense_rank_scaled", f"WITH {PART}, k AS (SELECT entity, eom, {', '.join(f'{_dense_sql(c)} AS {c}' for c in DENSE)} FROM p) SELECT entity, eom, {', '.join(r(f'coalesce(CASE WHEN max({c}) OVER (PARTITION BY eom) > 0 THEN {c} * 1.0 / max({c}) OVER (PARTITION BY eom) * 2 - 1 ELSE 0.0 END, 0.0)', c) for c in DENSE)} FROM k")
 def dense_rank_scaled(spark, d):
-    out = ranks.with_dense_scaled(adapters.panel_part(spark, d), list(DENSE))
+    out = ranks.with_dense_scaled(adapters.panel_part(spark, d).select("entity", "eom", *DENSE), list(DENSE), "eom", ["entity", "eom"])
     return rounded(out.select("entity", "eom", *DENSE), *DENSE)
 
 
 @query("dense_rank_scaled_wide", SQL["dense_rank_scaled"])
 def dense_rank_scaled_wide(spark, d):
-    """The long form that many columns take: one sort for all of them."""
-    wide, ranks.WIDE = ranks.WIDE, 2
-    try:
-        out = ranks.with_dense_scaled(adapters.panel_part(spark, d).select("entity", "eom", *DENSE), list(DENSE), "eom", ["entity", "eom"])
-    finally:
-        ranks.WIDE = wide
+    """The long form: one sort for all columns."""
+    out = ranks.with_dense_scaled(adapters.panel_part(spark, d).select("entity", "eom", *DENSE), list(DENSE), "eom", ["entity", "eom"])
     return rounded(out, *DENSE)
 
 

@@ -611,3 +611,14 @@ def test_v4_tasks_get_candidates_and_the_shrinkage_of_all(spark):
     whole = books.v4_month(ready.where("eom = DATE '2020-01-31'").toPandas(), {}, p, s)[0]
     slim = books.v4_month(held[held["eom"] == date(2020, 1, 31)], {}, p, s)[0]
     assert whole and set(whole) == set(slim) and all(np.isclose(whole[k], slim[k], atol=1e-9) for k in whole)
+
+
+def test_scaled_ranks_of_a_month_need_not_fit_a_task(spark):
+    rng = np.random.default_rng(4)
+    f = [(e, date(2020, m, 28), float(rng.integers(0, 9)) if e % 5 else None, float(rng.normal()), 1.0) for m in (1, 2) for e in range(60)]
+    df = spark.createDataFrame(f, "entity long, eom date, a double, b double, c double")
+    want = {(r["entity"], r["eom"]): r for r in ranks.with_dense_scaled(df, ["a", "b", "c"]).collect()}
+    made = ranks.with_dense_scaled(df, ["a", "b", "c"], "eom", ["entity", "eom"])
+    assert "windowspecdefinition(eom" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["entity"], r["eom"]): r for r in made.collect()}
+    assert got == want and len(got) == 120
