@@ -94,7 +94,7 @@ def _idle() -> Column:
 
 
 def _universe(spark, d):
-    p = adapters.panel_part(spark, d).withColumn("idle", _idle())
+    p = adapters.panel_part(spark, d).withColumn("idle", _idle()).select("entity", "eom", "price", "revenue", "qty", "idle", "target", "sector")
     return universe.build_universe(p, "price", "revenue", "qty")
 
 
@@ -138,14 +138,14 @@ def universe_filter(spark, d):
 
 @query("short_eligible", f"WITH {UNIVERSE_SQL} SELECT entity, eom, coalesce(size_pct >= 0.4 AND volume_pct >= 0.3 AND idle <= median(idle) OVER (PARTITION BY eom), false) AS short_eligible FROM u")
 def short_eligible(spark, d):
-    return _universe(spark, d).withColumn("short_eligible", universe.short_eligible()).select("entity", "eom", "short_eligible")
+    return universe.with_short_eligible(_universe(spark, d)).select("entity", "eom", "short_eligible")
 
 
 @query("short_eligible_grid", f"WITH {UNIVERSE_SQL}, e AS (SELECT *, median(idle) OVER (PARTITION BY eom) AS mid FROM u), q AS (SELECT unnest([0.3, 0.4, 0.5]) AS q) SELECT CAST(q AS DOUBLE) AS q, eom, count(*) FILTER (size_pct >= q AND volume_pct >= 0.3 AND idle <= mid) AS n FROM e CROSS JOIN q GROUP BY 1, 2")
 def short_eligible_grid(spark, d):
-    u = _universe(spark, d).withColumn("q", F.explode(F.array(*[F.lit(x) for x in S.short_size_grid])))
-    u = u.withColumn("ok", universe.short_eligible(least_size=F.col("q"), by="eom"))
-    return u.groupBy("q", "eom").agg(F.count_if("ok").alias("n"))
+    u = universe.with_short_eligible(_universe(spark, d), "calm", least_size=-1.0)  # the limit of size is counted below; volume and idleness once for all
+    u = u.withColumn("q", F.explode(F.array(*[F.lit(x) for x in S.short_size_grid])))
+    return u.groupBy("q", "eom").agg(F.count_if(F.col("calm") & (F.col("size_pct") >= F.col("q"))).alias("n"))
 
 
 @query("pct_rank_avg", f"WITH {PART} SELECT entity, eom, {r(avg_rank_sql('n_lines', 'eom') + ' / count(n_lines) OVER (PARTITION BY eom)', 'pct')} FROM p")
@@ -247,7 +247,7 @@ def smoke_sample(spark, d):
 
 @query("topk_disjoint_lists", f"WITH {UNIVERSE_SQL}, e AS (SELECT *, coalesce(size_pct >= 0.4 AND volume_pct >= 0.3 AND idle <= median(idle) OVER (PARTITION BY eom), false) AS ok, row_number() OVER (PARTITION BY eom ORDER BY revenue DESC, entity) AS hi FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY eom, (ok AND hi > 30) ORDER BY revenue, entity) AS lo FROM e) SELECT eom, entity, CASE WHEN hi <= 30 THEN 1 ELSE -1 END AS side FROM f WHERE hi <= 30 OR (ok AND lo <= 30)")
 def topk_disjoint_lists(spark, d):
-    u = _universe(spark, d).withColumn("ok", universe.short_eligible())
+    u = universe.with_short_eligible(_universe(spark, d), "ok")
     return universe.tail_lists(u, "revenue", "ok", 30, 30)
 
 

@@ -622,3 +622,14 @@ def test_scaled_ranks_of_a_month_need_not_fit_a_task(spark):
     assert "windowspecdefinition(eom" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["entity"], r["eom"]): r for r in made.collect()}
     assert got == want and len(got) == 120
+
+
+def test_universe_and_eligibility_need_no_month_in_a_task(spark, monkeypatch):
+    f = [(e, date(2020, m, 28), 10.0, float(e % 50), float(e % 7), float(e % 11)) for m in (1, 2) for e in range(100)]
+    df = spark.createDataFrame(f, "entity long, eom date, prc double, me double, vol double, idle double")
+    monkeypatch.setattr(ranks, "pct_rank", None)
+    monkeypatch.setattr(ranks, "with_quantile", None)
+    u = universe.build_universe(df, "prc", "me", "vol")
+    assert u.count() == 2 * 78 and u.agg(F.max("size_pct")).first()[0] == 0.995
+    mid, got = u.groupBy("eom").agg(F.median("idle").alias("mid")), universe.with_short_eligible(u)
+    assert got.where("short_eligible").count() == u.join(mid, "eom").where("size_pct >= 0.4 AND volume_pct >= 0.3 AND idle <= mid").count() > 0
