@@ -633,3 +633,15 @@ def test_universe_and_eligibility_need_no_month_in_a_task(spark, monkeypatch):
     assert u.count() == 2 * 78 and u.agg(F.max("size_pct")).first()[0] == 0.995
     mid, got = u.groupBy("eom").agg(F.median("idle").alias("mid")), universe.with_short_eligible(u)
     assert got.where("short_eligible").count() == u.join(mid, "eom").where("size_pct >= 0.4 AND volume_pct >= 0.3 AND idle <= mid").count() > 0
+
+
+def test_filter_buckets_follow_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(e, date(2020, m, 28), "s", 1.0 + e + m) for e in range(60) for m in range(1, 11)], "entity long, eom date, sector string, a double")
+    few = kalman.prepare(df, ["a"], "a", 2)
+    assert few.select("bucket").distinct().count() == 2
+    monkeypatch.setattr(kalman, "BUCKET_ROWS", 50)
+    many = kalman.prepare(df, ["a"], "a", 2)
+    assert many.groupBy("bucket").count().agg(F.max("count")).first()[0] < 300
+    theta = np.array([2.0, np.log(0.02), np.log(0.05)])
+    key = lambda d: sorted((r["entity"], r["eom"], r["beta_kf"]) for r in kalman.smooth(d, theta).collect())
+    assert key(few) == key(many)
