@@ -528,6 +528,25 @@ def test_gru_gradients_and_training():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8), k
 
 
+def test_gru_trains_in_shards(spark, monkeypatch):
+    """A table of several shards: every window is read once an epoch, weights are the mean of the shards' by rows, and all rows are encoded."""
+    nets = [gru.Training(gru.Autoencoder(1, 1, 2, 3, k)) for k in (1, 2)]
+    want = {k: 0.25 * nets[0].net.p[k] + 0.75 * nets[1].net.p[k] for k in nets[0].net.p}
+    got = gru.averaged([(10, nets[0]), (30, nets[1])]).net.p
+    assert all(np.allclose(got[k], want[k]) for k in want)
+    months = [date(2020 + i // 12, i % 12 + 1, 28) for i in range(24)]
+    rng = np.random.default_rng(3)
+    panel = frame(spark, [(e, m, float(v)) for e in range(12) for m, v in zip(months, rng.normal(size=24).cumsum())], "entity long, eom date, x double")
+    win, s = gru.windows(panel, ["x"], 4), Settings(gru_hidden=3, gru_epochs=2, gru_decay=(0.0, 1e-3), gru_batch=16, seq_min_valid=3)
+    ask = lambda: {(r["entity"], r["eom"]): r["gru_1"] for r in gru.embed(win, 1, F.year("eom") == 2020, F.year("eom") == 2021, s).collect()}
+    whole = ask()
+    monkeypatch.setattr(gru, "SHARD", 40)
+    parted = ask()
+    assert whole.keys() == parted.keys() and len(parted) == 12 * 24
+    assert all((v is None) == (parted[k] is None) for k, v in whole.items()) and sum(v is not None for v in parted.values()) == 12 * 21
+    assert any(v != parted[k] for k, v in whole.items()) and all(abs(v - parted[k]) < 0.5 for k, v in whole.items() if v is not None)
+
+
 def test_csv_readers_and_writers(spark, tmp_path):
     def put(name, body):
         (tmp_path / name).write_text(body)
