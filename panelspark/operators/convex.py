@@ -5,6 +5,9 @@
 
 By splitting (ADMM, as in OSQP and SCS): w solves a linear system that is factored once per penalty; each block of the split has a
 closed projection. The answer is the block that keeps the bounds exactly.
+
+Where no w keeps the limits, the multipliers drift along a line that proves it (Farkas); each check tries their last steps as such a proof, so an infeasible problem ends
+early, and no feasible one can.
 """
 
 from __future__ import annotations
@@ -66,6 +69,20 @@ def solve(p: Problem, rounds: int = 4000, tol: float = 1e-7, feasible: float = 2
     zb = b @ w if b is not None else None
     ua, uw = np.zeros(len(a)), np.zeros(n)
     ub = np.zeros(len(b)) if b is not None else None
+    drift = [np.zeros(len(a)), np.zeros(0) if b is None else np.zeros(len(b))]
+
+    def hopeless() -> bool:
+        """Whether the multipliers' steps since the last check tell limits (loosened by ``feasible``) and bounds apart: then no w within the bounds keeps the limits."""
+        ya, yb = ua - drift[0], ub - drift[1] if b is not None else drift[1]
+        drift[:] = ua.copy(), ub.copy() if b is not None else yb
+        up = ya > 0
+        most = float((np.where(up, high + feasible, low - feasible)[ya != 0] * ya[ya != 0]).sum())
+        slope = a.T @ ya
+        if b is not None:
+            slope, most = slope + b.T @ yb, most + (radius + feasible) * float(np.linalg.norm(yb))
+        least = float(np.where(slope > 0, slope * p.lower, slope * p.upper).sum())
+        return least > most + 1e-12 * (1 + abs(most)) and bool(np.isfinite(least))
+
     k = 0
     for k in range(1, rounds + 1):
         rhs = -q + rho * (a.T @ (za - ua) + zw - uw)
@@ -92,6 +109,8 @@ def solve(p: Problem, rounds: int = 4000, tol: float = 1e-7, feasible: float = 2
             dual = rho * float(np.abs(zw - before).max())
             if primal < tol and dual < tol * 100:
                 break
+            if hopeless():
+                break
             if k % 200 == 0 and k < rounds * 3 // 4:
                 ratio = np.sqrt((primal / max(1e-9, np.abs(w).max())) / max(1e-12, dual))
                 if ratio > 5 or ratio < 0.2:

@@ -534,6 +534,19 @@ def test_specific_variance_looks_back(spark):
         assert "FlatMapGroupsInPandas" not in plan
 
 
+def test_solver_ends_where_no_book_exists():
+    """An infeasible problem is told by a proof long before the last round; one just feasible is solved."""
+    n, side = 40, np.where(np.arange(40) < 20, 1.0, -1.0)
+    for most, fits in ((0.01, False), (0.06, True)):
+        rows = [(side, 1.0, 1.0), (np.where(np.arange(n) < 20, 1.0, 0.0), 0.4, most + 0.44)]
+        a, low, high = (np.array([r[i] for r in rows]) for i in range(3))
+        if not fits:
+            low[1], high[1] = 0.9, 0.95  # more on the long side than the net band lets
+            a, low, high = np.vstack([a, np.ones(n)]), np.append(low, -0.2), np.append(high, 0.2)
+        got = solve(Problem(np.linspace(-1, 1, n), np.where(side > 0, 0.0, -0.05), np.where(side > 0, 0.05, 0.0), a, low, high, np.full(n, 0.1)), 2000)
+        assert got.feasible == fits and (fits or got.rounds < 1000)
+
+
 def test_gru_gradients_and_training():
     rng = np.random.default_rng(0)
     net, x, m = gru.Autoencoder(2, 2, 3, 4, 1), rng.normal(size=(5, 4, 2)), (rng.random((5, 4)) < 0.8).astype(float)
