@@ -11,12 +11,15 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import hold
 
 _RUN = re.compile(r"\s\s")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
-_MARKS = ".,;:?!"
+#: Marks that end a word as a piece of their own: all of ASCII but the apostrophe, which opens endings such as 's.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def units(text: str) -> list[str]:
@@ -30,66 +33,89 @@ def units(text: str) -> list[str]:
 
 
 class Cache:
-    """bytes of ids by piece, at most ``most`` short pieces; it is emptied when full, which costs time and nothing else.
+    """bytes of ids by piece, about ``most`` short pieces; what has not been met since the younger half began goes when that is full, which costs time and nothing else.
 
-    A key is a word that has a space before it, a newline, or BARE and a piece as it stands.
+    A key is a word that has a space before it, a newline, or BARE and a piece as it stands. The words of a batch are split and told apart by Arrow; only the distinct ones are looked up.
     """
 
     BARE = "\x01"
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], encode_words: Callable[[list[str], bool], list[bytes]], most: int = 400_000, longest: int = 64):
         self.encode, self.encode_words, self.most, self.longest = encode, encode_words, most, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _keys(self, t: str) -> list[str]:
-        if t[-1] != " " and t[0] != " " and _RUN.search(t) is None and self.BARE not in t:
-            keys = f"{self.BARE}{t}".replace("\n", f" \n {self.BARE}").split(" ")
-            if keys[-1] == self.BARE:
-                keys.pop()
-            return keys if keys[0] != self.BARE else keys[1:]
-        return [self.BARE + u for u in _BORDER.split(t)]
+    def _simple(self, t: str) -> bool:
+        """Whether every space of t stands between two other characters, so that splitting at spaces and newlines gives its pieces."""
+        return t[-1] != " " and t[0] != " " and _RUN.search(t) is None and self.BARE not in t
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, 4 little-endian bytes an id."""
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        get, missing, found = known.get, set(), []
-        for t in texts:
-            keys = self._keys(t) if t else []
-            ids = list(map(get, keys))
-            if None in ids:
-                missing.update([k for k, v in zip(keys, ids) if v is None])
-                found.append((ids, keys))
-            else:
-                found.append((ids, None))
-        self._learn(missing)
-        join = b"".join
-        out = [join(ids if keys is None else [known[k] if v is None else v for k, v in zip(keys, ids)]) for ids, keys in found]
-        for k in missing:
-            if len(k) > self.longest:
-                del known[k]
+        bare = self.BARE
+        plain = [f"{bare}{t}" if t and self._simple(t) else "" for t in texts]
+        spaced = pc.replace_substring(pa.array(plain, pa.large_string()), "\n", f" \n {bare}")  # a text's end after a newline is a lone BARE
+        words = pc.split_pattern(spaced, " ")
+        odd = [[bare + u for u in _BORDER.split(t)] if t and not p else [] for t, p in zip(texts, plain)]
+        flat, ends = words.flatten(), words.offsets.to_numpy()[1:]
+        told = pa.concat_arrays([flat, pa.array([k for ks in odd for k in ks], pa.large_string())]).dictionary_encode()
+        found = pa.array(self._look_up(told.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(told.indices)
+        _, starts, data = found.buffers()
+        at, data = np.frombuffer(starts, np.int64, len(found) + 1).tolist(), memoryview(data or b"")
+        out, first, rest = [], 0, len(flat)
+        for p, end, ks in zip(plain, ends.tolist(), odd):
+            out.append(bytes(data[at[first] : at[end]]) if p else bytes(data[at[rest] : at[rest + len(ks)]]))
+            first, rest = end, rest + len(ks)
         return out
 
-    def _learn(self, missing: set[str]) -> None:
+    def _look_up(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys, learned where they are new. Long keys are not kept."""
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        known = self.known
+        ids = list(map(known.get, keys))
+        at = [i for i, v in enumerate(ids) if v is None]
+        for i, v in zip(at, map(self.older.get, [keys[i] for i in at])):
+            if v is not None:
+                known[keys[i]] = ids[i] = v
+        at = [i for i in at if ids[i] is None]
+        self._learn([keys[i] for i in at])
+        for i in at:
+            ids[i] = known[keys[i]]
+            if len(keys[i]) > self.longest:
+                del known[keys[i]]
+        return ids
+
+    def _learn(self, missing: list[str]) -> None:
         known, bare = self.known, self.BARE
-        plain, marked, odd, tails = [], [], [], set()
+        plain, opening, marked, odd, more = [], [], [], [], set()
         for w in missing:
             if w.isalpha():
                 plain.append(w)
                 continue
             body = w.rstrip(_MARKS)
-            if body != w and body.isalpha():
-                marked.append((w, body))
-                tails.add(bare + w[len(body) :])
+            if body.isalpha():
+                marked.append((w, body, bare + w[len(body) :]))
+            elif body[:1] == bare and body[1:].isalpha():
+                if body == w:
+                    opening.append(w)
+                else:
+                    marked.append((w, body, bare + w[len(body) :]))
+            elif w == bare or not w:
+                known[w] = b""
             else:
                 odd.append(w)
-        plain += {b for _, b in marked if b not in known}.difference(plain)
-        known.update(zip(plain, self.encode_words(plain)))
-        odd += tails.difference(known, odd)
+        here = {*plain, *opening}
+        for _, body, tail in marked:
+            if body not in known and body not in here:
+                here.add(body)
+                (opening if body[0] == bare else plain).append(body)
+            more.add(tail)
+        odd += more.difference(known, odd)
+        known.update(zip(plain, self.encode_words(plain, False)))
+        known.update(zip(opening, self.encode_words([w[1:] for w in opening], True)))
         known.update(zip(odd, self.encode([k[1:] if k[0] == bare else k if k == "\n" else " " + k for k in odd])))
-        for w, body in marked:
-            known[w] = known[body] + known[bare + w[len(body) :]]
+        for w, body, tail in marked:
+            known[w] = known[body] + known[tail]
 
 
 def tokenizer_cache(json_text: str) -> Cache:
@@ -117,18 +143,20 @@ def tokenizer_cache(json_text: str) -> Cache:
         for token, i in vocabulary.items():
             opens[i] = token.startswith("\u0120")
 
-        def encode_words(words: list[str]) -> list[bytes]:
-            """Words of letters, each after a space, some dozens in one text; each word's ids begin with the one that holds the space."""
+        newline = vocabulary["\u010a"]
+
+        def encode_words(words: list[str], bare: bool) -> list[bytes]:
+            """Words of letters, some dozens in one text. Each after a space: its ids begin with the one that holds the space; bare: after a newline, whose id stands between them."""
             out: list[bytes] = []
             batches = [words[at : at + 50] for at in range(0, len(words), 50)]
-            for some, e in zip(batches, tok.encode_batch_fast([" " + " ".join(b) for b in batches], add_special_tokens=False)):
+            for some, e in zip(batches, tok.encode_batch_fast(["\n" + "\n".join(b) if bare else " " + " ".join(b) for b in batches], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
-                starts = np.flatnonzero(opens[ids])
+                starts = np.flatnonzero(ids == newline if bare else opens[ids])
                 if len(starts) == len(some):
-                    raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                    out += [raw[a:z] for a, z in zip(at, at[1:])]
+                    raw, at, skip = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)], 4 * bare
+                    out += [raw[a + skip : z] for a, z in zip(at, at[1:])]
                 else:
-                    out += encode([" " + w for w in some])
+                    out += encode([w if bare else " " + w for w in some])
             return out
 
         return Cache(encode, encode_words)

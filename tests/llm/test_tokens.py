@@ -29,6 +29,22 @@ def test_cached_pieces_equal_whole_texts(tokenizer_json, whole, rows):
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [whole(t) for t in texts]
 
 
+def test_common_words_outlive_a_full_cache():
+    asked = []
+
+    def encode(words, *_):
+        asked.extend(words)
+        return [w.encode() for w in words]
+
+    cache = units.Cache(encode, encode, most=40)
+    for i in range(60):
+        rare = "".join(chr(97 + int(x)) for x in str(i))
+        assert cache.texts([f"the {rare}q {rare}z", "so the\n", None, ""]) == [f"the{rare}q{rare}z".encode(), b"sothe\n", b"", b""]
+        assert len(cache.known) <= 60
+    assert asked.count("the") == 2 and asked.count("so") == 1  # a word that opens a line and one after a space are two pieces
+    assert cache.texts([]) == []
+
+
 def test_sstable_round_trip(spark, docs, rows, tokenizer_json, whole):
     manifest = sstable.write(docs, tokenizer_json)
     got = sstable.read(spark, manifest).collect()
