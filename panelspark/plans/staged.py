@@ -94,7 +94,7 @@ def book_lattice(spark, d):
     grid = spark.createDataFrame(rows, "config_id long, d long, short_q double, smooth double")
     rate, index = adapters.market(spark, d)
     desk = pipeline.Desk(frame, joins.market_full(rate, index), models.S.but(max_weight=0.2))
-    weights = desk.weights(scores, "v3", grid, limits=list(LIMITS))
+    weights = Materializer(spark).scratch(desk.weights(scores, "v3", grid, limits=list(LIMITS)), "weights")  # returns and turnover read them
     return rounded(desk.ratios(weights, grid), "ir")
 
 

@@ -362,6 +362,23 @@ def test_tail_book_against_plain_code(spark):
             assert have.keys() == want.keys() and all(have[i] == pytest.approx(want[i], abs=1e-9) for i in want)
 
 
+def test_limits_of_shorts_share_ranks(spark):
+    """Equal scores, small sectors and three limits on one row a name: each limit's book is that of plain code on the names it leaves."""
+    months = [month(150, seed).assign(eom=(pd.Timestamp(D[0]) + pd.offsets.MonthEnd(seed)).date() if seed else D[0]) for seed in range(2)]
+    f = pd.concat(months, ignore_index=True)
+    f["score"] = f["score"].round()
+    f["size"] = (f["entity"] * 37 % 100) / 100
+    limits = [0.2, 0.5, 0.9]
+    rows = f.drop(columns="short_eligible").assign(open=[[q for q in limits if x >= q] for x in f["size"]])
+    grid = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate((q, a) for q in limits for a in (1.0, 0.5))], "config_id long, short_q double, smooth double")
+    for s in (Settings(max_weight=0.1), Settings(max_weight=0.2, max_names=30)):
+        got = books.run_books(spark.createDataFrame(rows), grid, "v3", s).collect()
+        for c in grid.collect():
+            want = plain_tails(f.assign(short_eligible=f["size"] >= c["short_q"]), c["smooth"], s)
+            have = {(r["entity"], r["eom"]): r["weight"] for r in got if r["config_id"] == c["config_id"]}
+            assert have.keys() == want.keys() and all(have[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
 def test_v4_book_is_exact_and_falls_back(spark):
     rng = np.random.default_rng(3)
     f = month().assign(beta_raw=lambda x: x["beta_kf"], size_group=lambda x: np.where(x["size_z"] > 0, "big", "small"), x=[rng.normal(0, 0.05, 24).tolist() for _ in range(300)])
