@@ -144,7 +144,11 @@ def score_filings(filings: DataFrame, panel: DataFrame, done: DataFrame | None =
 
 
 def tone_features(filings: DataFrame, tones: DataFrame, keys: DataFrame, entity: str = "entity", date: str = "filing_date", span: int = 12) -> DataFrame:
-    """Per key: tone_mean, tone_min of the month, and tone_surprise = tone_mean less the mean of the monthly means of the ``span`` months before."""
+    """Per key: tone_mean, tone_min of the month, and tone_surprise = tone_mean less the mean of the monthly means of the ``span`` months before. Texts are scored once: the tones are kept,
+    else each use of them, and each test whether they are null, would score them again."""
+    from ..sources.tables import Materializer
+
+    tones = Materializer(filings.sparkSession).scratch(tones, "tones")
     f = filings.select("document_id", entity, month_end(F.col(date)).alias("eom")).join(tones, "document_id").where("tone_mean IS NOT NULL")
     m = f.groupBy(entity, "eom").agg(F.avg("tone_mean").alias("tone_mean"), F.min("tone_min").alias("tone_min"))
     facts = m.select(entity, month_index(F.col("eom")).alias("idx"), "tone_mean")

@@ -362,6 +362,25 @@ def test_tail_book_against_plain_code(spark):
             assert have.keys() == want.keys() and all(have[i] == pytest.approx(want[i], abs=1e-9) for i in want)
 
 
+def test_tone_features_score_each_text_once(spark):
+    rows = [(i, i % 3, f"2020-0{1 + i % 4}-05", float(i % 7)) for i in range(60)]
+    f = spark.createDataFrame(rows, "document_id long, entity long, filing_date string, x double").withColumn("filing_date", F.to_date("filing_date"))
+    scored = spark.sparkContext.accumulator(0)
+
+    def tone(x):
+        scored.add(1)
+        return x
+
+    t = F.udf(tone, "double")(F.col("x"))
+    tones = f.select("document_id", t.alias("tone_mean")).withColumn("tone_min", F.col("tone_mean"))
+    keys = f.select("entity", F.last_day("filing_date").alias("eom")).distinct()
+    got = {(r["entity"], r["eom"].month): r for r in text.tone_features(f, tones, keys).collect()}
+    assert scored.value == 60 and len(got) == 12
+    mean = lambda e, m: np.mean([x for _, k, d, x in rows if k == e and int(d[6]) == m])
+    for (e, m), r in got.items():
+        assert r["tone_mean"] == pytest.approx(mean(e, m)) and (r["tone_surprise"] is None if m == 1 else r["tone_surprise"] == pytest.approx(mean(e, m) - np.mean([mean(e, k) for k in range(1, m)])))
+
+
 def test_limits_of_shorts_share_ranks(spark):
     """Equal scores, small sectors and three limits on one row a name: each limit's book is that of plain code on the names it leaves."""
     months = [month(150, seed).assign(eom=(pd.Timestamp(D[0]) + pd.offsets.MonthEnd(seed)).date() if seed else D[0]) for seed in range(2)]
