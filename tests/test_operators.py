@@ -381,6 +381,20 @@ def test_tone_features_score_each_text_once(spark):
         assert r["tone_mean"] == pytest.approx(mean(e, m)) and (r["tone_surprise"] is None if m == 1 else r["tone_surprise"] == pytest.approx(mean(e, m) - np.mean([mean(e, k) for k in range(1, m)])))
 
 
+def test_ret_hat_ranks_lie_over_tasks(spark):
+    """One month of one window, ties and a missing score: ranks come from several ranges, none of which holds the month."""
+    x = [float(i % 40) if i != 7 else None for i in range(200)]
+    y = [float((i * 13) % 17) for i in range(200)]
+    panel = spark.createDataFrame([(i, D[0], y[i]) for i in range(200)], "entity long, eom date, target double")
+    scores = spark.createDataFrame([(1999, "val", i, D[0], x[i]) for i in range(200)], "test_year int, part string, entity long, eom date, score double")
+    got = {r["entity"]: r["ret_hat"] for r in learn.with_ret_hat(scores, panel, rows_per_task=20).collect()}
+    r = (pd.Series(x).rank() - 1) / (199 - 1) * 2 - 1
+    b, a = np.polyfit(r.drop(7), np.delete(np.array(y), 7), 1)
+    assert got[7] is None and all(got[i] == pytest.approx(a + b * r[i]) for i in range(200) if i != 7)
+    plan = learn.with_ret_hat(scores, panel, rows_per_task=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in line and "test_year" in line for line in plan.splitlines())
+
+
 def test_limits_of_shorts_share_ranks(spark):
     """Equal scores, small sectors and three limits on one row a name: each limit's book is that of plain code on the names it leaves."""
     months = [month(150, seed).assign(eom=(pd.Timestamp(D[0]) + pd.offsets.MonthEnd(seed)).date() if seed else D[0]) for seed in range(2)]
