@@ -225,7 +225,9 @@ def verify_quotes(facts: DataFrame, filings: DataFrame, formation: Column | None
 
     keep = Materializer(filings.sparkSession)
     f = filings if formation is None else filings.where(F.col("filing_date") <= formation)
-    f = f.select(F.col("document_id").alias("_d"), normalised_quote(F.col("text")).alias("_t")).where("_t IS NOT NULL")
+    f = f.select(F.col("document_id").alias("_d"), normalised_quote(F.col("text")).alias("_t"))
+    # normalised once: the test for nulls, lists, pairs and named filings read them
+    f = keep.scratch(f, "texts").where("_t IS NOT NULL")
     q = facts.withColumn("_q", normalised_quote(F.col("quote"))).where("_q <> ''")
     named = q.where("document_id IS NOT NULL").join(f, F.col("document_id") == F.col("_d")).where(F.contains("_t", "_q"))
     words = F.split("_q", " ")

@@ -381,6 +381,20 @@ def test_tone_features_score_each_text_once(spark):
         assert r["tone_mean"] == pytest.approx(mean(e, m)) and (r["tone_surprise"] is None if m == 1 else r["tone_surprise"] == pytest.approx(mean(e, m) - np.mean([mean(e, k) for k in range(1, m)])))
 
 
+def test_quotes_read_each_text_once(spark):
+    docs = spark.createDataFrame([(i, f"Alpha beta  gamma delta w{i} end") for i in range(20)], "document_id long, x string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    filings = docs.select("document_id", F.udf(told, "string")("x").alias("text"))
+    facts = [(1, "beta gamma", 3), (2, "delta w5 end", None), (3, "delta w50 end", None), (4, "w7", None), (5, "gamma delta", None), (6, "beta gamma", 99)]
+    got = text.verify_quotes(spark.createDataFrame(facts, "fact_id long, quote string, document_id long"), filings)
+    assert {r["fact_id"] for r in got.collect()} == {1, 2, 4, 5} and seen.value == 20
+
+
 def test_ret_hat_ranks_lie_over_tasks(spark):
     """One month of one window, ties and a missing score: ranks come from several ranges, none of which holds the month."""
     x = [float(i % 40) if i != 7 else None for i in range(200)]
