@@ -45,8 +45,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lean: the executors' heaps have grown in the stages before."""
     with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
-        return packing.pack(docs, f.read(), with_ids=False)
+        return packing.pack(docs, f.read(), with_ids=False, lean=True)
 
 
 STAGES = [

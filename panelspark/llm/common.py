@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,15 +82,15 @@ def hold(kind: str, key, make):
     """The worker's one cache: made when another kind or key held the place. Workers outlive stages; what an earlier stage kept must not
     stand beside what the next one needs."""
     if _HELD.get("key") != (kind, key):
-        if _HELD:
-            _HELD.clear()
-            _give_back()
+        _HELD.clear()
+        give_back()
         _HELD.update(key=(kind, key), value=make())
     return _HELD["value"]
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system where the C library can do that; else the allocator keeps it for a worker's life."""
+def give_back() -> None:
+    """Freed memory goes back to the system where Arrow's pool and the C library can do that; else they keep it for a worker's life."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

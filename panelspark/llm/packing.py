@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, shuffle_partitions, table
+from .common import Scratch, give_back, release, shuffle_partitions, table
 from .sharding import with_slots
 from .sstable import pack_ids, unpack_ids
-from .units import slices, tokenizer_cache
+from .units import Cache, slices, tokenizer_cache
 
 CAPACITY, END_ID, CELL = 2048, 1, 1 << 20
 #: Cut documents beyond what the gaps are expected to take, as a share of all: the rest fills sequences of its own.
@@ -33,17 +33,25 @@ SPARE = 0.005
 _TOKENS = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
 
-def tokens(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(key, rid, n, crc, ids) a row a document, end_id last; rid numbers the rows once the frame is written. ids: see sstable.pack_ids()."""
+def _encoded(batches: Iterator[pa.RecordBatch], cache: Cache, end: bytes, lean: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch, "text", 1_000_000 if lean else 4_000_000):
+            raws = [raw + end for raw in cache.texts(b["text"].to_pylist())]
+            yield pa.record_batch([b["key"], b["rid"], [len(r) // 4 for r in raws], [zlib.crc32(r) for r in raws], [pack_ids(r) for r in raws]], schema=_TOKENS)
+            if lean:
+                give_back()
+
+
+def tokens(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, lean: bool = False) -> DataFrame:
+    """(key, rid, n, crc, ids) a row a document, end_id last; rid numbers the rows once the frame is written. ids: see sstable.pack_ids().
+
+    lean: the same ids from less memory and in more time. A task takes a quarter of the text at once, knows half as many words and gives memory back.
+    """
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = end_id.to_bytes(4, "little")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokenizer_cache(model.value)
-        for batch in batches:
-            for b in slices(batch, "text"):
-                raws = [raw + end for raw in cache.texts(b["text"].to_pylist())]
-                yield pa.record_batch([b["key"], b["rid"], [len(r) // 4 for r in raws], [zlib.crc32(r) for r in raws], [pack_ids(r) for r in raws]], schema=_TOKENS)
+        yield from _encoded(batches, tokenizer_cache(model.value, 200_000 if lean else 400_000), end, lean)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
     return rows.mapInArrow(task, "key long, rid long, n long, crc long, ids binary")
@@ -133,14 +141,15 @@ def place(lens: DataFrame, capacity: int, scratch: Scratch, cell: int = CELL) ->
 _OUT = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end_id: int = END_ID, with_ids: bool = True, lean: bool = False) -> DataFrame:
     """(key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset), a row a piece.
 
     A null text is an empty one: one piece with end_id. Null and repeated keys are rows like any other; a very long text takes full sequences
     and one cut rest. An empty table gives no rows. Other columns are dropped. Sequences hold at most ``capacity`` ids; they are meant to be padded to it.
+    lean: see tokens().
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    made = scratch.keep(tokens(docs, tokenizer_json, key, text, end_id), "tokens")
+    made = scratch.keep(tokens(docs, tokenizer_json, key, text, end_id, lean), "tokens")
     pieces = place(made.select("rid", "n"), capacity, scratch)
     lists = scratch.keep(pieces.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces")), "pieces")
 

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import Scratch, release, sealed, shuffle_partitions, table, unsealed
+from .common import Scratch, give_back, release, sealed, shuffle_partitions, table, unsealed
+from .units import slices
 
 GRAM, WINDOW = 10, 41
 LEAST = GRAM + WINDOW - 1
@@ -297,7 +298,8 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", withi
     kind = StructType([StructField("row", kept.schema["row"].dataType), StructField("text", StringType()), StructField("empty", BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        release()
+        for b in (part for batch in batches for part in slices(batch, "text", 1_000_000)):
             texts, empty = b["text"].to_pylist(), []
             for i, pos in enumerate(b["cut"].to_pylist()):
                 spans = _joined(np.array(pos)) if pos else []
@@ -310,6 +312,7 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", withi
                     texts[i] = "".join(parts) + t[here:]
                 empty.append(bool(spans) and not texts[i].strip())
             yield pa.record_batch([b["row"], pa.array(texts, pa.string()), pa.array(empty)], names=["row", "text", "empty"])
+            give_back()
 
     return unsealed(kept.mapInArrow(cut, kind).where("NOT empty"), docs.columns, **{text: F.col("text")})
 

@@ -118,8 +118,8 @@ class Cache:
             known[w] = known[body] + known[tail]
 
 
-def tokenizer_cache(json_text: str) -> Cache:
-    """The worker's cache for a tokenizers JSON; workers live on between tasks."""
+def tokenizer_cache(json_text: str, most: int = 400_000) -> Cache:
+    """The worker's cache for a tokenizers JSON, of about ``most`` pieces; workers live on between tasks."""
 
     def make() -> Cache:
         import gc
@@ -159,9 +159,9 @@ def tokenizer_cache(json_text: str) -> Cache:
                     out += encode([w if bare else " " + w for w in some])
             return out
 
-        return Cache(encode, encode_words)
+        return Cache(encode, encode_words, most)
 
-    return hold("tokens", hash(json_text), make)
+    return hold("tokens", (hash(json_text), most), make)
 
 
 def slices(batch, column: str, most_bytes: int = 4_000_000):

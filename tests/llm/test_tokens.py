@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelspark.llm import bpe, packing, sstable, units
@@ -110,6 +111,27 @@ def test_packing(docs, rows, tokenizer_json, whole):
     assert packing.pack(docs, tokenizer_json, with_ids=False).where("doc_id IS NULL").count() >= 2
 
 
+def test_lean_packing_takes_less_text_at_once_and_gives_the_same(spark, docs, tokenizer_json, monkeypatch):
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    whole, lean = (sorted(map(tuple, packing.pack(docs, tokenizer_json, with_ids=False, lean=x).select(*columns).collect()), key=repr) for x in (False, True))
+    assert lean == whole and whole
+    texts, taken, back = ["word " * 20_000] * 30 + [None, ""], [], []  # 3 MB
+    cache = units.tokenizer_cache(tokenizer_json, 200_000)
+    assert cache.most == 200_000
+    monkeypatch.setattr(packing, "give_back", lambda: back.append(1))
+
+    class Watched:
+        def texts(self, some):
+            taken.append(sum(len(t or "") for t in some))
+            return cache.texts(some)
+
+    n = len(texts)
+    batch = pa.record_batch({"key": pa.array(range(n), pa.int64()), "rid": pa.array(range(n), pa.int64()), "text": pa.array(texts)})
+    got = [x for b in packing._encoded([batch], Watched(), b"\x01\0\0\0", True) for x in b["crc"].to_pylist()]
+    assert max(taken) <= 1_000_000 and sum(taken) == 3_000_000 and len(back) == len(taken)
+    assert got == [x for b in packing._encoded([batch], cache, b"\x01\0\0\0", False) for x in b["crc"].to_pylist()]
+
+
 def test_packing_empty(none, tokenizer_json):
     assert packing.pack(none, tokenizer_json).count() == 0
 
