@@ -71,10 +71,10 @@ def anonymise(text: Column, names: Column, tickers: Column) -> Column:
     return F.pandas_udf(run, "string")(text, names, tickers)
 
 
-def chunks(tokens: Column, size: int = 512, most: int = 8) -> Column:
-    """Arrays of at most size - 2 tokens (two places are for marks), at most ``most`` of them; none for no tokens."""
+def chunks(tokens: Column, size: int = 512, most: int | None = 8) -> Column:
+    """Arrays of at most size - 2 tokens (two places are for marks), at most ``most`` of them (None: as many as there are); none for no tokens."""
     step = size - 2
-    used = F.least(F.size(tokens), F.lit(step * most))
+    used = F.size(tokens) if most is None else F.least(F.size(tokens), F.lit(step * most))
     starts = F.when(used > 0, F.sequence(F.lit(0), used - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, step))
 
@@ -86,8 +86,8 @@ def word_tone(words: Column) -> Column:
     return F.try_divide(total.cast("double"), F.size(words).cast("double"))
 
 
-def doc_tones(filings: DataFrame, size: int = 512, most: int = 8, score: Callable[[Column], Column] = word_tone, text: str = "text") -> DataFrame:
-    """(document_id, tone_mean, tone_min) over a document's chunks; a document without words has nulls."""
+def doc_tones(filings: DataFrame, size: int = 512, most: int | None = 8, score: Callable[[Column], Column] = word_tone, text: str = "text") -> DataFrame:
+    """(document_id, tone_mean, tone_min) over a document's first ``most`` chunks (None: all); a document without words has nulls."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
     scored = filings.withColumn("_s", F.transform(chunks(words, size, most), score))
     total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)

@@ -390,12 +390,20 @@ sc AS (SELECT doc_id, (len(list_filter(part, lambda x : lower(x) IN {text.GOOD})
 tone AS (SELECT doc_id AS document_id, avg(s) AS tone_mean, min(s) AS tone_min FROM sc GROUP BY 1)"""
 
 
+#: The same over whole texts.
+TONE_WHOLE = f"""
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x : x <> '') AS ws FROM documents),
+ch AS (SELECT doc_id, list_slice(ws, c * 510 + 1, c * 510 + 510) AS part FROM (SELECT doc_id, ws, unnest(range((len(ws) + 509) // 510)) AS c FROM w)),
+sc AS (SELECT doc_id, (len(list_filter(part, lambda x : lower(x) IN {text.GOOD})) - len(list_filter(part, lambda x : lower(x) IN {text.BAD}))) * 1.0 / len(part) AS s FROM ch),
+tone AS (SELECT doc_id AS document_id, avg(s) AS tone_mean, min(s) AS tone_min FROM sc GROUP BY 1)"""
+
+
 @query("doc_tones", f"WITH {TONE} SELECT d.doc_id AS document_id, {r('tone_mean')}, {r('tone_min')} FROM documents d LEFT JOIN tone ON tone.document_id = d.doc_id")
 def doc_tones(spark, d):
     return rounded(text.doc_tones(adapters.documents(spark, d)), "tone_mean", "tone_min")
 
 
-@query("tone_features", f"""WITH {TONE},
+@query("tone_features", f"""WITH {TONE_WHOLE},
 f AS (SELECT doc_id, source AS entity, last_day(DATE '2020-01-01' + CAST(doc_id % 720 AS INTEGER)) AS eom FROM documents),
 m AS (SELECT entity, eom, year(eom) * 12 + month(eom) AS mi, avg(tone_mean) AS tone_mean, min(tone_min) AS tone_min FROM f JOIN tone ON tone.document_id = f.doc_id WHERE tone_mean IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT DISTINCT entity, eom, year(eom) * 12 + month(eom) AS mi FROM f),
@@ -404,7 +412,7 @@ SELECT k.entity, k.eom, {r('m.tone_mean', 'tone_mean')}, {r('m.tone_min', 'tone_
 def tone_features(spark, d):
     f = adapters.documents(spark, d)
     keys = f.select("entity", F.last_day("filing_date").alias("eom")).distinct()
-    return rounded(text.tone_features(f, text.doc_tones(f), keys), "tone_mean", "tone_min", "tone_surprise")
+    return rounded(text.tone_features(f, text.doc_tones(f, most=None), keys), "tone_mean", "tone_min", "tone_surprise")
 
 
 @query("quote_verify", r"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents),

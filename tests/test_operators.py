@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import ranks
 from panelspark.operators import agent, betas, books, gru, joins, kalman, leakage, learn, metrics, report, risk, text, universe
 from panelspark.operators.convex import Problem, solve
-from panelspark.plans import tune
+from panelspark.plans import relational, tune
 from panelspark.sources import tables
 from panelspark.sources.tables import Materializer, jsonable
 from panelspark.spec import Settings
@@ -86,6 +86,17 @@ def test_tones_and_chunks(spark):
     assert {r["document_id"]: r["tone_mean"] for r in model} == {1: 2.0, 2: None, 3: None}
 
 
+def test_tones_of_whole_texts(spark, tmp_path):
+    """tone_features reads a text to its end: what stands behind the first eight chunks counts."""
+    words = ["x"] * 4080 + ["bad"] * 510 + ["good"] * 51
+    df = frame(spark, [(720, " ".join(words), "en", "s")], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    tones = text.doc_tones(df.withColumnRenamed("doc_id", "document_id"), most=None).first()
+    assert (tones["tone_mean"], tones["tone_min"]) == (0.0, -1.0)
+    got = relational.tone_features(spark, str(tmp_path)).first()
+    assert (got["tone_mean"], got["tone_min"]) == (0.0, -1.0)
+
+
 def test_quotes(spark):
     f = frame(spark, [("d1", date(2020, 1, 1), "He said “Net  sales rose”."), ("d2", date(2020, 3, 1), "later words")], "document_id string, filing_date date, text string")
     facts = frame(spark, [(1, "net sales ROSE", "d1"), (2, "net sales rose", "d9"), (3, "net sales", None), (4, "later words", "d2"), (5, " ", None)], "fact_id long, quote string, document_id string")
