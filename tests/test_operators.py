@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import ranks
 from panelspark.operators import agent, betas, books, gru, joins, kalman, leakage, learn, metrics, report, risk, text, universe
 from panelspark.operators.convex import Problem, solve
-from panelspark.plans import relational, tune
+from panelspark.plans import models, relational, tune
 from panelspark.sources import tables
 from panelspark.sources.tables import Materializer, jsonable
 from panelspark.spec import Settings
@@ -249,6 +249,28 @@ def test_kalman_recovers_and_widens(spark):
     assert out["beta_var"].iloc[20] > out["beta_var"].iloc[19] > 0
 
 
+def test_kalman_fit_goes_on_to_the_maximum(monkeypatch):
+    """Without a number of rounds the fit ends at a point that no small move betters; six rounds don't reach it."""
+    rng, rows = np.random.default_rng(4), []
+    for e in range(40):
+        d = 0.0
+        for t in range(40):
+            d = 0.95 * d + math.sqrt(0.002) * rng.normal()
+            rows.append((e, t, True, 1.0, 1 + d + 0.5 * rng.normal(), 1 + d + 0.05 * rng.normal()))
+    f = pd.DataFrame(rows, columns=["entity", "t", "fit", "m", "y0", "y1"])
+    monkeypatch.setattr(kalman, "likelihoods", lambda prepared, thetas: np.array([kalman.run_filter(prepared, np.asarray(x), True)[0] for x in thetas]))
+    few, most = kalman.fit(f, 2, rounds=6)[1], kalman.fit(f, 2, rounds=None)
+    around = [most[0] + k * 0.02 * v for v in np.eye(4) for k in (1, -1)]
+    assert most[1] > few + 0.1 and max(kalman.likelihoods(f, around)) < most[1] + 0.01
+
+
+def test_kalman_betas_fits_without_a_number_of_rounds(spark, sf, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(models.kalman, "fit", lambda made, n, **kw: asked.update(kw) or (np.array([2.0, np.log(0.02), *[np.log(0.05)] * n]), 0.0))
+    models.kalman_betas(spark, sf)
+    assert asked["rounds"] is None
+
+
 def test_risk_model_uses_the_known_past_only(spark):
     f = panel_with_signal(25, 30).assign(sector="a", f1=0.0)
     s = Settings(risk_min_months=5, risk_window=12, spec_min=3)
