@@ -183,6 +183,20 @@ def test_clusters_and_candidates(spark):
     assert learn.complete_linkage(np.array([[0, 0.1, 0.5], [0.1, 0, 0.4], [0.5, 0.4, 0]]), 0.45) == [[0, 1], [2]]
 
 
+def test_raw_features_are_scaled_where_they_are_correlated(spark, sf):
+    """The same correlations as from scaled ranks, without a table of ranks kept: nothing is written."""
+    nan = float("nan")
+    rows = [(D[m], [1.0, 2.0, None, nan, 5.0, 5.0][i], float(i * i % 5), [3.0, None, 1.0, 2.0, 3.0, -1.0][i] if m else None) for m in (0, 1) for i in range(6)]
+    df = frame(spark, rows, "eom date, a double, b double, c double")
+    told = lambda x, **kw: sorted((r["eom"], r["i"], r["j"], str(r["rho"]), r["n"]) for r in learn.month_correlations(x, ["a", "b", "c"], **kw).collect())
+    assert told(df, dense=True) == told(ranks.with_dense_scaled(df, ["a", "b", "c"]))
+    kept = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Materializer, "scratch", lambda self, df, name: kept.append(name) or df)
+        models.month_rank_correlations(spark, sf)
+    assert not kept
+
+
 def test_a_subset_must_be_strictly_better():
     every, nan = ["a", "b", "c"], float("nan")
     assert learn.best_subset(0.1, [(0.1, ["a"])], every) == (every, 0.1)
