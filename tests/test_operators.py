@@ -673,6 +673,14 @@ def test_gru_gradients_and_training():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8), k
 
 
+def test_gru_embed_trains_with_the_settings_of_its_own(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models.gru, "embed", lambda win, d, train, val, s: asked.append(s))
+    models.gru_embed(spark, sf)
+    names = [n for n in vars(Settings()) if n.startswith("gru_")]
+    assert {n: getattr(asked[0], n) for n in names} == {n: getattr(Settings(), n) for n in names}
+
+
 def test_gru_trains_in_shards(spark, monkeypatch):
     """A table of several shards: every window is read once an epoch, weights are the mean of the shards' by rows, and all rows are encoded."""
     nets = [gru.Training(gru.Autoencoder(1, 1, 2, 3, k)) for k in (1, 2)]
