@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import ranks
-from panelspark.operators import agent, betas, books, gru, joins, kalman, leakage, learn, metrics, report, risk, text, universe
+from panelspark.operators import agent, betas, books, gru, joins, kalman, leakage, learn, metrics, report, risk, spread, text, universe
 from panelspark.operators.convex import Problem, solve
 from panelspark.plans import models, relational, tune
 from panelspark.sources import tables
@@ -234,6 +234,36 @@ def test_importance_finds_the_feature_that_matters(spark):
     assert info["n_features"] == len(told[2000]["factors"]) + 1 and info["max_target"] < date(2000, 1, 1) and info["trees"] in (15, 30)
 
 
+def test_spread_quantiles_are_those_of_all_rows():
+    rng = np.random.default_rng(5)
+    qs = np.linspace(0, 1, 33)[1:-1]
+    for x in (rng.normal(size=5001), np.round(rng.uniform(-1, 1, 700), 1), np.zeros(9), np.array([-2.5]), rng.normal(size=40) * 1e-30):
+        x = x.astype(np.float32)
+        assert np.array_equal(spread.quantiles(x, qs, spread.Ring()), np.quantile(x, qs))
+
+
+def test_large_windows_are_fitted_by_all_tasks_together(spark, monkeypatch):
+    """The same trees, scores and choices as in one task, and no task gets a window."""
+    f = panel_with_signal(40, 60)
+    f["target_month"] = [(pd.Timestamp(d) + pd.offsets.MonthEnd(1)).date() for d in f["eom"]]
+    f.loc[::11, "target"] = None
+    df = spark.createDataFrame(f)
+    s = Settings(rank_trees=30, rank_every=10, rank_leaf_weight=5.0, rank_depths=(2, 3), cfi_repeats=2, cfi_min_pairs=10, cfi_min_months=3)
+    features = ["f0", "f1", "f2"]
+    ask = lambda: (learn.run_schedule(df, features, [1999, 2000], s).toPandas(), learn.selected_schedule(df, features, ["f0", "f1"], [2000], s))
+    want, (picked, told) = ask()
+    picked = picked.toPandas()
+    monkeypatch.setattr(spread, "ROWS", 100)
+    monkeypatch.setattr(learn, "fit_window", None)
+    got, (picked2, told2) = ask()
+    for a, b in ((want, got), (picked, picked2.toPandas())):
+        both = a.merge(b, on=["test_year", "part", "entity", "eom"])
+        assert len(a) == len(b) == len(both) and np.allclose(both["score_x"], both["score_y"], atol=1e-9) and np.allclose(both["val_ic_x"], both["val_ic_y"])
+        for c in ("depth", "trees", "max_target", "n_features", "model"):
+            assert (both[f"{c}_x"] == both[f"{c}_y"]).all()
+    assert told[2000]["factors"] == told2[2000]["factors"] and told[2000]["candidates"] == told2[2000]["candidates"]
+
+
 def test_windows_and_shuffle(spark):
     w = learn.windows(date(2015, 2, 1), [2021, 2022], date(2022, 8, 31))
     assert w[0]["train"][1] == date(2018, 12, 31) and w[1]["test"] == (date(2022, 1, 1), date(2022, 8, 31)) and not leakage.window_errors(w)
