@@ -197,6 +197,20 @@ def test_raw_features_are_scaled_where_they_are_correlated(spark, sf):
     assert not kept
 
 
+def test_cfi_schedule_tries_all_that_the_settings_say(spark, sf, monkeypatch):
+    asked = []
+
+    def keep(df, features, factors, years, s):
+        asked.append((features, factors, years, s))
+        return df.selectExpr("1 AS test_year", "'val' AS part", "entity", "eom", "0D AS score", "0D AS val_ic", "1 AS n_features"), {}
+
+    monkeypatch.setattr(models.learn, "selected_schedule", keep)
+    models.cfi_schedule(spark, sf)
+    features, factors, years, s = asked[0]
+    assert factors == features and years == [1999, 2000, 2001]
+    assert all(getattr(s, n) == getattr(Settings(), n) for n in ("rank_trees", "rank_every", "rank_depths", "cfi_repeats", "cfi_cuts", "cfi_shares"))
+
+
 def test_a_subset_must_be_strictly_better():
     every, nan = ["a", "b", "c"], float("nan")
     assert learn.best_subset(0.1, [(0.1, ["a"])], every) == (every, 0.1)
